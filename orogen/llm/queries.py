@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, langid, simhash, token_files, toxicity
+from orogen.llm import bpe, decontamination, langid, secret_scan, simhash, token_files, topk, toxicity
 from orogen.shipping import ship
 
 
@@ -31,17 +31,37 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_docs(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.t AS DOUBLE[]), CAST(c.t AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op6_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op4_topk, op5_secrets, op6_token_files, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": _TOP_K, "op5_secrets": secret_scan.oracle_sql()}
