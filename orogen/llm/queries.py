@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, decontamination, langid, secret_scan, simhash, token_files, topk, toxicity
+from orogen.llm import bpe, chat, decontamination, langid, pii, secret_scan, simhash, token_files, topk, toxicity
 from orogen.shipping import ship
 
 
@@ -43,6 +43,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_docs(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -60,7 +68,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op4_topk, op5_secrets, op6_token_files, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op4_topk, op5_secrets, op6_token_files, op7_chat, op8_pii, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
