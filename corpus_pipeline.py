@@ -4,30 +4,56 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orogen.llm import bpe, simhash
+from orogen.llm import bpe, decontamination, langid, pii, simhash
 from orogen.llm.common import cut
+from orogen.shipping import ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+LEAST_SCORE = 0.4  # below this no language is likelier than the others together by any useful margin
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go: those without a letter, and those whose likeliest language has a score under LEAST_SCORE. A missing lang is filled in."""
+    ship(spark)
+    model = langid.train(docs, order=F.xxhash64(F.col("doc_id"), F.lit("sample")))
+    said = langid.predict(docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
+    kept = said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)) if model else said.where(F.col("row.text").rlike(r"\p{L}"))
+    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group stays."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text is masked, and n_chars follows the new text."""
+    ship(spark)
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    ship(spark)
     return bpe.encode_decode(docs, TOKENIZER)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("bpe", tokenise)]
+STAGES = [("language id", language), ("simhash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("pii", mask_personal_data), ("bpe", tokenise)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs, "stage")
