@@ -135,7 +135,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     Components are floor(64 * x); ties go to the smaller vec_id. A query with no other row has no result. Vectors that are null or
     hold null or non-finite components take no part. Of vectors of different lengths the common beginning counts. Repeated ids
-    are candidates row by row (the query's own id never), and a repeated query id is searched with its smallest vector. An empty table gives an empty result.
+    are candidates row by row (the query's own id never), and a repeated query id is searched with its smallest vector. Scores are 64-bit integers; where one would pass that range it wraps. An empty table gives an empty result.
     """
     rows = integers(vectors)
     spark = rows.sparkSession
