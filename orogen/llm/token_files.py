@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm.common import cut, new_folder
-from orogen.llm.tokens import WORD, Encoder, in_groups
+from orogen.llm.tokens import Encoder, in_groups, words
 
 
 def _create(path: str):
@@ -58,7 +58,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, width: i
     def run(batches):
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        encoder = Encoder(tokenizer_path, WORD.findall)
+        encoder = Encoder(tokenizer_path, words)
         offsets, ids, nulls, at = [0], [], [], 0
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         with _create(f"{name}.ids") as f:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 
 #: Characters that the tokenizers' patterns count as white space (fixed values: Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run without white space and the blank before it, or white space that no such run takes.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 WORD = re.compile(f"[^{SPACE}]+")
-CACHED = 200_000
+CACHED = 600_000  # chunks that a Python worker remembers, over all its tasks
 LONG = 2_000
 
 
@@ -28,26 +28,38 @@ def tokenizer(path: str):
     return t
 
 
+def words(text: str) -> list[str]:
+    """Runs without white space. str.split knows the same white space, and four separators that the tokenizers take for symbols."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return WORD.findall(text)
+    return text.split()
+
+
+_known: dict[tuple[str, bool], dict[str, bytes]] = {}
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. split: text -> chunks whose encodings can be concatenated."""
 
     def __init__(self, path: str, split, encode_long=None):
-        self.tok, self.split, self.known, self.encode_long = tokenizer(path), split, {}, encode_long
+        self.tok, self.split, self.encode_long = tokenizer(path), split, encode_long
+        self.known = _known.setdefault((path, encode_long is None), {})
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
         known, parts = self.known, [self.split(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in known})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        if len(known) > CACHED:  # what came first is what comes often
+            for c in list(known)[CACHED // 2 :]:
+                del known[c]
+        new = list(set().union(*parts).difference(known))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             for c, e in zip(some, self.tok.encode_batch_fast([c if len(c) <= LONG or not self.encode_long else "" for c in some], add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+                known[c] = array("I", e.ids).tobytes()
         if self.encode_long:
             for c in new:
                 if len(c) > LONG:
                     known[c] = self.encode_long(c)
-        out = [b"".join([known[c] for c in p]) for p in parts]
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for c in new:
             if len(c) > 64:
                 del known[c]
