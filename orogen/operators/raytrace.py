@@ -13,6 +13,7 @@ from orogen.operators.grid import Tiling
 
 EPSILON = 1e-6
 SECTORS = 16
+RAYS_AT_ONCE = 1 << 16  # rays that a task follows together
 # Fixed values of the sampling hash.
 GOLDEN, PIXEL, RAY, MIX_1, MIX_2, BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 1423
 
@@ -125,16 +126,16 @@ def occlusion(cells: DataFrame, t: Tiling, light: Lighting, exaggeration: float
 
     def kernel(m, ys, xs, place):
         m = m * exaggeration
-        out = np.zeros(len(ys))
-        width = m.shape[1]
-        rays = np.arange(light.rays)
-        for i, (y, x) in enumerate(zip(ys, xs)):
-            pixel = np.full(light.rays, (y - place.off_y) * place.width + (x - place.off_x))
-            d = first_rays(place.number, pixel, rays, light)
-            at = np.array([x * res[0], y * res[1], m[y, x]]) + d * EPSILON
-            skip = np.full(light.rays, y * width + x)
-            value = np.zeros(light.rays)
-            live = rays
+        out, width = np.zeros(len(ys)), m.shape[1]
+        at_once = max(1, RAYS_AT_ONCE // light.rays)
+        for i in range(0, len(ys), at_once):
+            y, x = ys[i : i + at_once], xs[i : i + at_once]
+            ray = np.tile(np.arange(light.rays), len(y))
+            pixel = np.repeat((y - place.off_y) * place.width + (x - place.off_x), light.rays)
+            d = first_rays(place.number, pixel, ray, light)
+            at = np.repeat(np.stack([x * res[0], y * res[1], m[y, x]], axis=1), light.rays, axis=0) + d * EPSILON
+            skip = np.repeat(y * width + x, light.rays)
+            value, live = np.zeros(len(ray)), np.arange(len(ray))
             for bounce in range(light.bounces + 1):
                 far, cell = nearest_hits(m, res, at, d, skip)
                 free = cell < 0
@@ -142,9 +143,9 @@ def occlusion(cells: DataFrame, t: Tiling, light: Lighting, exaggeration: float
                 if bounce == light.bounces or free.all():
                     break
                 live, point, cell = live[~free], at[~free] + d[~free] * far[~free, None], cell[~free]
-                d = next_rays(place.number, pixel[: len(live)], live, bounce, face_normals(m, res, point, cell))
+                d = next_rays(place.number, pixel[live], ray[live], bounce, face_normals(m, res, point, cell))
                 at, skip = point + d * EPSILON, np.full(len(live), -1)
-            out[i] = value.mean() + light.ambient
+            out[i : i + at_once] = value.reshape(len(y), light.rays).mean(axis=1) + light.ambient
         return out
 
     return over_tiles(cells, t, kernel, "v double").select("x", "y", "v")
