@@ -106,20 +106,19 @@ def to_srgb(v: Column) -> Column:
     return F.when(c <= _f(0.0031308), _f(_f(12.92) * c)).otherwise(_f(curve))
 
 
-def blend(mode: str, src: Column, dst: Column) -> Column:
-    """The blended colour of a channel, before opacity: multiply of encoded values, screen and soft light in linear light."""
-    if mode == "multiply":
-        return _f(src * dst)
+def blend(mode: str, s: Column, b: Column) -> Column:
+    """The blended colour of a channel, before opacity: of encoded values, or for screen and soft light of linear ones."""
     if mode == "normal":
-        return src
-    s, b = to_linear(src), to_linear(dst)
+        return s
+    if mode == "multiply":
+        return _f(s * b)
     one, two = _f(1.0), _f(2.0)
     if mode == "screen":
-        return to_srgb(_f(one - _f(_f(one - s) * _f(one - b))))
+        return _f(one - _f(_f(one - s) * _f(one - b)))
     dark = _f(b - _f(_f(_f(one - _f(two * s)) * b) * _f(one - b)))
     d = F.when(b <= _f(0.25), _f(_f(_f(_f(_f(_f(16.0) * b) - _f(12.0)) * b) + _f(4.0)) * b)).otherwise(_f(F.sqrt(b.cast("double"))))
     light = _f(b + _f(_f(_f(two * s) - one) * _f(d - b)))
-    return to_srgb(F.when(s <= _f(0.5), dark).otherwise(light))
+    return F.when(s <= _f(0.5), dark).otherwise(light)
 
 
 def compose(cells: DataFrame, layers: list[Layer]) -> DataFrame:
@@ -134,16 +133,21 @@ def compose(cells: DataFrame, layers: list[Layer]) -> DataFrame:
         a = _f(ramp(v, layer.stops, 3) * _f(layer.opacity))
         if layer.alpha:
             a = F.when(F.col(layer.alpha).isNull(), _f(0.0)).otherwise(_f(a * _unit(_f(F.col(layer.alpha)))))
-        d = d.select("*", F.when(v.isNotNull(), a).otherwise(_f(0.0)).alias("_sa"))
+        # A projection per step, so that no step's expression is spelled out again inside the next one's.
+        d = d.select("*", F.when(v.isNotNull(), a).otherwise(_f(0.0)).alias("_sa"), *(ramp(v, layer.stops, i).alias(f"_s{c}") for i, c in enumerate("rgb")))
+        if layer.blend in ("screen", "softlight"):
+            d = d.select("*", *(to_linear(F.col(f"_s{c}")).alias(f"_l{c}") for c in "rgb"), *(to_linear(F.col(f"_{c}")).alias(f"_d{c}") for c in "rgb"))
+            d = d.select("*", *(blend(layer.blend, F.col(f"_l{c}"), F.col(f"_d{c}")).alias(f"_k{c}") for c in "rgb"))
+            d = d.select("*", *(to_srgb(F.col(f"_k{c}")).alias(f"_m{c}") for c in "rgb"))
+        else:
+            d = d.select("*", *(blend(layer.blend, F.col(f"_s{c}"), F.col(f"_{c}")).alias(f"_m{c}") for c in "rgb"))
         sa, da = F.col("_sa"), F.col("_a")
         rest = _f(one - sa)
-        out = _f(sa + _f(da * rest))
-        d = d.select("*", out.alias("_oa"))
+        d = d.select("*", _f(sa + _f(da * rest)).alias("_oa"))
         new = {}
-        for i, c in enumerate("rgb"):
+        for c in "rgb":
             dst = F.col(f"_{c}")
-            mixed = blend(layer.blend, ramp(v, layer.stops, i), dst)
-            value = _f(_f(_f(mixed * sa) + _f(_f(dst * da) * rest)) / F.col("_oa"))
+            value = _f(_f(_f(F.col(f"_m{c}") * sa) + _f(_f(dst * da) * rest)) / F.col("_oa"))
             new[c] = F.when(sa <= 0, dst).otherwise(value)
         new["a"] = F.when(sa <= 0, da).otherwise(F.col("_oa"))
         d = d.select(*cells.columns, *(v.alias(f"_{c}") for c, v in new.items()))
