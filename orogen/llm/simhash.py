@@ -51,6 +51,11 @@ def _ball(fp, bits: int):
     return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over as many partitions as a shuffle has: narrow rows lie in few files, and each is about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def links_within_two(fps: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all fingerprints at most 2 bits apart.
 
@@ -59,7 +64,7 @@ def links_within_two(fps: DataFrame) -> DataFrame:
     longs however many rows fall into it, and it gives a star of at most 64 edges instead of all its pairs.
     """
     buckets = (
-        fps.select("fp", F.explode(_ball(F.col("fp"), 64)).alias("variant"))
+        spread(fps.select("fp"), "fp").select("fp", F.explode(_ball(F.col("fp"), 64)).alias("variant"))
         .groupBy("variant")
         .agg(F.bit_or(F.col("variant").bitwiseXOR(F.col("fp"))).alias("mask"), F.count("*").alias("n"))
         .where("n > 1")
@@ -80,7 +85,7 @@ def links_at_three(parts: DataFrame, radius: int = RADIUS) -> DataFrame:
     and meets the plain halves of the others there. Colliding pairs are verified in the join; what is joined already is left out.
     """
     low = F.lit(0xFFFFFFFF).cast("long")
-    halves = parts.select("fp", "component", F.posexplode(F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32))).alias("side", "half"))
+    halves = spread(parts, "fp").select("fp", "component", F.posexplode(F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32))).alias("side", "half"))
     key = lambda value: F.col("side").cast("long") * F.lit(1 << 32).cast("long") + value
     plain = halves.select(key(F.col("half")).alias("key"), F.col("fp").alias("fp_b"), F.col("component").alias("v"))
     up = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftright", F.col("half"), i).bitwiseAND(F.lit(1)) == 0)
