@@ -220,7 +220,7 @@ SELECT CAST(tile_row * ((aw + 15) // 16) + tile_col AS INTEGER) AS tile_id, tile
         "stretch_value": f"WITH {shipping()} SELECT x, y, {fix(f'CASE WHEN z IS NOT NULL THEN {stretched("z", 40.0, 49.5)} END')} AS v FROM ship",
         "stretch_percent": f"""WITH {shipping()}, t AS (SELECT x, y, z, y // 16 * 4 + x // 16 AS t FROM ship), p AS (SELECT t, quantile_cont(z, 0.05) AS a, quantile_cont(z, 0.9) AS b, min(z) AS c, max(z) AS d FROM t GROUP BY t), k AS (SELECT t, CASE WHEN coalesce(a >= b, true) THEN c ELSE a END AS low, CASE WHEN coalesce(a >= b, true) THEN d ELSE b END AS high FROM p)
 SELECT x, y, {fix('CASE WHEN z IS NOT NULL THEN (greatest(low, least(high, z)) - low) / CASE WHEN high - low = 0 THEN 1.0 ELSE high - low END END')} AS v FROM t JOIN k USING (t)""",
-        "byte_encode": f"WITH {shipping()} SELECT x, y, CAST(coalesce(floor(greatest(0.0, least(1.0, z / 50)) * 255 + 0.5), 0) AS INTEGER) AS v FROM ship",
+        "byte_encode": f"WITH {shipping()} SELECT x, y, CAST(CASE WHEN z IS NULL THEN 0 ELSE floor(greatest(0.0, least(1.0, z / 50)) * 255 + 0.5) END AS INTEGER) AS v FROM ship",
         "part_slope": f"WITH part_r AS (SELECT CAST(p_partkey % 40 AS INTEGER) AS x, CAST(p_partkey // 40 AS INTEGER) AS y, p_retailprice AS z FROM part), {near('part_r')} SELECT x, y, {fix('degrees(slope)')} AS v FROM terrain",
         "ramp_legacy": composed([q.BASE]),
         "ramp_stops": composed([Layer("z", q.RAMP)], True),
