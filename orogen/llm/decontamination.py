@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from orogen.llm.common import cut
 
 WINDOW = 13  # words of a phrase
-NEAR = 10  # aligned words that make a proximity match
+NEAR = 10  # terms of a window that make a proximity match, within its length
 BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the postings in a shuffle
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing, A-Z are part of words
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lower(word: Column) -> Column:
+def lower(text: Column) -> Column:
     """A-Z in lower case, and nothing else."""
-    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def words(text: Column) -> Column:
-    """The words of a text as they are written, at 1, 2, ...; an empty string at 0, and another at the end if the text ends in a break."""
-    return F.split(F.concat(F.lit(" "), F.coalesce(text.cast("string"), F.lit(""))), _BREAK, -1)
+    """The words of a text, lower-cased, at 1, 2, ...; an empty string at 0, and another at the end if the text ends in a break."""
+    return F.split(F.concat(F.lit(" "), lower(F.coalesce(text.cast("string"), F.lit("")))), _BREAK, -1)
 
 
 def count_of(listed: Column) -> Column:
@@ -31,14 +31,14 @@ def count_of(listed: Column) -> Column:
 def phrases(items: DataFrame, id_column: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(item, words) of all windows of the items; an item of fewer words than a window, but not none, is one window. Items without an id are left out."""
     cut_words = F.slice(F.col("w"), 2, F.greatest(F.col("n"), F.lit(0)))
-    rows = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("item"), words(F.col("text")).alias("w")).withColumn("n", count_of(F.col("w"))).select("item", "n", F.transform(cut_words, lower).alias("w")).where("n > 0")
+    rows = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("item"), words(F.col("text")).alias("w")).withColumn("n", count_of(F.col("w"))).select("item", "n", cut_words.alias("w")).where("n > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))
     return rows.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), window).alias("words")).distinct()
 
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:
     """A row (pos, term) of every word of docs, pos from 1; at pos 0 each document has an empty term. Columns keep come along."""
-    return docs.select(*keep, F.posexplode("w").alias("pos", "written")).withColumn("term", lower(F.col("written")))
+    return docs.select(*keep, F.posexplode_outer("w").alias("pos", "term"))  # outer, though never empty: Spark then adds no filter that splits the text again
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, broadcast: bool) -> DataFrame:
@@ -54,12 +54,12 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rare.where(F.size("rare") == F.size("row.words")).select(first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term_2"), second["offset"].alias("offset_2"), F.col("row.item").alias("item"), F.col("row.words").alias("words"))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """Rows (doc_id, h1, h2, n_words, item, start, size, same) of docs (doc_id, text): windows that a document has from word start on, and how many of their words are the same.
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, h1, h2, n_words, item, start, size, exact, same) of docs (doc_id, text): windows that a document may have from word start on.
 
     The training texts' postings of the rarest term of each window meet the postings of its second rarest, adjusted by their
-    offsets; where both agree, the aligned words are compared. Full agreement is a phrase match, `near` or more a proximity match.
-    Each row of docs also gives one row with a null item. h1 and h2 are two hashes of the text.
+    offsets; where both agree, the aligned words are compared. exact is a phrase match; same is how many different terms of the window lie
+    within its length there, for proximity matches. No Python, no lambda: all of it compiles, and no row carries the document's words on. Each row of docs also gives one row with a null item. h1 and h2 are two hashes of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -86,23 +86,24 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NE
     n_words = count_of(F.col("w")) if small else F.col("n_words")
     mark = F.col("item").isNull()
     fits = (start >= 1) & (start + length - 1 <= n_words)
-    agrees = lower(F.get(around, at + F.col("offset_2"))) == F.col("term_2")
+    agrees = F.get(around, at + F.col("offset_2")) == F.col("term_2")
     rows = rows.where(F.when(mark, F.col("pos") == 0).otherwise(fits & agrees))
-    same = F.size(F.filter(F.zip_with(F.slice(around, F.greatest(at + 1, F.lit(1)), length), F.col("words"), lambda a, b: lower(a) == b), lambda x: x))
-    rows = rows.select("doc_id", "h1", "h2", n_words.cast("long").alias("n_words"), "item", start.alias("start"), length.alias("size"), F.when(mark, F.lit(0)).otherwise(same).alias("same"))
-    return rows.where(F.col("item").isNull() | (F.col("same") == F.col("size")) | ((F.col("same") >= near) & (F.col("size") == window)))
+    aligned = F.slice(around, F.greatest(at + 1, F.lit(1)), length)
+    same = F.when(aligned == F.col("words"), length).otherwise(F.size(F.array_intersect(aligned, F.col("words"))))
+    return rows.select("doc_id", "h1", "h2", n_words.cast("long").alias("n_words"), "item", start.alias("start"), length.alias("size"), (aligned == F.col("words")).alias("exact"), F.when(~mark, same).alias("same"))
 
 
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, h1, h2, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row of docs (h1, h2: hashes of its text)."""
     found = hits(docs, items)
-    exact = (F.col("item").isNotNull()) & (F.col("same") == F.col("size"))
+    exact = F.col("item").isNotNull() & F.col("exact")
+    near = F.col("item").isNotNull() & ~F.col("exact") & (F.col("same") >= NEAR) & (F.col("size") == WINDOW)
     grouped = found.groupBy("doc_id", "h1", "h2").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.col("item").isNull().cast("int")).alias("copies"),
         F.collect_set(F.when(exact, F.struct("start", "size"))).alias("spans"),
         F.collect_set(F.when(exact, F.col("item"))).alias("items"),
-        F.collect_set(F.when(F.col("item").isNotNull() & ~exact, F.col("item"))).alias("near"),
+        F.collect_set(F.when(near, F.col("item"))).alias("near"),
     )
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
     out = grouped.withColumn("n_hit", F.size(covered).cast("long")).select(
