@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_tops: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/orogen/{label}-{uuid.uuid4().hex}"
+    """A folder not used before, below one that Hadoop removes when the application's JVM ends."""
+    top = f"{shared_dir(spark)}/orogen-{spark.sparkContext.applicationId}"
+    if top not in _tops:
+        at = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = _files(spark, at)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _tops.add(top)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, at):
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -37,9 +52,8 @@ def drop(df: DataFrame) -> None:
     """Remove the files of a table made by cut() that nothing reads any more."""
     path = getattr(df, "_orogen_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        _files(df.sparkSession, at).delete(at, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
