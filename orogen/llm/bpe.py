@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orogen.llm.tokens import CHUNK, Encoder, in_groups, tokenizer
 
 LEAF = 512  # symbols of a leaf of the tree
+CACHED = 200_000  # chunks that a worker remembers
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +96,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        encoder = Encoder(tokenizer_path, CHUNK.findall, long_encoder(tokenizer_path))
+        encoder = Encoder(tokenizer_path, CHUNK.findall, long_encoder(tokenizer_path), CACHED)
         spelled = token_bytes(tokenizer_path)
         for b in batches:
             n, ids, decoded = [], [], []

@@ -159,18 +159,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Co
     return Model(languages, weights * idf[:, None], bias, best_temperature(logits, np.array([d[2] for d in held])))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, with lang_pred and score (the calibrated probability of lang_pred).
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of docs, with lang_pred and score (the calibrated probability of lang_pred), or under other names.
 
     A text that is null or has no letter is `und` with score 0, and so is every text where nothing could be learned.
     Of languages with equal probability the first by name wins.
     """
     table = None if model is None else np.ascontiguousarray(model.weights, np.float32)
+    at = keep.index(text) if text in keep else len(keep)  # the text is sent once
 
     def run(batches):
         for b in batches:
             pred, score = [], []
-            for t in b.column(len(keep)).to_pylist():
+            for t in b.column(at).to_pylist():
                 if table is None or not has_letter(t):
                     pred.append(UNKNOWN)
                     score.append(0.0)
@@ -184,10 +185,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                 k = int(np.argmax(p))
                 pred.append(model.languages[k])
                 score.append(float(p[k] / p.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    sent = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    return sent.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out_identification(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

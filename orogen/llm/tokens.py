@@ -13,7 +13,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A run without white space and the blank before it, or white space that no such run takes.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 WORD = re.compile(f"[^{SPACE}]+")
-CACHED = 600_000  # chunks that a Python worker remembers, over all its tasks
+CACHED = 600_000  # chunks that a Python worker remembers at most, over all its tasks; about 220 bytes each
 LONG = 2_000
 
 
@@ -41,14 +41,14 @@ _known: dict[tuple[str, bool], dict[str, bytes]] = {}
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. split: text -> chunks whose encodings can be concatenated."""
 
-    def __init__(self, path: str, split, encode_long=None):
-        self.tok, self.split, self.encode_long = tokenizer(path), split, encode_long
+    def __init__(self, path: str, split, encode_long=None, cached: int = CACHED):
+        self.tok, self.split, self.encode_long, self.cached = tokenizer(path), split, encode_long, cached
         self.known = _known.setdefault((path, encode_long is None), {})
 
     def batch(self, texts: list[str]) -> list[bytes]:
         known, parts = self.known, [self.split(t) for t in texts]
-        if len(known) > CACHED:  # what came first is what comes often
-            for c in list(known)[CACHED // 2 :]:
+        if len(known) > self.cached:  # what came first is what comes often
+            for c in list(known)[self.cached // 2 :]:
                 del known[c]
         new = list(set().union(*parts).difference(known))
         for at in range(0, len(new), 20_000):
