@@ -18,9 +18,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go: those without a letter, and those whose likeliest language has a score under LEAST_SCORE. A missing lang is filled in."""
     ship(spark)
     model = langid.train(docs, order=F.xxhash64(F.col("doc_id"), F.lit("sample")))
-    said = langid.predict(docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
-    kept = said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)) if model else said.where(F.col("row.text").rlike(r"\p{L}"))
-    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
+    said = langid.predict(docs, model, docs.columns, names=("_lang_pred", "_lang_score"))
+    kept = said.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)) if model else said.where(F.col("text").rlike(r"\p{L}"))
+    return kept.select(*(F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
