@@ -70,7 +70,7 @@ def maximal_segments(items: list[tuple[int, float]], drift: float = DRIFT) -> li
 def statistic(segments: list[tuple[int, int, float]], n_tokens: int, decay: float) -> float:
     """The strongest evidence of the r best segments together: normalised scores less the log of the search space and of r!."""
     best, total, penalty = 0.0, 0.0, 0.0
-    for r, score in enumerate(sorted((s for *_, s in segments), reverse=True)[:50], 1):
+    for r, score in enumerate(sorted((s for *_, s in segments), reverse=True), 1):
         total += decay * score - np.log(n_tokens + 1.0)
         penalty += np.log(r)
         best = max(best, total - penalty)
