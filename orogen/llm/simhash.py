@@ -35,15 +35,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int((np.uint64(1) << _SHIFTS[2 * ones > len(h)]).sum(dtype=np.uint64)) if len(h) else 0
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row of docs; the text is read whole."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of every row of docs, and its long columns keep; the text is read whole."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def _ball(fp, bits: int):
@@ -95,6 +95,16 @@ def links_at_three(parts: DataFrame, radius: int = RADIUS) -> DataFrame:
     return balls.join(plain, (balls["key"] == plain["key"]) & near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(fp, first_id, part) of every fingerprint of rows (doc_id, fp): its smallest doc_id, and what its group has in common."""
+    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
+    two = connected_components(links_within_two(groups.select("fp")))
+    parts = cut(groups.join(two, groups["fp"] == two["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "parts")
+    three = connected_components(links_at_three(parts))
+    whole = parts.join(three, parts["component"] == three["node"], "left").select("fp", "first_id", F.coalesce(three["component"], parts["component"]).alias("part"))
+    return cut(whole, "whole")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of at most 3 bits).
 
@@ -103,18 +113,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     such rows only has a null one). An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     rows = cut(fingerprints(docs), "fingerprints")
-    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
-    two = connected_components(links_within_two(groups.select("fp")))
-    parts = cut(groups.join(two, groups["fp"] == two["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "parts")
-    three = connected_components(links_at_three(parts))
-    whole = parts.join(three, parts["component"] == three["node"], "left").select("fp", "first_id", F.coalesce(three["component"], parts["component"]).alias("part"))
-    whole = cut(whole, "whole")
+    whole = groups_of(rows)
     names = whole.groupBy("part").agg(F.min("first_id").alias("component_id"))
     named = whole.join(names, "part").select(F.col("fp").alias("fp_b"), "component_id")
     return rows.join(named, rows["fp"] == named["fp_b"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of every near-duplicate group: the row whose doc_id names the group."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of every near-duplicate group: the one with the smallest doc_id (a null one comes last), of these the one with the smallest hash."""
+    each = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    hashed = docs.withColumns({"_h1": F.xxhash64(each), "_h2": F.xxhash64(each, F.lit(1))})  # of the whole row: rows that agree in both are equal
+    rows = cut(fingerprints(hashed, ("_h1", "_h2")), "fingerprints")
+    whole = groups_of(rows).select(F.col("fp").alias("fp_b"), "part")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")
+    firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))  # by fingerprint before by group: a group's rows do not meet in one task
+    kept = firsts.join(whole, firsts["fp"] == whole["fp_b"]).groupBy("part").agg(F.min("first").alias("first")).select(F.col("first._h1").alias("_k1"), F.col("first._h2").alias("_k2"))
+    return hashed.join(kept, (hashed["_h1"] == kept["_k1"]) & (hashed["_h2"] == kept["_k2"]), "left_semi").dropDuplicates(["_h1", "_h2"]).select(*(F.col(f"`{c}`") for c in docs.columns))

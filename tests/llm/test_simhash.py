@@ -84,3 +84,14 @@ def test_near_duplicates(spark):
     assert kept.columns == docs.columns
     assert sorted(k.doc_id for k in kept.collect()) == sorted(set(want.values()))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_without_usable_ids(spark):
+    a, b, c, d = ("".join(f"{k}{i} " for i in range(40)) for k in "abcd")
+    schema = "doc_id long, text string, lang string"
+    texts = lambda rows: sorted((k.doc_id, k.text, k.lang) for k in simhash.keep_one(spark.createDataFrame(rows, schema)).collect())
+    got = simhash.keep_one(spark.createDataFrame([(None, a, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (1, a, "y")], schema)).collect()
+    assert sorted((str(k.doc_id), k.text) for k in got) == sorted([("1", a), ("None", b), ("None", c)])
+    assert texts([(7, a, "x"), (7, b, "x"), (8, a, "y"), (9, d, "y")]) == [(7, a, "x"), (7, b, "x"), (9, d, "y")]
+    rows = [(3, a, "y"), (3, a, "x"), (3, a, "x")]
+    assert len(texts(rows)) == 1 and texts(rows) == texts(rows[::-1])
