@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from orogen.llm.common import cut, drop
 
 LEXICON = 20_000  # scored tokens at most: those with the largest z
-SKETCHES = 4  # hashes by which near copies find one another before they vote
+BANDS, IN_BAND = 8, 4  # min-hashes by which near copies find one another before they vote: they agree on one band of 8, each of 4
+COPY = 0.8  # word pairs two texts share, of all they have, from which on they are near copies
 LEAST_Z = 4.0
 DRIFT = 0.5  # what a token without a score costs a segment
 BROADCAST_ROWS = 1_000_000  # labels up to so many rows are broadcast; more are joined by a shuffle
 STEMS = range(5, 9)  # lengths of the beginnings that count as stems
 BINS, BIN = 400, 0.25
 _TOKEN = re.compile(r"[^\W_]+")
-_ODD = np.array([1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+_ODD = np.random.default_rng(42).integers(0, 1 << 31, BANDS * IN_BAND, np.uint32) * np.uint32(2) + np.uint32(1)
 _FLUSH = 300_000
+_PIECE = 1 << 14
 _KNOWN = 500_000
 
 
@@ -106,25 +108,70 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(own, docs["doc_id"].cast("long") == own["label_id"]).select("doc_id", F.col("text").cast("string").alias("text"), "toxic").where("text is not null")
 
 
-def _families(text: str) -> list[int]:
-    """The least of SKETCHES hashes each of a text's word pairs: of near copies, some agree nearly always."""
+def _pairs(text: str) -> np.ndarray:
+    """Hashes of the different word pairs of a text; a text of one word or none is one pair."""
     words = text.lower().split()
     pairs = map(" ".join, zip(words, words[1:])) if len(words) > 1 else [" ".join(words)]
-    h = np.array([zlib.crc32(p.encode("utf-8", "replace")) for p in pairs], np.uint32)
-    return [int((h * m).min()) for m in _ODD]
+    return np.unique(np.array([zlib.crc32(p.encode("utf-8", "replace")) for p in pairs], np.uint32))
 
 
-def token_counts(rows: DataFrame) -> DataFrame:
-    """(token, toxic, clean): in how many labelled documents of either kind it occurs, where of near copies with one label only the first counts."""
+def _bands(pairs: np.ndarray) -> list[int]:
+    """BANDS hashes, each of IN_BAND min-hashes. Texts that share few pairs agree on none; near copies on one nearly always."""
+    least = np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(pairs), _PIECE):
+        h = pairs[at : at + _PIECE, None] * _ODD
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        h ^= h >> np.uint32(13)
+        least = np.minimum(least, h.min(axis=0))
+    return [zlib.crc32(b.tobytes()) for b in least.reshape(BANDS, IN_BAND)]
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(row) of rows (row, text; row begins with the toxic label) that are near copies of an earlier row with the same label.
+
+    Bands only propose: a row meets the first row of each of its buckets, and counts as a near copy where at least COPY of their word pairs
+    are the same. The first of rows that hang together never is one.
+    """
 
     def sketch(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_families(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "toxic", "families"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_bands(_pairs(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "bands"])
 
-    named = rows.mapInArrow(sketch, "doc_id long, toxic int, families array<long>").select("doc_id", "toxic", F.posexplode("families").alias("sketch", "family"))
-    firsts = named.groupBy("sketch", "family", "toxic").agg(F.min("doc_id").alias("first_id")).groupBy("first_id").count().where(F.col("count") >= SKETCHES)
-    first = cut(firsts.select("first_id"), "families")
-    voters = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, rows["doc_id"] == first["first_id"], "left_semi")
+    def paired(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_pairs(t).view(np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["row", "pairs"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    named = cut(rows.mapInArrow(sketch, f"row {kind}, bands array<long>").select("row", F.posexplode("bands").alias("band", "bucket")), "bands")
+    firsts = named.groupBy("band", "bucket", "row.toxic").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = (named["band"] == firsts["band"]) & (named["bucket"] == firsts["bucket"]) & (named["row.toxic"] == firsts["toxic"])
+    met = cut(named.join(firsts, same).select("row", "first").where("row <> first").distinct(), "met")
+    asked = met.select("row").union(met.select("first")).distinct()
+    small = met.count() <= BROADCAST_ROWS
+    pairs = cut(rows.join(F.broadcast(asked) if small else asked, "row", "left_semi").mapInArrow(paired, f"row {kind}, pairs array<int>"), "pairs")
+    both = met.join(pairs.select(F.col("row").alias("first"), F.col("pairs").alias("of_first")), "first").join(pairs, "row")
+    shared = F.size(F.array_intersect("pairs", "of_first"))
+    out = cut(both.where(shared >= COPY * (F.size("pairs") + F.size("of_first") - shared)).select("row").distinct(), "copies")
+    for t in (named, met, pairs):
+        drop(t)
+    return out
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(token, toxic, clean): in how many labelled documents of either kind it occurs, where of copies and near copies with one label only the first counts."""
+    hashes = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
+    rows = rows.select(F.struct("toxic", "doc_id", hashes[0].alias("h1"), hashes[1].alias("h2")).alias("row"), "text", "toxic")
+    texts = rows.groupBy("row").agg(F.count("*").alias("n")).groupBy("row.toxic", "row.h1", "row.h2").agg(F.min(F.struct("row", "n")).alias("first"))
+    texts = cut(texts.select("first.row", "first.n"), "texts")
+    small = texts.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda t: t
+    distinct = rows.join(sent(texts.where("n = 1").select("row")), "row", "left_semi")
+    again = texts.where("n > 1").select("row")
+    if again.count():  # rows that are there more than once
+        distinct = distinct.unionByName(rows.join(sent(again), "row", "left_semi").dropDuplicates(["row"]))
+    copies = near_copies(distinct.select("row", "text"))
+    voters = distinct.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")
 
     def count(batches):
         both = (Counter(), Counter())

@@ -102,3 +102,18 @@ def test_toxicity(spark):
     assert by[2000].predicted == 0 and by[2001].predicted == 0 and by[2002].predicted == 1 and by[2002].passages.endswith("60000-60002")
     assert len({x.score for x in toxicity.held_out_toxicity(d, lab.limit(0)).collect()}) == 1
     assert toxicity.held_out_toxicity(d.limit(0), lab).count() == 0
+
+
+def test_only_verified_copies_are_silent(spark):
+    r = random.Random(4)
+    rare = min((f"a{i} b{i}" for i in range(20_000)), key=lambda p: zlib.crc32(p.encode()))  # a pair with a small hash that unrelated texts share
+    own = [f"{rare} " + " ".join(f"u{i}x{j}" for j in range(40)) for i in range(30)]
+    base = [f"c{j}" for j in range(200)]
+    near = [base] + [[*base[:k], f"new{k}", *base[k + 1 :]] for k in (50, 90, 130)]
+    data = [(i, t, 0) for i, t in enumerate(own)] + [(100 + i, " ".join(w), 1) for i, w in enumerate(near)] + [(200, own[0], 0), (200, own[0], 0), (201, own[0], 1), (202, " ".join(base), 0), (300, "twice", 1), (300, "twice", 1), (300, "other", 1)]
+    r.shuffle(data)
+    got = {c.token: (c.toxic, c.clean) for c in toxicity.token_counts(spark.createDataFrame(data, "doc_id long, text string, toxic int")).collect()}
+    assert got[rare.split()[0]] == (1, 30)  # every text that is no copy votes
+    assert all(got[f"u{i}x0"] == (int(i == 0), 1) for i in range(30))
+    assert got["c0"] == (1, 1) and "new50" not in got  # of near copies with one label, the first
+    assert got["twice"] == (1, 0) and got["other"] == (1, 0)
