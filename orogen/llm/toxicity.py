@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from orogen.llm.common import cut, drop
 
-LEXICON = 20_000  # scored tokens at most: those with the largest z
 BANDS, IN_BAND = 8, 4  # min-hashes by which near copies find one another before they vote: they agree on one band of 8, each of 4
 COPY = 0.8  # word pairs two texts share, of all they have, from which on they are near copies
 LEAST_Z = 4.0
@@ -204,7 +203,7 @@ def lexicon(counts: DataFrame) -> tuple[dict[str, float], float]:
     delta = odds("toxic", float(total.toxic)) - odds("clean", float(total.clean))
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     share = (F.col("clean") + prior) / F.lit(total.clean + size)
-    rows = counts.select("token", delta.alias("score"), z.alias("z"), share.alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("score") > DRIFT)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    rows = counts.select("token", delta.alias("score"), z.alias("z"), share.alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("score") > DRIFT)).orderBy(F.desc("z"), "token").collect()
     drop(counts)
     scores = {r.token: float(r.score) for r in rows}
     if not scores:

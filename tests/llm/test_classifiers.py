@@ -117,3 +117,8 @@ def test_only_verified_copies_are_silent(spark):
     assert all(got[f"u{i}x0"] == (int(i == 0), 1) for i in range(30))
     assert got["c0"] == (1, 1) and "new50" not in got  # of near copies with one label, the first
     assert got["twice"] == (1, 0) and got["other"] == (1, 0)
+
+
+def test_lexicon_holds_every_telling_token(spark):
+    counts = spark.range(50_000).selectExpr("concat('t', id) token", "if(id < 25000, 50L, 0L) toxic", "if(id < 25000, 0L, 50L) clean")
+    assert set(toxicity.lexicon(counts)[0]) == {f"t{i}" for i in range(25_000)}
