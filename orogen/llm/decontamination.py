@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orogen.llm.common import cut
 
 WINDOW = 13  # words of a phrase
-NEAR = 10  # terms of a window that make a proximity match, within its length
+NEAR = 10  # words of a window (repeated ones as often) that make a proximity match, within its length and in any order
 BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the postings in a shuffle
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,20 +46,45 @@ def term_counts(docs: DataFrame, terms: DataFrame, broadcast: bool) -> DataFrame
     return postings(docs).select("term").join(F.broadcast(terms) if broadcast else terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The windows that can occur at all, with their rarest and second rarest term and these terms' offsets."""
-    each = windows.withColumn("row", F.struct("item", "words")).select("row", F.posexplode("words").alias("offset", "term")).join(counts, "term")
+def anchored(windows: DataFrame, counts: DataFrame, near: bool = True) -> DataFrame:
+    """What windows are looked up by. Those that can occur whole: their rarest and second rarest term and these terms' offsets. With near, all that
+    can be near too: a row for each term among their WINDOW - NEAR + 1 rarest words, one of which is in every proximity match, with a null offset.
+    Words that no training text has count as rarest and are not looked up. least: how many different terms must be near; repeated: terms and how often, where some are repeated.
+    """
+    each = windows.withColumn("row", F.struct("item", "words")).select("row", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left").fillna(0, "n")
     rare = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("rare"))
     first, second = F.get("rare", F.lit(0)), F.coalesce(F.get("rare", F.lit(1)), F.get("rare", F.lit(0)))
-    return rare.where(F.size("rare") == F.size("row.words")).select(first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term_2"), second["offset"].alias("offset_2"), F.col("row.item").alias("item"), F.col("row.words").alias("words"))
+    row = F.col("row.item").alias("item"), F.col("row.words").alias("words")
+    none = "array<struct<term:string,n:int>>"
+    whole = rare.where(first["n"] > 0).select(first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term_2"), second["offset"].alias("offset_2"), *row, F.lit(None).cast("int").alias("least"), F.lit(None).cast(none).alias("repeated"))
+    if not near:
+        return whole
+    asked = WINDOW - NEAR + 1
+    terms = F.array_distinct("row.words")
+    often = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("row.words", lambda x: x == t)).alias("n")))
+    close = rare.where((F.size("rare") == WINDOW) & (F.get("rare", F.lit(asked - 1))["n"] > 0)).select(
+        F.explode(F.array_distinct(F.transform(F.filter(F.slice("rare", 1, asked), lambda x: x["n"] > 0), lambda x: x["term"]))).alias("term"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("string").alias("term_2"), F.lit(None).cast("int").alias("offset_2"),
+        *row, (F.size(terms) - (WINDOW - NEAR)).alias("least"), F.when(F.size(terms) < WINDOW, often).cast(none).alias("repeated"),
+    )
+    return whole.union(close)
+
 
+def most_shared(around: Column, low: Column, pos: Column, n_words: Column) -> Column:
+    """The most words of the window that lie within its length anywhere about pos; around holds the words from low on. Only rows that passed the count of different terms come here."""
+    starts = F.sequence(F.greatest(pos - (WINDOW - 1), F.lit(1)), F.least(pos, n_words - (WINDOW - 1)))
+    stretches = F.transform(starts, lambda s: F.slice(around, s - low + 1, WINDOW))
+    different = F.transform(stretches, lambda w: F.size(F.array_intersect(w, F.col("words"))))
+    counted = F.transform(stretches, lambda w: F.aggregate("repeated", F.lit(0), lambda n, t: n + F.least(t["n"], F.size(F.filter(w, lambda x: x == t["term"])))))
+    return F.array_max(F.when(F.col("repeated").isNull(), different).otherwise(counted))
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
     """Rows (doc_id, h1, h2, n_words, item, start, size, exact, same) of docs (doc_id, text): windows that a document may have from word start on.
 
-    The training texts' postings of the rarest term of each window meet the postings of its second rarest, adjusted by their
-    offsets; where both agree, the aligned words are compared. exact is a phrase match; same is how many different terms of the window lie
-    within its length there, for proximity matches. No Python, no lambda: all of it compiles, and no row carries the document's words on. Each row of docs also gives one row with a null item. h1 and h2 are two hashes of the text.
+    For phrase matches (exact), the training texts' postings of the rarest term of each window meet the postings of its second rarest,
+    adjusted by their offsets; where both agree, the aligned words are compared. For proximity matches, postings of its four rarest words are met whatever
+    their offset; where enough different terms lie around, same is how many words of the window lie within its length there. No Python, and lambdas only for what passed both tests; no row
+    carries the document's words on. Each row of docs also gives one row with a null item. h1 and h2 are two hashes of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -68,42 +93,43 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     small = windows.count() <= BROADCAST_WINDOWS
     terms = windows.select(F.explode("words").alias("term")).distinct()
     counts = cut(term_counts(source.select(words(F.col("text")).alias("w")), terms, small), "terms")
-    anchors = cut(anchored(windows, counts), "anchors")
-    marker = anchors.sparkSession.createDataFrame([("", 0, "", 0, None, [])], anchors.schema)
+    anchors = cut(anchored(windows, counts, near), "anchors")
+    marker = anchors.sparkSession.createDataFrame([("", 0, "", 0, None, [], None, None)], anchors.schema)
     anchors = anchors.union(marker)
     start = F.col("pos") - F.col("offset")
     length = F.size("words")
+    low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     if small:
         rows = postings(listed, "doc_id", "h1", "h2", "w").join(F.broadcast(anchors), "term")
         at = start
         around = F.col("w")
+        about = F.slice("w", low + 1, 2 * window - 1)
     else:  # the index entries carry the words around them instead of the whole text
-        low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
         entries = postings(listed, "doc_id", "h1", "h2", "w").withColumn("n_words", count_of(F.col("w"))).withColumn("first", low).withColumn("w", F.slice("w", low + 1, 2 * window - 1))
         rows = entries.join(anchors, "term")
         at = start - F.col("first")
-        around = F.col("w")
+        around = about = F.col("w")
     n_words = count_of(F.col("w")) if small else F.col("n_words")
-    mark = F.col("item").isNull()
+    mark, close = F.col("item").isNull(), F.col("least").isNotNull()
     fits = (start >= 1) & (start + length - 1 <= n_words)
     agrees = F.get(around, at + F.col("offset_2")) == F.col("term_2")
-    rows = rows.where(F.when(mark, F.col("pos") == 0).otherwise(fits & agrees))
+    enough = (n_words >= WINDOW) & (F.size(F.array_intersect(about, F.col("words"))) >= F.col("least"))
+    rows = rows.where(F.when(mark, F.col("pos") == 0).when(close, enough).otherwise(fits & agrees))
     aligned = F.slice(around, F.greatest(at + 1, F.lit(1)), length)
-    same = F.when(aligned == F.col("words"), length).otherwise(F.size(F.array_intersect(aligned, F.col("words"))))
-    return rows.select("doc_id", "h1", "h2", n_words.cast("long").alias("n_words"), "item", start.alias("start"), length.alias("size"), (aligned == F.col("words")).alias("exact"), F.when(~mark, same).alias("same"))
+    return rows.select("doc_id", "h1", "h2", n_words.cast("long").alias("n_words"), "item", start.alias("start"), length.alias("size"), (~close & (aligned == F.col("words"))).alias("exact"), F.when(close, most_shared(about, low, F.col("pos"), n_words)).alias("same"))
 
 
-def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
     """doc_id, h1, h2, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row of docs (h1, h2: hashes of its text)."""
-    found = hits(docs, items)
+    found = hits(docs, items, near=near)
     exact = F.col("item").isNotNull() & F.col("exact")
-    near = F.col("item").isNotNull() & ~F.col("exact") & (F.col("same") >= NEAR) & (F.col("size") == WINDOW)
+    close = F.col("item").isNotNull() & ~F.col("exact") & (F.col("same") >= NEAR) & (F.col("size") == WINDOW)
     grouped = found.groupBy("doc_id", "h1", "h2").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.col("item").isNull().cast("int")).alias("copies"),
         F.collect_set(F.when(exact, F.struct("start", "size"))).alias("spans"),
         F.collect_set(F.when(exact, F.col("item"))).alias("items"),
-        F.collect_set(F.when(near, F.col("item"))).alias("near"),
+        F.collect_set(F.when(close, F.col("item"))).alias("near"),
     )
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
     out = grouped.withColumn("n_hit", F.size(covered).cast("long")).select(
@@ -124,6 +150,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = judge(docs, items).where("contaminated").select("h1", "h2").distinct()
+    bad = judge(docs, items, near=False).where("contaminated").select("h1", "h2").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.join(bad, (F.xxhash64(text) == bad["h1"]) & (F.xxhash64(text, F.lit(1)) == bad["h2"]), "left_anti")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -68,3 +69,31 @@ def test_proximity(spark):
     df = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(words)), (3, "w5 w5 " + " ".join(words[:6]))], "doc_id long, text string")
     it = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert {g.doc_id: (g.n_hit, g.n_near) for g in d.decontaminate(df, it).collect()} == {1: (0, 1), 2: (13, 0), 3: (0, 0)}
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_proximity_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", broadcast)
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    items = {i: [*r.choices(common, k=5), *(f"r{i}x{j}" for j in range(8)), *r.choices(common, k=3)] for i in range(6)}
+    items[6] = "a b a b a b a b a b a b a".split()
+    items[7] = [*(f"typo{j}" for j in range(3)), *(f"z{j}" for j in range(10))]
+    items[8] = [*(f"gone{j}" for j in range(4)), *(f"z{j}" for j in range(9))]
+    docs = [(100, items[7][3:] + ["q", "q", "q"]), (101, "a b a b a b a b a b x y z".split()), (102, "a b".split() * 2 + ["x"] * 20), (103, items[0][:12])]
+    for i in range(60):
+        w = list(items[r.randrange(8)])
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice([[], ["edit"], [r.choice(common)]])
+        docs.append((i, [*r.choices(common, k=r.randint(0, 9)), *w, *r.choices(common, k=r.randint(0, 9))]))
+    want = {}
+    for i, w in docs:
+        stretches = [w[s : s + 13] for s in range(len(w) - 12)]
+        windows = {n: [t[s : s + 13] for s in range(len(t) - 12)] for n, t in items.items()}
+        near = {n for n, ws in windows.items() if any((Counter(x) & Counter(y)).total() >= 10 for x in ws for y in stretches)}
+        want[i] = len(near - {n for n, ws in windows.items() if any(x == y for x in ws for y in stretches)})
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    assert {g.doc_id: g.n_near for g in d.decontaminate(df, it).collect()} == want
+    assert want[100] == 1 and want[101] == 1 and sum(want.values()) > 20
