@@ -15,7 +15,7 @@ KINDS = ("email", "ip", "card", "phone", "name", "address")
 BASE = 4
 TAGS = ("O", "B-name", "I-name", "B-address", "I-address")
 
-# A small labelled table, as text: [words|kind] marks an entity.
+# A small labelled table, as text: [words|kind] marks an entity. Own sentences in the four languages of the documents, names in running prose among them.
 LABELLED = """
 My name is [Anna Weber|name] and I work here .
 I am called [John Smith|name] , nice to meet you .
@@ -25,39 +25,83 @@ Contact Dr [Alan Green|name] for details .
 Dear Mr [Hill|name] , thank you .
 Yours sincerely , [Laura Stone|name]
 Her name is [Kate Miller|name] .
+Last week the letter was signed by [Helen Ford|name] in the office .
+The report was written by [Thomas van Dyke|name] and two others .
+Yesterday I met [Oliver Grant|name] at the station .
+We spoke with [Grace O'Hara|name] about the rent .
+The flat belongs to [Martin Cole|name] , who is away .
+Our neighbour [Susan Bell|name] called the police .
+It was sent to [Jean-Paul Mercer|name] by mistake .
+My brother [George|name] lives far away .
+Then Ms [Ivy Lane Parker|name] signed the form .
+Professor [Nora Field|name] will see you at noon .
 He lives at [12 Park Street|address] in town .
 The office is at [7 Station Road|address] .
 Send it to [221 Baker Street|address] please .
 Address : [5 Mill Lane|address]
+She moved to [48 Old Church Road|address] last year .
+The parcel waits at [9 Green Avenue|address] until Friday .
+We met in front of [103 North Hill Drive|address] at six .
 Mein Name ist [Karl Huber|name] und ich bin da .
-Ich wohne in der [Hauptstraße 12|address] seit Mai .
 Bitte fragen Sie Herr [Jonas Vogel|name] danach .
 Frau [Eva Braun|name] ist heute nicht da .
+Gestern traf ich [Sabine Keller|name] am Bahnhof .
+Der Brief ist von [Ludwig von Stein|name] unterschrieben .
+Wir sprachen mit [Petra Lang|name] über die Miete .
+Unser Nachbar [Dieter Kraus|name] rief die Polizei .
+Das Haus gehört [Hans-Peter Roth|name] aus dem Dorf .
+Ich wohne in der [Hauptstraße 12|address] seit Mai .
 Adresse : [Bahnhofstraße 7|address]
+Das Büro ist im [Gartenweg 31|address] gleich um die Ecke .
+Sie zog in die [Mühlgasse 4|address] um .
 Je m'appelle [Marie Dupont|name] et je vis ici .
 Monsieur [Paul Martin|name] est parti .
 Madame [Claire Petit|name] arrive demain .
+Hier j'ai vu [Luc Bernard|name] à la gare .
+La lettre est signée par [Anne de la Tour|name] ce matin .
+Nous avons parlé avec [Sophie Moreau|name] du loyer .
+Notre voisin [Henri Lefort|name] a appelé la police .
 Elle habite [14 rue Victor Hugo|address] depuis mai .
 Adresse : [8 rue Pasteur|address]
+Le bureau est au [27 avenue Jean Moulin|address] près du port .
 Me llamo [Carlos Ruiz|name] y vivo aquí .
 El señor [Luis Gómez|name] no está .
 La señora [Ana López|name] llega hoy .
+Ayer vi a [Pedro Castro|name] en la estación .
+La carta fue firmada por [María de los Santos|name] esta mañana .
+Hablamos con [Elena Vega|name] del alquiler .
 Vive en la [calle Mayor 15|address] con su hija .
+La oficina está en la [calle del Sol 22|address] cerca del puerto .
 The river runs to the sea .
 Now we go on with the work .
 In the year 1998 there were 12 of them .
 This is one of the best . It is not here .
 Page 12 of 40
+The train to Dover leaves at 9 and the one to London at 10 .
+On Monday the Bank of the North was closed .
+It was written by the Council and sent to Parliament .
+We met at the Museum . The Old Bridge was closed .
+He spoke with the Minister about Europe .
+The letter was signed by the Board on 3 May 2004 .
+Yesterday was Sunday . Then came Winter .
+Our school is in Kent and the Hospital is in York .
 Ist das nicht die Zeit der Menschen und der Dinge ?
 Die Stadt und der Fluss sind alt .
 Zwei Männer gehen in den Wald .
+Gestern fuhr der Zug nach Bremen um 12 Uhr ab .
+Der Brief ist von der Bank und vom Amt .
+Wir sprachen mit dem Lehrer über das Haus .
+Das Haus gehört der Stadt und dem Verein .
 Les enfants et la mer . Une maison est là .
 De la terre et du vent dans les arbres .
+Hier le train pour Lyon est parti à 9 heures .
+La lettre est signée par le Conseil .
+Nous avons parlé avec le maire de la ville .
 El agua y la tierra de los campos .
 No hay nada que hacer en la casa .
+Ayer vi a la gente en la plaza de Sevilla .
+La carta fue firmada por el Consejo .
 See Figure 3 and Table 4 .
-License 2.0 applies . Copyright 2004 Example Foundation
-Licensed under the Apache License , Version 2.0
 Walking along we saw them .
 Reading is fun , it is Monday .
 Houses stand here . Trees grow there .
@@ -65,19 +109,36 @@ Every Morning the Bells of Dover ring .
 ANOTHER DAY HAS GONE !
 Then . Slowly . Quiet Rivers Run Deep
 North | South | East | West
+Again Again Again Again Again Again Again
+Und Und Und Und Und Und Und Und Und
 He is Captain of the Ship and she is Queen .
 Zusammen gehen Kinder in Schulen und Gärten .
 Langsam . Morgen kommt Besuch aus Bremen .
 Toujours là . Demain Paris et Lyon se lèvent .
 Siempre igual . Mañana Madrid y Sevilla esperan .
 There were 14 Ducks and 3 Geese at 9 Ponds .
-Call 555 or take 12 of 30 Steps .
-WORDS ### more $$$ Words *** 12 %%%
-name
-the name of the Game is Chess .
+Take 12 of 30 Steps and 5 Cups .
+the rules of the Game are in Part Two .
+Dentro de la casa hay sol . Cerca del mar vive gente . Antes de los meses de lluvia todo cambia .
+Después la mujer sale . Detrás de él hay un muro . Fuera de la ciudad .
+Autour de la table on parle . Avant la nuit tout change . Plus de pain pour nous . Loin de là .
+Wegen der Hitze blieb man drin . Unter der Brücke fließt Wasser . Vor der Tür . Neben der Straße .
+Today , we rest . Yes , it is so . Often , as we know , it rains . Well , well , Well , Well .
+Heute , sagte er , regnet es . Ja , gern . Leider , so heißt es , zu spät .
+Parfois , il pleut . Oui , c'est ici . Ensuite , on mange .
+Luego , todo cambia . Sí , claro . Además , hay pan .
+Rivers . Slowly . Nothing | Evening ! Outside
+Stille . Niemals . Morgen ! Draußen
+Demain . Jamais ! Toujours | Dehors
+Nunca . Siempre ! Mañana | Afuera
+Home again . Wind and rain . Bread , milk and salt .
+Haus und Hof . Wind und Regen .
+Vent et pluie . Lluvia y viento .
+Ring 020 555 - 0101 Thursday or + 44 ( 20 ) 555 - 0102 Friday .
 """
 
-STREETS = {"street", "road", "lane", "rue", "calle"}
+STREETS = {"street", "road", "lane", "avenue", "drive", "rue", "calle"}
+PARTICLES = {"van", "von", "der", "de", "la", "los", "del", "da", "di", "du"}  # that stand in names in lower case
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+|[^\w\s]|_|\n")
 _STOP = frozenset(".!?|\n")
@@ -154,7 +215,7 @@ class Model:
 
 
 def read_labelled(text: str = LABELLED) -> list[tuple[list[str], list[int]]]:
-    """Words and tags of the lines of the labelled table."""
+    """Words and tags of the sentences of the labelled table, without the signs that end them, as the tagger sees them."""
     out = []
     for line in filter(None, map(str.strip, text.splitlines())):
         words, tags, at = [], [], 0
@@ -168,7 +229,8 @@ def read_labelled(text: str = LABELLED) -> list[tuple[list[str], list[int]]]:
                 words += own
                 tags += [b] + [b + 1] * (len(own) - 1)
                 at = m.end()
-        out.append((words, tags))
+        ends = [i for i, w in enumerate(words) if w in _STOP]
+        out += [(words[i:j], tags[i:j]) for i, j in zip([0, *(e + 1 for e in ends)], [*ends, len(words)]) if i < j]
     return out
 
 
@@ -184,9 +246,9 @@ def _emissions(ids: np.ndarray, emit: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: float = 0.1, l2: float = 0.02) -> Model:
     """Maximum likelihood with a quadratic penalty, by forward and backward sums over each row."""
     entity = {w.lower() for words, tags in rows for w, t in zip(words, tags) if t}
-    # Known by themselves: the words around entities that never stand in one, and the words of streets; all others are their shape.
+    # Known by themselves: the words around entities that never stand in one, the words of streets and the particles of names; all others are their shape.
     near = {words[j].lower() for words, tags in rows for i, t in enumerate(tags) if t for j in range(max(0, i - 2), min(len(words), i + 2)) if not tags[j] and words[j][0].isalpha()}
-    outside = sorted(near - entity | (entity & STREETS))
+    outside = sorted(near - entity | (entity & (STREETS | PARTICLES)))
     shapes = {s: i + 1 for i, s in enumerate(sorted({shape(w) for words, _ in rows for w in words}))}
     known = {w: len(shapes) + 1 + i for i, w in enumerate(outside)}
     k, f = len(TAGS), len(shapes) + len(known) + 1
@@ -251,13 +313,15 @@ def viterbi(ids: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
     return tags
 
 
-def plausible(found: str, kind: int) -> bool:
-    """A name has one to six words that begin with capitals, none of them a sign; an address has a number and a capitalised word."""
-    words = _TOKEN.findall(found)
-    if len(words) > 6 or len(set(words)) < len(words):
-        return False
-    capital = any(w[0].isupper() and len(w) > 1 for w in words)
-    return capital and (all(w[0].isupper() for w in words) if KINDS[kind] == "name" else any(w[0].isdigit() for w in words))
+def trim(words: list[str], kind: int) -> tuple[int, int]:
+    """First and last word of what a decoded span keeps, (0, -1) if nothing. A name goes from a capital to the last capital before a word that is neither
+    capitalised, a particle, a hyphen nor a dot; an address needs a number and a capital and stays whole."""
+    if KINDS[kind] == "address":
+        return (0, len(words) - 1) if any(w[0].isupper() for w in words) and any(w[0].isdigit() for w in words) else (0, -1)
+    first = next((i for i, w in enumerate(words) if w[0].isupper()), len(words))
+    end = next((i for i, w in enumerate(words) if i >= first and not (w[0].isupper() or w in PARTICLES or w in "-.")), len(words))
+    capitals = [i for i in range(first, end) if words[i][0].isupper()]
+    return (capitals[0], capitals[-1]) if any(len(words[i]) > 1 and words[i].lower() not in PARTICLES for i in capitals) else (0, -1)
 
 
 class Tagger:
@@ -305,18 +369,22 @@ class Tagger:
         for i, o in zip(hot.tolist(), owner.tolist()):
             by_text.setdefault(o, []).append(i - int(begin[o]))
         for o, text in enumerate(texts):
-            spans: list[tuple[int, int, int]] = []
+            spans: list[list[int]] = []  # first word, kind, last word
+            places: list[tuple[int, int]] = []
             if o in by_text:
                 places = [m.span() for m in _TOKEN.finditer(text)]
                 for i in by_text[o]:
                     tag = int(tags[begin[o] + i])
-                    kind = BASE + (tag - 1) // 2
-                    if tag % 2 or not spans or last != i - 1:
-                        spans.append((places[i][0], kind, places[i][1]))
+                    if tag % 2 or not spans or spans[-1][2] != i - 1:
+                        spans.append([i, BASE + (tag - 1) // 2, i])
                     else:
-                        spans[-1] = (spans[-1][0], kind, places[i][1])
-                    last = i
-            out.append([x for x in spans if plausible(text[x[0] : x[2]], x[1])])
+                        spans[-1][2] = i
+            kept = []
+            for i, kind, j in spans:
+                first, last = trim([text[a:b] for a, b in places[i : j + 1]], kind)
+                if last >= 0:
+                    kept.append((places[i + first][0], kind, places[i + last][1]))
+            out.append(kept)
         return out
 
 
@@ -344,7 +412,7 @@ def _grouped(texts: list[str], tagger: Tagger):
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_name, n_address of every row of docs.
 
-    A null or empty text has no spans; repeated rows each stay a row; columns other than doc_id and text are ignored; an empty
+    A null or empty text has no spans; a text may be of any length (sentences are decoded in batches of bounded size); repeated rows each stay a row; columns other than doc_id and text are ignored; an empty
     table gives an empty result.
     """
     model = model or train(read_labelled())

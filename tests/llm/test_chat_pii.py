@@ -29,6 +29,90 @@ def test_links(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+ODD_MESSAGES = [
+    '{"content":"\\ud800","tools":[]}', '{"tool_call_id":"\\udc00"}', '{"tool_calls":[{"id":"a","name":"f","arguments":{"n":' + "9" * 400 + "}}]}", '{"tool_calls":[{"id":"b","name":"f","arguments":{"n":1e400}}]}',
+    '{"tools":[{"name":"f","parameters":{"required":5,"type":[{}],"properties":{"n":{"type":"integer","minimum":"x","pattern":5}}}}]}', "{" * 100_000, '{"tool_calls":' + "[" * 5000 + "]" * 5000 + "}",
+    '{"tools":[{"name":"g","parameters":{"$ref":"#"}},{"name":"h","parameters":{"pattern":"(","anyOf":5,"enum":{},"allOf":[]}}], "tool_calls":[{"name":"g","arguments":{}},{"name":"h","arguments":{}}]}',
+    '{"tool_calls":[{"id":{"a":1},"name":[1],"arguments":"{\\"a\\":1}"},7,null]}', "{}", "[]", "null", '{"tools":{}}', "{\"tool_call_id\":\"" + "9" * 5000 + "\"}", '{"tool_calls":[{"arguments":' + "9" * 5000 + "}]}",
+]
+
+
+def test_no_message_breaks_the_job(spark):
+    r = random.Random(8)
+    bits = ["{", "}", "[", "]", '"tool_calls"', '"tools"', '"id"', '"arguments"', '"parameters"', '"type"', '"name"', ":", ",", "1e999", "-0.0", '"\\ud83d"', "null", "true", "12"]
+    data = [(i % 3, i, "tool", t) for i, t in enumerate([*ODD_MESSAGES, *("{" + "".join(r.choices(bits, k=r.randint(1, 25))) for _ in range(400))])]
+    rows = chat.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    assert len(rows) == len(data)
+    for row in rows:
+        json.loads(row.canonical)
+        assert "Infinity" not in row.canonical
+    assert chat.parse("u", ODD_MESSAGES[0])[0] == '{"content":"\\ud800","role":"u"}'
+
+
+def test_schema_keywords():
+    cases = [
+        ({"minimum": 2}, 2, 1), ({"exclusiveMaximum": 3}, 2.5, 3), ({"multipleOf": 3}, 9, 10), ({"type": "integer"}, 3, 3.5), ({"type": "number"}, 3.5, True), ({"const": {"a": [1]}}, {"a": [1]}, {"a": [2]}),
+        ({"pattern": "^a+$"}, "aaa", "ab"), ({"minLength": 2, "maxLength": 3}, "ab", "a"), ({"anyOf": [{"type": "null"}, {"type": "string"}]}, None, 1), ({"oneOf": [{"minimum": 1}, {"minimum": 5}]}, 2, 6),
+        ({"allOf": [{"minimum": 1}, {"maximum": 5}]}, 3, 6), ({"not": {"type": "string"}}, 1, "x"), ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, {"a": 1}, {"a": "1"}),
+        ({"items": {"type": "string"}, "minItems": 1, "uniqueItems": True}, ["a"], ["a", "a"]), ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, {"x1": 1}, {"y": 1}), ({"required": ["a"]}, {"a": 1}, {}),
+        ({"prefixItems": [{"const": 1}], "items": False}, [1], [1, 2]), ({"contains": {"const": 2}}, [1, 2], [1]), ({"if": {"minimum": 5}, "then": {"maximum": 9}}, 4, 10), ({"maxProperties": 1}, {"a": 1}, {"a": 1, "b": 2}), ({"enum": [1, "a"]}, "a", 2),
+    ]
+    for schema, good, bad in cases:
+        assert chat.valid(good, schema) and not chat.valid(bad, schema), schema
+    assert not chat.fine("{}", '{"$ref":"#"}') and chat.fine('{"n": 1.0}', '{"properties":{"n":{"type":"integer"}}}')
+
+
+def plain_order(conversation):
+    """Rows (turn, calls, answers) in order, by brute force: the key of a moved result is its call's key and one more."""
+    n = len(conversation)
+    own = [(turn, i) for i, (turn, _, _) in enumerate(conversation)]
+    first_call, first_result = {}, {}
+    for i in sorted(range(n), key=own.__getitem__):
+        for at, c in enumerate(conversation[i][1]):
+            first_call.setdefault(c, (i, at))
+        if conversation[i][2] is not None:
+            first_result.setdefault(conversation[i][2], i)
+    parent = {i: first_call[c] for c, i in first_result.items() if c in first_call}
+    for i in list(parent):  # circles: the link into the earliest message goes
+        seen, at = [], i
+        while at in parent and at not in seen:
+            seen.append(at)
+            at = parent[at][0]
+        if at in seen:
+            del parent[min(seen[seen.index(at) :], key=own.__getitem__)]
+
+    def key(i):
+        best, dist, at, d = own[i], 0, i, 0
+        while at in parent:
+            at, d = parent[at][0], d + 1
+            if own[at] > best:
+                best, dist = own[at], d
+        return best, dist, parent[i][1] if i in parent else 0, i
+
+    return sorted(range(n), key=key), parent
+
+
+def test_order_equals_brute_force(spark):
+    r = random.Random(9)
+    conversations = [[(5, ["c1"], None), (3, ["c2"], "c1"), (4, [], "c2")], [(0, ["a"], "b"), (1, ["b"], "a"), (2, ["s"], "s")], [(50 - i, [f"k{i}"], f"k{i - 1}") for i in range(50)]]
+    for _ in range(60):
+        n = r.randint(1, 12)
+        conversations.append([(r.randint(-3, 9), [f"c{r.randint(0, n)}" for _ in range(r.randint(0, 2))], f"c{r.randint(0, n)}" if r.random() < 0.6 else None) for _ in range(n)])
+    data = []
+    for c, conversation in enumerate(conversations):
+        for i, (turn, calls, answers) in enumerate(conversation):
+            body = {"content": i} | ({"tool_calls": [{"id": x, "name": "f", "arguments": {}} for x in calls]} if calls else {}) | ({"tool_call_id": answers} if answers else {"tools": []})
+            data.append((c, turn, json.dumps(body)))
+    df = spark.createDataFrame(data, "conv_id long, turn long, text string").coalesce(1)
+    rows = chat.link(df.selectExpr("conv_id", "turn", "'x' as role", "text")).collect()
+    for c, conversation in enumerate(conversations):
+        got = [json.loads(x.canonical)["content"] for x in sorted((x for x in rows if x.conv_id == c), key=lambda x: x.position)]
+        want, parent = plain_order(conversation)
+        assert got == want, c
+        assert all(got.index(p) < got.index(i) for i, (p, _) in parent.items())
+        assert sorted(x.position for x in rows if x.conv_id == c) == list(range(1, len(conversation) + 1))
+
+
 def plain(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
@@ -79,6 +163,100 @@ def test_names_and_masks(spark):
     assert masked[1] == "Mail <EMAIL> or <PHONE>, my name is <NAME>." and masked[None] is None and masked[2] == "" and masked[3].endswith("<IP>")
 
 
+#: Not among the learned sentences; words of names and most contexts are new.
+HELD_OUT = """
+Tonight my friend [Robert Fox|name] will cook for us .
+The contract was signed by [Emily Watson|name] in March .
+Mr [Arthur Penn|name] left the room .
+We spoke with [Daniel de Vries|name] about the price .
+Contact Dr [Yusuf Khan|name] if it hurts .
+My name is [Ruth Abbot|name] and this is my dog .
+It was sent to [Victor Hale|name] by post .
+Our neighbour [Tina Moss|name] has a cat .
+She lives at [77 Willow Road|address] with her son .
+Send it to [3 Harbour Street|address] today .
+Frau [Ilse Krone|name] kommt morgen .
+Gestern traf ich [Uwe Sommer|name] im Park .
+Mein Name ist [Greta Holm|name] und ich singe .
+Er wohnt in der [Lindenstraße 90|address] im Norden .
+Monsieur [Alain Rives|name] est malade .
+Hier j'ai vu [Julie Caron|name] au marché .
+Elle habite [2 rue Voltaire|address] avec son chat .
+El señor [Pablo Ortiz|name] llega tarde .
+Ayer vi a [Rosa Marín|name] en el mercado .
+Vive en la [calle Real 8|address] con su madre .
+The Museum of Bath opens at 10 on Tuesday .
+We saw 4 Swans and the Lake . It was Spring .
+Der Zug nach Hamburg hat 5 Wagen .
+Le train pour Nice part à 8 heures .
+El tren a Toledo sale a las 7 .
+The Council met in Leeds and the Mayor spoke .
+Over Over Over Over Over Over
+"""
+
+
+def entities(tags):
+    """(first, last, kind) of a row of tags."""
+    out = []
+    for i, t in enumerate(tags):
+        if t % 2:
+            out.append([i, i, t])
+        elif t and out and out[-1][1] == i - 1:
+            out[-1][1] = i
+    return set(map(tuple, out))
+
+
+def test_held_out_spans():
+    """Precision and recall of whole spans on lines that were not learned from."""
+    import numpy as np
+
+    model = pii.train(pii.read_labelled())
+    right = found = there = 0
+    for words, tags in pii.read_labelled(HELD_OUT):
+        got = entities(pii.viterbi(np.array([[model.feature(w) for w in words]]), np.array([len(words)]), model)[0].tolist())
+        right, found, there = right + len(got & entities(tags)), found + len(got), there + len(entities(tags))
+    print(f"precision {right / found:.2f}, recall {right / there:.2f} of {there}")
+    assert right / found >= 0.85 and right / there >= 0.8
+
+
+def test_viterbi_equals_exhaustive_search():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    k = len(pii.TAGS)
+    for n in range(1, 6):
+        model = pii.Model({}, {}, r.normal(size=(4, 7, k)), r.normal(size=(k, k)), r.normal(size=k))
+        model.emit[:, 0] = 0  # feature 0, also the padding's, is never learned
+        ids = r.integers(0, 7, (3, 6))
+        got = pii.viterbi(np.where(np.arange(6) < n, ids, 0), np.array([n] * 3), model)
+        for row in range(3):
+            e = pii._emissions(ids[row, :n], model.emit)
+            score = lambda tags: model.first[tags[0]] + sum(e[i, t] for i, t in enumerate(tags)) + sum(model.step[a, b] for a, b in zip(tags, tags[1:]))
+            assert tuple(got[row, :n]) == max(itertools.product(range(k), repeat=n), key=score)
+
+
+def test_find_equals_brute_force(spark):
+    """Every column of find() from plain patterns and the tagger, one text at a time."""
+    import hashlib
+
+    tagger = pii.Tagger(pii.train(pii.read_labelled()))
+    texts = ["Mail a.b@c.de, 1.2.3.4 or +1 (017) 555-7713. My name is Robert Fox.", "4111 1111 1111 1111 at 12 Park Street", "", None, "Mr Hill Mr Hill", "My name is Ann a@b.cd", "x" * 9000 + " 9.9.9.9"]
+    for row in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        t = texts[row.doc_id] or ""
+        base = plain(t)
+        every = sorted(base + [x for x in tagger([t])[0] if not any(b[0] < x[2] and x[0] < b[2] for b in base)])
+        spell = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert row.spans == spell(every) and row.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in every) for i in range(6)]
+
+
+def test_names_are_trimmed_not_dropped():
+    assert pii.trim("Anne de la Tour".split(), 4) == (0, 3) and pii.trim(["Jean", "-", "Luc", "Roy"], 4) == (0, 3) and pii.trim("Ann went".split(), 4) == (0, 0)
+    assert pii.trim("One Two Three Four Five Six Seven Eight".split(), 4) == (0, 7) and pii.trim(["x"], 4) == (0, -1) and pii.trim("12 Park Street".split(), 5) == (0, 2)
+
+
 def test_batched_decoding_equals_one_by_one():
     model = pii.train(pii.read_labelled(), rounds=20)
     tagger = pii.Tagger(model)
