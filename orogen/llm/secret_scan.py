@@ -14,6 +14,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 COPIED_OWNERS = 3  # a value under so many owners is a copied example
+COPIED_REPOSITORIES = 10  # and so is one in so many repositories, be it under one owner
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -56,13 +57,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied: int = COPIED_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied of every row of docs.
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied: int = COPIED_OWNERS, spread: int = COPIED_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_repositories of every row of docs.
 
     Each matched value is hashed and counted over the whole corpus by distinct owner (a document's source) and repository (its
-    doc_id). Values that one owner alone holds look live: they add a span `owned` over the value; values under three or more
-    owners count as copied examples. A null text is empty; a null owner is an owner of its own and a null doc_id no repository; repeated
-    rows each stay a row and count once; an empty table gives an empty result.
+    doc_id, of an owner). Values of one owner in fewer than spread repositories look live: they add a span `owned` over the value; values under
+    copied or more owners, or in spread or more repositories, be it under one owner, count as copied examples (n_copied). n_repositories: of the row's values
+    the most repositories, 0 without a value. A null text is empty, one of any length is read whole; a null owner is an owner of its own and a null doc_id no
+    repository; repeated rows each stay a row and count once; other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), *(matches(text, k).alias(f"k{k}") for k in range(len(KINDS))))
@@ -71,15 +73,16 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", cop
     seen = found.where(F.size(some) > 0).select("row", F.coalesce("owner", F.lit("\0")).alias("owner"), "repository", F.explode(some).alias("span")).withColumn("hash", F.unhex(F.sha2("span.value", 256)))
     counts = ownership(seen)
     judged = seen.join(counts, "hash").groupBy("row").agg(
-        F.collect_set(F.when(F.col("n_owners") == 1, F.struct((F.col("span.end") - F.length("span.value")).alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("span.end").alias("end")))).alias("owned"),
-        F.sum((F.col("n_owners") >= copied).cast("long")).alias("n_copied"),
+        F.collect_set(F.when((F.col("n_owners") == 1) & (F.col("n_repositories") < spread), F.struct((F.col("span.end") - F.length("span.value")).alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("span.end").alias("end")))).alias("owned"),
+        F.sum(((F.col("n_owners") >= copied) | (F.col("n_repositories") >= spread)).cast("long")).alias("n_copied"),
+        F.max("n_repositories").alias("n_repositories"),
     )
     base = F.transform(some, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     names = [k[0] for k in KINDS] + ["owned"]
     owned = F.coalesce("owned", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     out = found.join(judged, "row", "left")
     counted = [F.size(f"k{k}").cast("long").alias(f"n_{KINDS[k][0]}") for k in range(len(KINDS))]
-    return out.select("doc_id", *counted, F.sha2(spell(base, names), 256).alias("base_sha256"), spell(F.concat(base, owned), names).alias("spans"), F.size(owned).cast("long").alias("n_owned"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"))
+    return out.select("doc_id", *counted, F.sha2(spell(base, names), 256).alias("base_sha256"), spell(F.concat(base, owned), names).alias("spans"), F.size(owned).cast("long").alias("n_owned"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_copied", "n_repositories")))
 
 
 _DUCK = r"""
@@ -90,13 +93,13 @@ m AS (
 p AS (SELECT row, kind, unnest(generate_series(1, len(whole))) AS i, before, whole, value FROM m WHERE len(whole) > 0),
 s AS (SELECT row, kind, whole[i] AS w, value[i] AS v, list_sum(list_transform(before[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS start FROM p),
 b AS (SELECT row, kind, CAST(start AS BIGINT) AS start, CAST(start + length(w) AS BIGINT) AS stop, v FROM s WHERE length(v) >= CASE kind WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END),
-c AS (SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS n_owners FROM b JOIN d USING (row) GROUP BY v),
-o AS (SELECT DISTINCT row, 3 AS kind, stop - length(v) AS start, stop FROM b JOIN c USING (v) WHERE n_owners = 1),
+c AS (SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS n_owners, count(DISTINCT coalesce(owner, chr(1)) || '/' || doc_id) AS n_repositories FROM b JOIN d USING (row) GROUP BY v),
+o AS (SELECT DISTINCT row, 3 AS kind, stop - length(v) AS start, stop FROM b JOIN c USING (v) WHERE n_owners = 1 AND n_repositories < 10),
 a AS (SELECT row, kind, start, stop FROM b UNION ALL SELECT row, kind, start, stop FROM o),
 names AS (SELECT row, kind, start, stop, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM a),
 g AS (SELECT row, string_agg(said, ',' ORDER BY start, kind, stop) AS spans, string_agg(said, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owned FROM names GROUP BY row),
-e AS (SELECT row, count(*) FILTER (n_owners >= 3) AS n_copied FROM b JOIN c USING (v) GROUP BY row)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+e AS (SELECT row, count(*) FILTER (n_owners >= 3 OR n_repositories >= 10) AS n_copied, max(n_repositories) AS n_repositories FROM b JOIN c USING (v) GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied, coalesce(n_repositories, 0) AS n_repositories
 FROM d LEFT JOIN g USING (row) LEFT JOIN e USING (row)
 """
 
