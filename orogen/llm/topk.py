@@ -14,13 +14,14 @@ from orogen.llm.common import cut
 
 BLOCK = 512  # vectors of a block: a document range with its forward index and the extremes of every term
 QUERY_BLOCK = 512
-SHARD = 64  # blocks that one task searches for one block of queries
+SHARD = 64  # blocks that one task searches for some blocks of queries
+QUERY_SHARD = 8  # blocks of queries that go to a shard together: the whole index is sent once for so many
 PIVOTS = 64  # vectors that order the ranges; any choice gives the same result
 _EXACT = 2.0**53
 
 
 def _pack(ids: np.ndarray, matrix: np.ndarray) -> dict:
-    return {"ids": ids.astype("<i8").tobytes(), "width": matrix.shape[1], "terms": matrix.astype("<i8" if np.abs(matrix).max(initial=0) >= 1 << 15 else "<i2").tobytes(), "high": matrix.max(axis=0).astype("<i8").tobytes(), "low": matrix.min(axis=0).astype("<i8").tobytes()}
+    return {"ids": ids.astype("<i8").tobytes(), "width": matrix.shape[1], "terms": matrix.astype("<i8" if max(matrix.max(initial=0), -1 - matrix.min(initial=0)) >= 1 << 15 else "<i2").tobytes(), "high": matrix.max(axis=0).astype("<i8").tobytes(), "low": matrix.min(axis=0).astype("<i8").tobytes()}
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +35,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of all rows: in double precision where every partial sum fits it, else in 64-bit integers."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width) < _EXACT:
+    if np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0) * max(1, width) < _EXACT:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
     return a @ b.T
 
@@ -52,9 +53,9 @@ def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarra
 
 
 def integers(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, terms array<long>): floor(scale * component); rows with a null id, a null vector, or null or non-finite components are left out."""
+    """(vec_id, terms array<long>): floor(scale * component), at the ends of the 64-bit range where it passes them; rows with a null id, a null vector, or null or non-finite components are left out."""
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale))
-    fine = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e15))
+    fine = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), v.alias("terms"))
 
 
@@ -147,20 +148,22 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asks = cut(blocks(asked, QUERY_BLOCK), "queries").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("terms").alias("q_terms"))
 
     shards = docs.withColumn("shard", F.concat_ws("-", "width", F.shiftright("block", 32), F.floor(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) / SHARD)))
-    cells = asks.select("q_block").crossJoin(shards.select("shard").distinct())  # blocks of a stated query set against blocks of all rows
-    work = cells.join(asks, "q_block").select(F.col("q_block").alias("a"), F.col("shard").alias("b"), "q_ids", "q_width", "q_terms")
+    own_shard = lambda block, size: F.concat_ws("-", F.shiftright(block, 32), F.floor(F.col(block).bitwiseAND(F.lit((1 << 32) - 1)) / size))
+    asks = asks.withColumn("a", own_shard("q_block", QUERY_SHARD))
+    cells = asks.select("a").distinct().crossJoin(shards.select(F.col("shard").alias("b")).distinct())  # blocks of a stated query set against blocks of all rows
+    work = cells.join(asks, "a").select("a", "b", "q_ids", "q_width", "q_terms")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
 
     def search(key, left, right):
-        q = left.iloc[0]
-        query_ids, queries = _unpack({"ids": q.q_ids, "width": q.q_width, "terms": q.q_terms})
-        own = right.to_dict("records")
-        if not own:
-            return pd.DataFrame({n: np.zeros(0, np.int64) for n in schema.names})
-        found = search_shard(queries, query_ids, own, k)
-        return pd.DataFrame({"query_id": np.repeat(query_ids, [len(f[0]) for f in found]), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
-
-    replicated = cells.join(shards, "shard").select(F.col("q_block").alias("c"), F.col("shard").alias("d"), "ids", "width", "terms", "high", "low")
+        own, found, ids = right.to_dict("records"), [], []
+        for q in left.itertuples() if own else ():
+            query_ids, queries = _unpack({"ids": q.q_ids, "width": q.q_width, "terms": q.q_terms})
+            found += search_shard(queries, query_ids, own, k)
+            ids.append(query_ids)
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"query_id": np.repeat(np.concatenate([none, *ids]), [len(f[0]) for f in found]), "vec_id": np.concatenate([none, *(f[0] for f in found)]), "score": np.concatenate([none, *(f[1] for f in found)])})
+
+    replicated = cells.join(shards, cells["b"] == shards["shard"]).select(F.col("a").alias("c"), F.col("b").alias("d"), "ids", "width", "terms", "high", "low")
     hits = work.groupBy("a", "b").cogroup(replicated.groupBy("c", "d")).applyInPandas(search, schema)
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))  # Spark keeps k rows a query before the shuffle
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
