@@ -1,14 +1,15 @@
-"""Neighbourhood operators by windows along rows and columns: slope, hillshade, box statistics and what builds on them."""
+"""Neighbourhood operators: slope and hillshade by windows along rows and columns, box statistics by tiles, and what builds on them."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orogen.functions.numbers import clamp
 
 
 def along_x():
@@ -44,40 +45,73 @@ def multi_hillshade(cells: DataFrame, directions: int = 16, elevation: float = 3
     return slope_aspect(cells, **raster).select("x", "y", *(shade(360.0 / directions * i, elevation).alias(f"b{i}") for i in range(directions)))
 
 
-def box(cells: DataFrame, radii: list[int], squares: bool = False) -> DataFrame:
-    """cells with s{r}, c{r} (and q{r}): sum, count (and sum of squares) of the valid cells within r of each cell, clipped to the raster.
+class Boxes:
+    """Sums over boxes about the core cells of a tile, clipped to what is there. values: a matrix without NaN; core: slices of its rows and columns.
 
-    Two passes of running sums: a box is the difference of two of them, so its cost does not depend on r.
+    The running sums along rows are shared by all radii; sums start anew in each tile, so their error does not grow with the raster.
     """
-    kinds = {"s": F.coalesce(F.col("z"), F.lit(0.0)), "c": F.col("z").isNotNull().cast("double")} | ({"q": F.coalesce(F.col("z") * F.col("z"), F.lit(0.0))} if squares else {})
 
-    def run(df: DataFrame, values: dict[str, Column], pick, along) -> DataFrame:
-        so_far = along.rowsBetween(W.unboundedPreceding, 0)
-        df = df.select("*", *(F.sum(v).over(so_far).alias(f"_p{k}") for k, v in values.items()))
-        total = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        df = df.select("*", *(F.last(f"_p{k}").over(total).alias(f"_t{k}") for k in values))
-        out = []
-        for k in values:
-            for r in pick(k):
-                high = F.coalesce(F.lead(f"_p{k}", r).over(along), F.col(f"_t{k}")) if r else F.col(f"_p{k}")
-                low = F.coalesce(F.lag(f"_p{k}", r + 1).over(along), F.lit(0.0))
-                out.append((k, r, high - low))
-        return df, out
+    def __init__(self, values: np.ndarray, core: tuple[slice, slice]):
+        self.rows, self.columns = core
+        self.shape = values.shape
+        self.sums = np.zeros((values.shape[0], values.shape[1] + 1))
+        np.cumsum(values, axis=1, out=self.sums[:, 1:])
 
-    wide, parts = run(cells, kinds, lambda k: radii, along_x())
-    wide = wide.select(*cells.columns, *(v.alias(f"_{k}{r}") for k, r, v in parts))
-    names = {f"{k}{r}": F.col(f"_{k}{r}") for k in kinds for r in radii}
-    tall, parts = run(wide, names, lambda name: [int(name[1:])], along_y())
-    return tall.select(*cells.columns, *(v.alias(k) for k, _, v in parts))
+    def within(self, r: int) -> np.ndarray:
+        def ends(part: slice, n: int):
+            at = np.arange(part.start, part.stop)
+            return np.maximum(at - r, 0), np.minimum(at + r + 1, n)
 
+        left, right = ends(self.columns, self.shape[1])
+        low, high = ends(self.rows, self.shape[0])
+        wide = np.zeros((self.shape[0] + 1, len(left)))
+        np.cumsum(self.sums[:, right] - self.sums[:, left], axis=0, out=wide[1:])
+        return wide[high] - wide[low]
 
-def mean(r: int) -> Column:
-    return F.when(F.col(f"c{r}") > 0, F.col(f"s{r}") / F.col(f"c{r}"))
+
+def over_boxes(cells: DataFrame, radius: int, kernel, *names: str) -> DataFrame:
+    """x, y and the kernel's columns for all cells, also missing ones. One shuffle deals cells to tiles twice as wide as the radius (512 at least), with their halo.
+
+    kernel(heights above the tile's mean, core): a matrix of the core for each name; missing is NaN on both sides.
+    """
+    size = max(512, 2 * radius)
+
+    def near(v: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(v) - radius) / size).cast("int"), F.floor((F.col(v) + radius) / size).cast("int")))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        own = (x // size == key[0]) & (y // size == key[1])
+        if not own.any():
+            return pd.DataFrame({"x": x[own], "y": y[own], **{n: np.zeros(0) for n in names}})
+        x0, y0 = x.min(), y.min()
+        z = np.full((y.max() - y0 + 1, x.max() - x0 + 1), np.nan)
+        z[y - y0, x - x0] = pdf["z"].to_numpy(dtype=np.float64)
+        if not np.isnan(z).all():
+            z -= np.nanmean(z)
+        px, py = x[own] - x0, y[own] - y0
+        core = slice(py.min(), py.max() + 1), slice(px.min(), px.max() + 1)
+        found = kernel(z, core)
+        at = py - core[0].start, px - core[1].start
+        return pd.DataFrame({"x": x[own], "y": y[own], **{n: m[at] for n, m in zip(names, found)}})
+
+    dealt = cells.select("x", "y", "z", near("x").alias("_col")).select("*", near("y").alias("_row"))
+    schema = "x int, y int, " + ", ".join(f"{n} double" for n in names)
+    out = dealt.groupBy("_col", "_row").applyInPandas(run, schema)
+    return out.select("x", "y", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
+
+
+def means(z: np.ndarray, core: tuple[slice, slice], radii: list[int]) -> list[np.ndarray]:
+    """Means of the valid cells within each radius; NaN where there are none."""
+    known = ~np.isnan(z)
+    sums, counts = Boxes(np.where(known, z, 0.0), core), Boxes(known.astype(np.float64), core)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return [sums.within(r) / counts.within(r) for r in radii]
 
 
 def slrm(cells: DataFrame, radius: int = 20) -> DataFrame:
     """x, y, v: height above the mean of the surrounding box."""
-    return box(cells, [radius]).select("x", "y", (F.col("z") - mean(radius)).alias("v"))
+    return over_boxes(cells, radius, lambda z, core: [z[core] - means(z, core, [radius])[0]], "v")
 
 
 def msrm_radii(minimum: float, maximum: float, scaling: int, resolution: float) -> tuple[int, int, int]:
@@ -91,24 +125,30 @@ def msrm_radii(minimum: float, maximum: float, scaling: int, resolution: float)
 def msrm(cells: DataFrame, minimum: float = 1.0, maximum: float = 20.0, scaling: int = 2, resolution: float = 1.0) -> DataFrame:
     """x, y, v: mean of the differences of box means at successive radii. The sum telescopes, so two boxes suffice; a missing centre is filled where the smaller box has a value."""
     first, last, steps = msrm_radii(minimum, maximum, scaling, resolution)
-    both = sorted({first, last})
-    return box(cells, both).select("x", "y", ((mean(first) - mean(last)) / steps).alias("v"))
+
+    def kernel(z, core):
+        inner, outer = means(z, core, [first, last])
+        return [(inner - outer) / steps]
+
+    return over_boxes(cells, max(first, last), kernel, "v")
 
 
 def mstp(cells: DataFrame, local=(1, 5, 1), meso=(5, 50, 5), broad=(50, 500, 50), lightness: float = 0.9) -> DataFrame:
     """x, y, red (broad), green (meso), blue (local): 1 - exp(-lightness * |d|) of the largest deviation d from a box's mean in its standard deviations."""
-    scales = {"red": broad, "green": meso, "blue": local}
-    radii = sorted({r for a, b, s in scales.values() for r in range(a, b + 1, s)})
-    out = box(cells, radii, squares=True)
-
-    def deviation(r: int) -> Column:
-        m = F.col(f"s{r}") / F.col(f"c{r}")
-        std = F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{r}") / F.col(f"c{r}") - m * m))
-        return F.when(F.col("z").isNotNull(), F.abs((F.col("z") - m) / (std + 1e-6)))
-
-    bands = []
-    for name, (a, b, s) in scales.items():
-        all_of = [deviation(r) for r in range(a, b + 1, s)]
-        largest = F.greatest(*all_of) if len(all_of) > 1 else all_of[0]
-        bands.append(clamp(1 - F.exp(-lightness * largest), 0.0, 1.0).alias(name))
-    return out.select("x", "y", *bands)
+    scales = [range(a, b + 1, s) for a, b, s in (broad, meso, local)]
+
+    def kernel(z, core):
+        known, centre = ~np.isnan(z), z[core]
+        filled = np.where(known, z, 0.0)
+        sums, counts, squares = Boxes(filled, core), Boxes(known.astype(np.float64), core), Boxes(filled * filled, core)
+        largest = [np.zeros(centre.shape) for _ in scales]
+        for r in sorted(set().union(*scales)):
+            n = np.maximum(counts.within(r), 1.0)
+            mean = sums.within(r) / n
+            deviation = np.abs(centre - mean) / (np.sqrt(np.maximum(squares.within(r) / n - mean * mean, 0.0)) + 1e-6)
+            for band, radii in zip(largest, scales):
+                if r in radii:
+                    np.maximum(band, deviation, out=band)  # NaN stays
+        return [np.clip(1 - np.exp(-lightness * band), 0.0, 1.0) for band in largest]
+
+    return over_boxes(cells, max(max(s) for s in scales), kernel, "red", "green", "blue")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.functions.lighting import Lighting
-from orogen.operators.directional import over_tiles, total
+from orogen.operators.directional import over_tiles
 from orogen.operators.grid import Tiling
 
 SAMPLES = 8  # steps along a direction on each level
@@ -51,44 +51,44 @@ def pyramid_cells(cells: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def horizons(cells: DataFrame, t: Tiling, n: int = 32, radius_metres: float | None = None, exaggeration: float = 1.0) -> DataFrame:
-    """x, y, z, angles: the horizon's angle in each direction, -pi/2 where nothing is in sight."""
+def horizon(levels: list[np.ndarray], ys: np.ndarray, xs: np.ndarray, step: tuple[float, float], reach: int, metres: float) -> np.ndarray:
+    """The horizon's angle from each cell along a direction, -pi/2 where nothing is in sight."""
+    (dx, dy), eye = step, levels[0][ys, xs]
+    best = np.full(len(ys), -np.inf)
+    for k, d in steps(len(levels), reach):
+        top, scale = levels[k], 1 << k
+        sx, sy = np.floor((xs + dx * d) / scale + 0.5).astype(int), np.floor((ys + dy * d) / scale + 0.5).astype(int)
+        inside = (sx >= 0) & (sx < top.shape[1]) & (sy >= 0) & (sy < top.shape[0])
+        sample = np.where(inside, top[np.where(inside, sy, 0), np.where(inside, sx, 0)], np.nan)
+        best = np.fmax(best, (sample - eye) / (d * metres))
+    return np.where(np.isinf(best), -math.pi / 2, np.arctan(best))
+
+
+def visibility(cells: DataFrame, t: Tiling, light: Lighting, n: int = 32, radius_metres: float | None = None, exaggeration: float = 1.0) -> DataFrame:
+    """x, y, diffuse, sun, v: share of the sky in sight, share of the sun, and both weighted by their powers plus the ambient light."""
     radius = max(t.grid.pixels(radius_metres)) if radius_metres is not None else None
-    turns = directions(n)
+    scaled = light.azimuth % 360.0 / (360.0 / n)
+    low, part = math.floor(scaled) % n, scaled - math.floor(scaled)
 
     def kernel(m, ys, xs, tile):
         m = m * exaggeration
         reach = max(m.shape) if radius is None else radius
         levels = pyramid(m, reach)
-        eye = m[ys, xs]
-        best = np.full((len(ys), n), -np.inf)
-        for i, (dx, dy) in enumerate(turns):
-            metres = math.hypot(dx * t.grid.res_x, dy * t.grid.res_y)
-            for k, d in steps(len(levels), reach):
-                top, scale = levels[k], 1 << k
-                sx, sy = np.floor((xs + dx * d) / scale + 0.5).astype(int), np.floor((ys + dy * d) / scale + 0.5).astype(int)
-                inside = (sx >= 0) & (sx < top.shape[1]) & (sy >= 0) & (sy < top.shape[0])
-                sample = np.where(inside, top[np.where(inside, sy, 0), np.where(inside, sx, 0)], np.nan)
-                best[:, i] = np.fmax(best[:, i], (sample - eye) / (d * metres))
-        return np.where(np.isinf(best), -math.pi / 2, np.arctan(best))
-
-    return over_tiles(cells, t, kernel, "angles array<double>")
-
-
-def visibility(cells: DataFrame, t: Tiling, light: Lighting, n: int = 32, radius_metres: float | None = None, exaggeration: float = 1.0) -> DataFrame:
-    """x, y, diffuse, sun, v: share of the sky in sight, share of the sun, and both weighted by their powers plus the ambient light."""
-    seen = horizons(cells, t, n, radius_metres, exaggeration)
-    free = F.transform("angles", lambda a: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.pow(F.sin(F.greatest(a, F.lit(0.0))), F.lit(2.0 / light.bias)))))
-    sun = F.lit(0.0)
-    if light.sun > 0:
-        scaled = light.azimuth % 360.0 / (360.0 / n)
-        low, part = math.floor(scaled) % n, scaled - math.floor(scaled)
-        a, b = F.get("angles", F.lit(low)), F.get("angles", F.lit((low + 1) % n))
-        edge = F.degrees(a + (b - a) * part if part else a)
+        free, beside = np.zeros(len(ys)), {}
+        for i, to in enumerate(directions(n)):
+            angle = horizon(levels, ys, xs, to, reach, math.hypot(to[0] * t.grid.res_x, to[1] * t.grid.res_y))
+            free += np.clip(1 - np.sin(np.maximum(angle, 0.0)) ** (2.0 / light.bias), 0.0, 1.0)
+            if i in (low, (low + 1) % n):
+                beside[i] = angle
+        edge = np.degrees(beside[low] + (beside[(low + 1) % n] - beside[low]) * part) if part else np.degrees(beside[low])
         below, above = light.elevation - light.diameter / 2, light.elevation + light.diameter / 2
-        if light.diameter <= 0:
-            sun = F.when(edge <= light.elevation, 1.0).otherwise(0.0)
+        if light.sun <= 0:
+            sun = np.zeros(len(ys))
+        elif light.diameter <= 0:
+            sun = np.where(edge <= light.elevation, 1.0, 0.0)
         else:
-            sun = F.when(edge <= below, 1.0).when(edge >= above, 0.0).otherwise((above - edge) / (above - below))
-    out = seen.select("x", "y", (total(free) / n).alias("diffuse"), sun.alias("sun"))
+            sun = np.clip((above - edge) / (above - below), 0.0, 1.0)
+        return free / n, sun
+
+    out = over_tiles(cells, t, kernel, "diffuse", "sun").drop("z")
     return out.select("*", (F.lit(light.ambient) + light.sky * F.col("diffuse") + light.sun * F.col("sun")).alias("v"))

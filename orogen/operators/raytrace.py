@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orogen.functions.lighting import Lighting
 from orogen.operators.directional import over_tiles
@@ -146,9 +147,9 @@ def occlusion(cells: DataFrame, t: Tiling, light: Lighting, exaggeration: float
                 d = next_rays(place.number, pixel[live], ray[live], bounce, face_normals(m, res, point, cell))
                 at, skip = point + d * EPSILON, np.full(len(live), -1)
             out[i : i + at_once] = value.reshape(len(y), light.rays).mean(axis=1) + light.ambient
-        return out
+        return (out,)
 
-    return over_tiles(cells, t, kernel, "v double").select("x", "y", "v")
+    return over_tiles(cells, t, kernel, "v").select("x", "y", "v")
 
 
 def fixed_hits(cells: DataFrame, t: Tiling, rays: list[tuple[float, float, float]]) -> DataFrame:
@@ -161,7 +162,7 @@ def fixed_hits(cells: DataFrame, t: Tiling, rays: list[tuple[float, float, float
             d = np.tile([dx, dy, dz], (len(ys), 1))
             at = np.stack([xs * res[0], ys * res[1], m[ys, xs]], axis=1) + d * EPSILON
             out.append(nearest_hits(m, res, at, d, ys * m.shape[1] + xs)[0])
-        far = np.stack(out, axis=1)
-        return [[None if np.isinf(v) else float(v) for v in row] for row in far]
+        return out
 
-    return over_tiles(cells, t, kernel, "distances array<double>").select("x", "y", "distances")
+    names = [f"d{i}" for i in range(len(rays))]
+    return over_tiles(cells, t, kernel, *names).select("x", "y", F.array(*(F.when(F.col(n) != float("inf"), F.col(n)) for n in names)).alias("distances"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orogen.functions.numbers import stretch
-from orogen.operators.directional import sky_view
-from orogen.operators.focal import shade, slope_aspect
+from orogen.operators.directional import gradient, over_tiles, sky_factors, with_margin
+from orogen.operators.focal import shade
 from orogen.operators.grid import Tiling
 
 
@@ -35,21 +35,26 @@ def overlay(active: Column, background: Column) -> Column:
     return F.when(background > 0.5, 1 - (1 - 2 * (background - 0.5)) * (1 - active)).otherwise(2 * background * active)
 
 
-def single(cells: DataFrame, t: Tiling, preset: Preset) -> DataFrame:
-    """x, y, v under one preset: slope over hillshade by half, openness overlaid by half, sky view multiplied by a quarter."""
-    terrain = slope_aspect(cells, t.grid.res_x, t.grid.res_y)
-    shaded = terrain.select("x", "y", stretch(F.degrees("slope"), *preset.slope).alias("s"), stretch(shade(*preset.sun), 0.0, 1.0).alias("v"))
-    sky = sky_view(cells, t, 16, preset.radius, preset.noise).select("x", "y", stretch(F.col("svf"), *preset.svf).alias("f"), stretch(F.col("openness"), *preset.openness).alias("o"))
-    d = shaded.join(sky, ["x", "y"])
-    d = d.withColumn("v", over(F.col("s"), F.col("v"), 0.5))
-    d = d.withColumn("v", over(overlay(F.col("o"), F.col("v")), F.col("v"), 0.5))
-    return d.select("x", "y", over(F.col("f") * F.col("v"), F.col("v"), 0.25).alias("v"))
+def blended(preset: Preset, name: str) -> Column:
+    """Slope over hillshade by half, openness overlaid by half, sky view multiplied by a quarter; the columns svf and openness end in name."""
+    v = over(stretch(F.degrees("slope"), *preset.slope), stretch(shade(*preset.sun), 0.0, 1.0), 0.5)
+    v = over(overlay(stretch(F.col(f"openness_{name}"), *preset.openness), v), v, 0.5)
+    return over(stretch(F.col(f"svf_{name}"), *preset.svf) * v, v, 0.25)
 
 
 def vat(cells: DataFrame, t: Tiling, terrain: str = "combined", opacity: float = 50.0) -> DataFrame:
-    """x, y, v for terrain general, flat, or both mixed by the general one's opacity in percent."""
-    if terrain != "combined":
-        return single(cells, t, {"general": GENERAL, "flat": FLAT}[terrain])
-    a = opacity / 100
-    g, f = single(cells, t, GENERAL).withColumnRenamed("v", "g"), single(cells, t, FLAT).withColumnRenamed("v", "f")
-    return g.join(f, ["x", "y"]).select("x", "y", (F.col("g") * a + F.col("f") * (1 - a)).alias("v"))
+    """x, y, v for terrain general, flat, or both mixed by the general one's opacity in percent. A tile gives slope, aspect and the sky of each preset at once."""
+    used = {k: p for k, p in (("general", GENERAL), ("flat", FLAT)) if terrain in (k, "combined")}
+    res = t.grid.res_x, t.grid.res_y
+    skies = [sky_factors(16, p.radius, p.noise, *res) for p in used.values()]
+
+    def kernel(m, ys, xs, tile):
+        out = [*gradient(m, ys, xs, *res)]
+        for sky in skies:
+            svf, _, openness = sky(m, ys, xs, tile)
+            out += [svf, openness]
+        return out
+
+    seen = over_tiles(cells, with_margin(t), kernel, "slope", "aspect", *(f"{n}_{k}" for k in used for n in ("svf", "openness")))
+    values = [blended(p, k) for k, p in used.items()]
+    return seen.select("x", "y", (values[0] if len(values) == 1 else over(values[0], values[1], opacity / 100)).alias("v"))

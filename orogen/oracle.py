@@ -7,7 +7,18 @@ import math
 from orogen import queries as q
 from orogen.operators import vat
 from orogen.operators.compose import Layer, parse_color
-from orogen.operators.directional import compass, least_radius
+
+
+def compass(n: int) -> list[tuple[float, float]]:
+    """East and south parts of n directions clockwise from north."""
+    turns = [2 * math.pi * i / n for i in range(n)]
+    return [(math.cos(math.pi / 2 - a), -math.sin(math.pi / 2 - a)) for a in turns]
+
+
+def least_radius(radius: int, noise: int) -> int:
+    """The first radius after the share that a noise level skips: none, a tenth, two tenths, four tenths."""
+    return max(1, int((0, 1, 2, 4)[noise] * radius / 10 + 0.5))
+
 
 EMB = "emb AS (SELECT CAST(i - 1 AS INTEGER) AS x, CAST(vec_id AS INTEGER) AS y, 100 * CAST(embedding[i] AS DOUBLE) AS z FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))"
 HOLE = EMB + ", hole AS (SELECT x, y, CASE WHEN (7 * x + 13 * y) % 11 <> 0 THEN z END AS z FROM emb)"

@@ -248,7 +248,7 @@ def occlusion_bounces(spark, sf_dir):
 
 def mosaic_roundtrip(spark, sf_dir):
     cells, g = emb(spark, sf_dir)
-    return _out(directional.over_tiles(cells, tiling(g, 7), lambda m, ys, xs, tile: m[ys, xs], "v double"))
+    return _out(directional.over_tiles(cells, tiling(g, 7), lambda m, ys, xs, tile: (m[ys, xs],), "v"))
 
 
 def queries() -> dict:

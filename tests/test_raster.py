@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from orogen.functions.lighting import Lighting
@@ -129,3 +130,45 @@ def test_missing_direction_sample(spark):
     cells, g = raster(spark, [[1.0]])
     out = directional.sky_view(cells, Tiling(g, 1), 8, 3).first()
     assert out.svf == 1.0 and out.openness == pytest.approx(math.degrees(math.pi / 2 - math.atan(-1000)))
+
+
+def test_box_statistics_keep_their_precision_on_wide_rasters(spark):
+    """High ground with 5 cm of noise: the local band of the last columns of a wide raster is that of the same cells alone."""
+    r = np.random.default_rng(2)
+    z = 2000 + r.normal(0, 0.05, (5, 20_000))
+    wide = spark.createDataFrame(pd.DataFrame({"x": np.tile(np.arange(20_000), 5).astype(np.int32), "y": np.repeat(np.arange(5), 20_000).astype(np.int32), "z": z.ravel()}))
+    small = dict(local=(1, 2, 1), meso=(3, 6, 3), broad=(10, 20, 10))
+    got = {(a.x, a.y): (a.red, a.green, a.blue) for a in focal.mstp(wide, **small).where("x >= 19900").collect()}
+    assert len(got) == 500
+    for y, x in ((0, 19_999), (2, 19_950), (4, 19_930)):
+        for band, radii in zip(got[x, y], ((10, 20), (3, 6), (1, 2))):
+            deviations = []
+            for q in radii:
+                box = z[max(0, y - q) : y + q + 1, max(0, x - q) : x + q + 1]
+                deviations.append(abs(z[y, x] - box.mean()) / (box.std() + 1e-6))
+            assert abs(band - (1 - math.exp(-0.9 * max(deviations)))) < 1e-6
+
+
+def test_boxes_of_tiles_equal_plain_means(spark, monkeypatch):
+    """Radii over and under the tile's width, missing cells, cells on tile borders."""
+    r = np.random.default_rng(3)
+    rows = [[None if r.random() < 0.2 else float(v) for v in line] for line in r.integers(0, 9, (70, 530))]
+    cells, _ = raster(spark, rows)
+    z = np.array([[np.nan if v is None else v for v in line] for line in rows])
+    got = matrix(focal.slrm(cells, 3))
+    for y in range(0, 70, 7):
+        for x in [0, 1, 509, 511, 512, 513, 515, 529]:
+            want = z[y, x] - np.nanmean(z[max(0, y - 3) : y + 4, max(0, x - 3) : x + 4])
+            assert np.isnan(want) and np.isnan(got[y, x]) or abs(want - got[y, x]) < 1e-9
+
+
+def test_an_error_names_its_tile(spark):
+    cells, g = raster(spark, [[1, 2, 3, 4]] * 4)
+
+    def kernel(m, ys, xs, tile):
+        if tile.number == 3:
+            raise ValueError("bad cell")
+        return (m[ys, xs],)
+
+    with pytest.raises(Exception, match="tile 3: bad cell"):
+        directional.over_tiles(cells, Tiling(g, 2), kernel, "v").collect()
