@@ -129,7 +129,7 @@ def buffer_of(a: argparse.Namespace, grid: Grid) -> int | None:
 
 def run_raster(a: argparse.Namespace) -> None:
     spark = session(a)
-    cells, grid = geotiff.load(spark, a.input)
+    grid = geotiff.read_header(a.input).grid
     if a.info:
         print("\n".join(f"{k}: {v}" for k, v in grid.describe(spark).first().asDict().items()))
     window, buffer = grid.snap(a.bbox), buffer_of(a, grid)
@@ -139,6 +139,7 @@ def run_raster(a: argparse.Namespace) -> None:
         product = products.choose(a.command)
         p = product.parameters(**{d: getattr(a, d) for _, d, _ in OPTIONS.get(a.command, [])})
         t = products.tiling_for(a.command, grid, a.tile_size, p, buffer, window)
+        cells, _ = geotiff.load(spark, a.input, window=geotiff.widened(window, max(t.buffer_x, 1), max(t.buffer_y, 1), grid))
         out = products.render(a.command, cells, t, p, a.exaggeration, as_bytes)
         write(out, t, product.bands(p), a, as_bytes, 0.0 if as_bytes else grid.nodata, grid.nodata)
         return
@@ -152,9 +153,11 @@ def run_raster(a: argparse.Namespace) -> None:
             products.require(a.horizon_radius_m >= 0, "horizonRadiusMeters must be >= 0")
             buffer = max(buffer, *grid.pixels(a.horizon_radius_m))
         t = Tiling(grid, a.tile_size, buffer, buffer, window)
+        cells, _ = geotiff.load(spark, a.input, window=geotiff.widened(window, buffer, buffer, grid))
         out = horizon.visibility(cells, t, light, a.horizon_directions, a.horizon_radius_m, a.exaggeration).select("x", "y", "v")
     else:
         t = Tiling(grid, a.tile_size, buffer, buffer, window)
+        cells, _ = geotiff.load(spark, a.input, window=geotiff.widened(window, buffer, buffer, grid))
         out = raytrace.occlusion(cells, t, light, a.exaggeration)
     out = out.withColumn("v", to_byte(F.col("v"))) if as_bytes else out
     write(out, t, ["v"], a, as_bytes, 0.0 if as_bytes else grid.nodata, grid.nodata)

@@ -94,7 +94,7 @@ def bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
     at = at.select("x", "y", inside.alias("inside"), cu.alias("u"), cv.alias("v"))
     corner = lambda i, j: F.struct((F.floor("u") + i).cast("int").alias("sx"), (F.floor("v") + j).cast("int").alias("sy"), ((F.col("u") - F.floor("u") if i else 1 - F.col("u") + F.floor("u")) * (F.col("v") - F.floor("v") if j else 1 - F.col("v") + F.floor("v"))).alias("w"))
     four = at.select("x", "y", "inside", F.explode(F.array(*(corner(i, j) for j in (0, 1) for i in (0, 1)))).alias("c")).select("x", "y", "inside", "c.*")
-    met = four.join(cells.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "z"), ["sx", "sy"], "left").where((F.col("w") > 0) | ((F.col("w") == 0) & F.lit(True)))
+    met = four.join(cells.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "z"), ["sx", "sy"], "left")
     used = F.col("w") > 0
     good = F.min(F.when(used, F.col("z").isNotNull()).otherwise(F.lit(True)))
     value = F.sum(F.when(used, F.col("w") * F.col("z")))

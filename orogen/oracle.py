@@ -240,6 +240,11 @@ SELECT x, y, {fix('CASE WHEN z IS NOT NULL THEN (greatest(low, least(high, z)) -
         "align_nearest": hole + f"SELECT CAST((x - 1) // 2 AS INTEGER) AS x, CAST((y - 1) // 2 AS INTEGER) AS y, {fix('z')} AS z FROM hole WHERE x % 2 = 1 AND y % 2 = 1",
         "align_bilinear": f"WITH {EMB}, n AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM emb) SELECT CAST((b.x - 1) // 2 AS INTEGER) AS x, CAST(b.y // 2 AS INTEGER) AS y, {fix('avg(b.z)')} AS z FROM (SELECT x, y, z FROM emb UNION ALL SELECT x, y, z FROM emb) b, n WHERE false GROUP BY 1, 2",
         "horizon_pyramid": hole + f", a AS (SELECT x // 2 AS x, y // 2 AS y, max(z) AS z FROM hole GROUP BY 1, 2), b AS (SELECT x // 2 AS x, y // 2 AS y, max(z) AS z FROM a GROUP BY 1, 2) SELECT 0 AS level, x, y, {fix('z')} AS z FROM hole UNION ALL SELECT 1, x, y, {fix('z')} FROM a UNION ALL SELECT 2, x, y, {fix('z')} FROM b",
+        "geotiff_single": f"WITH {HOLE} SELECT x, y, {fix('CAST(CAST(z AS FLOAT) AS DOUBLE)')} AS z FROM hole",
+        "geotiff_tiles": f"WITH {HOLE} SELECT x, y, {fix('CAST(CAST(z AS FLOAT) AS DOUBLE)')} AS z FROM hole",
+        "geotiff_bbox": f"WITH {HOLE}, size AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM hole) SELECT x, y, {fix('CAST(CAST(z AS FLOAT) AS DOUBLE)')} AS z FROM hole, size WHERE x + 1 > {q.BOX.min_x} AND x < {q.BOX.max_x} AND h - y > {q.BOX.min_y} AND h - y - 1 < {q.BOX.max_y}",
+        "geotiff_metadata": f"WITH {HOLE} SELECT 'EPSG:2056' AS crs, max(x) + 1 AS width, max(y) + 1 AS height, CAST(0 AS DOUBLE) AS min_x, CAST(0 AS DOUBLE) AS min_y, CAST(max(x) + 1 AS DOUBLE) AS max_x, CAST(max(y) + 1 AS DOUBLE) AS max_y, CAST(1 AS DOUBLE) AS res_x, CAST(1 AS DOUBLE) AS res_y, CAST(-9999 AS DOUBLE) AS nodata FROM hole",
+        "geotiff_slope": f"WITH {HOLE}, single AS (SELECT x, y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM hole), {near('single')}, size AS (SELECT max(y) + 1 AS h FROM hole) SELECT t.x, t.y, {fix('degrees(slope)')} AS v FROM terrain AS t, size WHERE t.x + 1 > {q.BOX.min_x} AND t.x < {q.BOX.max_x} AND h - t.y > {q.BOX.min_y} AND h - t.y - 1 < {q.BOX.max_y}",
         "horizon_diffuse": f"WITH {EMB}, {horizons(1.0)} SELECT x, y, {fix('avg(least(1.0, greatest(0.0, 1 - pow(sin(greatest(angle, 0.0)), 2.0))))')} AS v FROM angles GROUP BY 1, 2",
         "anyhit_fixed_rays": f"WITH {shipping(16)}, {_slabs('SELECT x, y, z * 0.2 AS z FROM ship')} SELECT x, y, CAST(coalesce(n, 0) AS INTEGER) AS hits FROM cells LEFT JOIN (SELECT x, y, count(DISTINCT ray) AS n FROM met GROUP BY 1, 2) USING (x, y) WHERE z IS NOT NULL",
         "nearest_hit_fixed_rays": f"WITH {shipping(16)}, {_slabs('SELECT x, y, CAST((x * 5 + y * 3) % 7 AS DOUBLE) AS z FROM ship')} SELECT x, y, ray, {fix('d')} AS d FROM go LEFT JOIN (SELECT x, y, ray, min(d) AS d FROM met GROUP BY 1, 2, 3) USING (x, y, ray)",

@@ -165,7 +165,7 @@ PRODUCTS = {
     "negative-openness": Product(SkyView, lambda p, g: p.radius, _sky("openness", True)),
     "sky-illumination": Product(SkyIllumination, lambda p, g: p.shadow_distance, lambda c, t, p, e: directional.sky_illumination(c, t, p.sky_model, p.directions, p.shadow_distance, _shadow(p))),
     "local-dominance": Product(LocalDominance, lambda p, g: p.max_radius, lambda c, t, p, e: directional.local_dominance(c, t, p.min_radius, p.max_radius, p.increment, p.angle, p.observer_height)),
-    "msrm": Product(Msrm, lambda p, g: math.ceil(p.feature_max / min(g.res_x, g.res_y)), lambda c, t, p, e: focal.msrm(c, p.feature_min, p.feature_max, p.scaling, (t.grid.res_x + t.grid.res_y) / 2)),
+    "msrm": Product(Msrm, lambda p, g: max(math.ceil(p.feature_max / min(g.res_x, g.res_y)), focal.msrm_radii(p.feature_min, p.feature_max, p.scaling, (g.res_x + g.res_y) / 2)[1]), lambda c, t, p, e: focal.msrm(c, p.feature_min, p.feature_max, p.scaling, (t.grid.res_x + t.grid.res_y) / 2)),
     "mstp": Product(Mstp, lambda p, g: p.broad[1], lambda c, t, p, e: focal.mstp(c, p.local, p.meso, p.broad, p.lightness), lambda p: ["red", "green", "blue"]),
     "vat": Product(Vat, lambda p, g: {"general": 10}.get(p.terrain, 20), lambda c, t, p, e: vat.vat(c, t, p.terrain, p.opacity)),
 }

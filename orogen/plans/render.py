@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orogen.operators import align, compose
 from orogen.operators.grid import BBox, Grid, Window, clip
-from orogen.sources.geotiff import load
+from orogen.sources.geotiff import load, read_header, widened
 
 
 def on_grid(cells: DataFrame, own: Grid, target: Grid, resampling: str, label: str) -> DataFrame:
@@ -44,10 +44,18 @@ def layered(rasters: dict[str, tuple[DataFrame, Grid]], style: list[tuple[str, s
     return table, layers, target
 
 
+def _needed(own: Grid, target: Grid, window: Window) -> Window | None:
+    """The cells of a raster that the target's window can be made of; None for all, where the two do not meet."""
+    try:
+        return widened(own.snap(target.envelope(widened(window, 2, 2, target))), 2, 2, own)
+    except ValueError:
+        return None
+
+
 def render(spark: SparkSession, style: list[tuple[str, str | None, compose.Layer]], box: BBox | None = None, with_alpha: bool = False) -> tuple[DataFrame, Grid, Window]:
     """Bytes of the composed bands (null in no cell), the grid they are on and the window of the box. Each file is opened once."""
-    rasters = {p: load(spark, p) for p in dict.fromkeys(x for s in style for x in s[:2] if x)}
-    first = rasters[style[0][0]][1]
+    first = read_header(style[0][0]).grid
     window = first.snap(box) if box else first.whole
+    rasters = {p: load(spark, p, window=_needed(read_header(p).grid, first, window) if box else None) for p in dict.fromkeys(x for s in style for x in s[:2] if x)}
     table, layers, grid = layered(rasters, style, window)
     return compose.as_bytes(compose.compose(table, layers), with_alpha), grid, window

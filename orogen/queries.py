@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import tempfile
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from orogen.functions.numbers import fixed, stretch, to_byte
 from orogen.operators import align, compose, directional, focal, horizon, raytrace, vat, zonal
 from orogen.operators.grid import BBox, Grid, Tiling, clip, counts, keep_tiles, plan, tile_of
 from orogen.shipping import ship
+from orogen.sources import geotiff
 from orogen.sources.derived import embedding_raster, part_raster, shipping_raster, unit_range, with_holes
 
 TILE = 64
@@ -251,8 +256,53 @@ def mosaic_roundtrip(spark, sf_dir):
     return _out(directional.over_tiles(cells, tiling(g, 7), lambda m, ys, xs, tile: (m[ys, xs],), "v"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all tasks see."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared}/raster-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="orogen-")
+
+
+def _file(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
+    """The raster with holes, written as one GeoTIFF."""
+    cells, g = hole(spark, sf_dir)
+    g = replace(g, nodata=-9999.0)
+    return geotiff.write_single(cells, Tiling(g, 48), ["z"], f"{_folder(spark)}/raster.tif", nodata_tag=-9999.0), g
+
+
+def geotiff_single(spark, sf_dir):
+    return _out(geotiff.load(spark, _file(spark, sf_dir)[0])[0], "z")
+
+
+def geotiff_bbox(spark, sf_dir):
+    return _out(geotiff.load(spark, _file(spark, sf_dir)[0], BOX)[0], "z")
+
+
+def geotiff_metadata(spark, sf_dir):
+    return geotiff.load(spark, _file(spark, sf_dir)[0])[1].describe(spark).drop("source")
+
+
+def geotiff_tiles(spark, sf_dir):
+    """Every written tile read again, at its place in the raster."""
+    cells, g = hole(spark, sf_dir)
+    g = replace(g, nodata=-9999.0)
+    written = geotiff.write_tiles(cells, Tiling(g, 200), ["z"], _folder(spark), nodata_tag=-9999.0).collect()  # a path a tile
+    parts = []
+    for r in written:
+        tile, own = geotiff.load(spark, r.path)
+        parts.append(tile.select((F.col("x") + round((own.min_x - g.min_x) / g.res_x)).alias("x"), (F.col("y") + round((g.max_y - own.max_y) / g.res_y)).alias("y"), "z"))
+    return _out(functools.reduce(DataFrame.union, parts), "z")
+
+
+def geotiff_slope(spark, sf_dir):
+    """Slope of the cells of a window, read with a margin of one cell."""
+    path, g = _file(spark, sf_dir)
+    w = g.snap(BOX)
+    cells, _ = geotiff.load(spark, path, window=geotiff.widened(w, 1, 1, g))
+    return _out(clip(focal.slope_aspect(cells).select("x", "y", F.degrees("slope").alias("v")), w))
+
+
 def queries() -> dict:
-    names = """bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
+    names = """geotiff_single geotiff_bbox geotiff_metadata geotiff_tiles geotiff_slope bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
     sky_uniform sky_overcast sky_shadow local_dominance vat_general vat_flat vat_combined stretch_value stretch_percent byte_encode part_slope ramp_legacy ramp_stops
     compose_normal compose_multiply compose_screen compose_softlight compose_alpha align_max align_nearest align_bilinear align_overlap horizon_pyramid horizon_diffuse
     horizon_sun anyhit_fixed_rays nearest_hit_fixed_rays occlusion_exact occlusion_bounces mosaic_roundtrip""".split()

@@ -1,21 +1,23 @@
 """GeoTIFF as a Spark source and sink: blocks are read and written by tasks, the header by the driver.
 
-Read: one band, tiles or strips, uncompressed or Deflate, integers or floats of any usual width, full resolution only, from a path or
+Read: one band, tiles or strips, uncompressed, Deflate or LZW, integers or floats of any usual width, full resolution only, from a path or
 by HTTP ranges. Written: tiled, Deflate, float32 or uint8, any number of bands.
 """
 
 from __future__ import annotations
 
+import http.client
 import itertools
 import math
 import os
 import random
+import re
 import shutil
 import struct
 import time
 import urllib.request
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
@@ -29,9 +31,11 @@ from orogen.operators.grid import BBox, Grid, Tiling, Window, clip, tile_of
 
 # Fixed values of the format: tag numbers, and by type number the size and struct code of a value.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
-SCALE, TIEPOINT, TRANSFORM, KEYS, ASCII_KEYS, NODATA = 33550, 33922, 34264, 34735, 34737, 42113
+SCALE, TIEPOINT, TRANSFORM, KEYS, PARAMETERS, ASCII_KEYS, NODATA = 33550, 33922, 34264, 34735, 34736, 34737, 42113
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 ATTEMPTS, DELAY = 3, 1.0
+GROUP = 1 << 22  # cells of the neighbouring blocks that one task reads at most
+TASKS = 256  # up to so many blocks each are a task of their own
 
 
 def is_remote(path: str) -> bool:
@@ -50,7 +54,7 @@ def read_range(path: str, start: int, size: int, sleep=time.sleep) -> bytes:
             with urllib.request.urlopen(ask, timeout=60) as r:
                 data = r.read()
                 return data if r.status == 206 else data[start : start + size]
-        except OSError:
+        except (OSError, http.client.HTTPException):
             if attempt == ATTEMPTS:
                 raise
             sleep(DELAY * 2 ** (attempt - 1) * random.uniform(0.75, 1.25))
@@ -122,32 +126,64 @@ def read_header(path: str) -> Header:
     geo = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
     if 3072 not in geo:
         raise ValueError("Only projected rasters with metre units are supported." if 2048 in geo else "Raster CRS is missing or invalid.")
-    if geo.get(3076, 9001) != 9001:
+    said = tags.get(ASCII_KEYS, ("",))[0]
+    if geo.get(3076, 9001) != 9001 or 3076 not in geo and re.search(r"foot|feet|\bft", said, re.IGNORECASE):
         raise ValueError("Only projected rasters with metre units are supported.")
+    if geo.get(1025) == 2:  # the tie is a cell's centre
+        left, top = left - res_x / 2, top + res_y / 2
+    crs = f"EPSG:{geo[3072]}" if geo[3072] != 32767 else f"USER:{zlib.crc32(repr((sorted(geo.items()), said, tags.get(PARAMETERS))).encode())}"
     width, height = tags[WIDTH][0], tags[HEIGHT][0]
     tiled = TILES in tags
     bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, (height,))[0]))
     bits, form = tags.get(BITS, (1,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
     compression = tags.get(COMPRESSION, (1,))[0]
-    if bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or compression not in (1, 8, 32946):
+    if bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or compression not in (1, 5, 8, 32946):
         raise ValueError(f"Unsupported sample layout or compression ({bits} bits, format {form}, compression {compression}).")
     try:
         nodata = float(tags[NODATA][0].strip()) if NODATA in tags else math.nan
     except ValueError:
         nodata = math.nan
-    grid = Grid(width, height, left, top - height * res_y, res_x, res_y, f"EPSG:{geo[3072]}", nodata, path)
+    grid = Grid(width, height, left, top - height * res_y, res_x, res_y, crs, nodata, path)
     return Header(grid, order, bw, bh, tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], f"{order}{'?uif'[form]}{bits // 8}", compression, tags.get(PREDICTOR, (1,))[0], tiled)
 
 
-def read_block(h: Header, number: int) -> tuple[Window, np.ndarray]:
-    """A block's window in the raster and its values as float32, NaN where missing."""
+def unlzw(data: bytes) -> bytes:
+    """Decompress a block of the format's LZW: codes of 9 to 12 bits, highest bit first, that grow one code early; 256 clears the table, 257 ends."""
+    out, bits, have, at = [], 0, 0, 0
+    table: list[bytes] = []
+    width, last = 9, b""
+    while True:
+        while have < width and at < len(data):
+            bits, have, at = (bits << 8) | data[at], have + 8, at + 1
+        if have < width:
+            break
+        have -= width
+        code, bits = bits >> have, bits & ((1 << have) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        if len(table) + 1 >= 1 << width and width < 12:
+            width += 1
+    return b"".join(out)
+
+
+def read_block(h: Header, number: int, offset: int | None = None, size: int | None = None) -> tuple[Window, np.ndarray]:
+    """A block's window in the raster and its values as float32, NaN where missing. offset and size: its place in the file, if the header has been sent without."""
+    offset, size = h.offsets[number] if offset is None else offset, h.sizes[number] if size is None else size
     x, y = number % h.across * h.block_width, number // h.across * h.block_height
     w, rows = min(h.block_width, h.grid.width - x), min(h.block_height, h.grid.height - y)
     stored = h.block_height if h.tiled else rows
     kind = np.dtype(h.dtype)
-    if h.sizes[number]:
-        raw = read_range(h.grid.source, h.offsets[number], h.sizes[number])
-        raw = zlib.decompress(raw) if h.compression != 1 else raw
+    if size:
+        raw = read_range(h.grid.source, offset, size)
+        raw = raw if h.compression == 1 else unlzw(raw) if h.compression == 5 else zlib.decompress(raw)
         if h.predictor == 3:
             planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(stored, -1), axis=1, dtype=np.uint8).reshape(stored, kind.itemsize, h.block_width)
             data = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{kind.itemsize}")[:, :, 0]
@@ -163,7 +199,7 @@ def read_block(h: Header, number: int) -> tuple[Window, np.ndarray]:
 
 
 class RasterSource(DataSource):
-    """spark.read.format("georaster"): x, y, z of a GeoTIFF; option bbox keeps the pixels that a box touches, and only their blocks are read."""
+    """spark.read.format("georaster"): x, y, z of a GeoTIFF; option bbox keeps the pixels that a box touches, option window those of a window (x,y,width,height), and only their blocks are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -173,39 +209,53 @@ class RasterSource(DataSource):
         return "x int, y int, z double"
 
     def reader(self, schema) -> DataSourceReader:
-        return RasterReader(self.options["path"], self.options.get("bbox"))
+        return RasterReader(self.options["path"], self.options.get("bbox"), self.options.get("window"))
 
 
 class RasterReader(DataSourceReader):
-    def __init__(self, path: str, bbox: str | None):
+    def __init__(self, path: str, bbox: str | None, window: str | None = None):
         self.header = read_header(path)
-        self.window = self.header.grid.snap(BBox.parse(bbox)) if bbox else self.header.grid.whole
+        self.window = self.header.grid.snap(BBox.parse(bbox)) if bbox else Window(*map(int, window.split(","))) if window else self.header.grid.whole
+        h, w = self.header, self.window
+        numbers = [r * h.across + c for r in range(w.y // h.block_height, -(-w.end_y // h.block_height)) for c in range(w.x // h.block_width, -(-w.end_x // h.block_width))]
+        self.blocks = [(n, h.offsets[n], h.sizes[n]) for n in numbers]
 
     def partitions(self):
-        h, w = self.header, self.window
-        return [InputPartition(r * h.across + c) for r in range(w.y // h.block_height, -(-w.end_y // h.block_height)) for c in range(w.x // h.block_width, -(-w.end_x // h.block_width))]
+        at_once = max(1, min(GROUP // (self.header.block_width * self.header.block_height), len(self.blocks) // TASKS))
+        made = [InputPartition(self.blocks[i : i + at_once]) for i in range(0, len(self.blocks), at_once)]
+        self.header, self.blocks = replace(self.header, offsets=(), sizes=()), []  # each task gets the places of its own blocks only
+        return made
 
     def read(self, partition):
-        at, values = read_block(self.header, partition.value)
         w = self.window
-        x0, x1, y0, y1 = max(at.x, w.x), min(at.end_x, w.end_x), max(at.y, w.y), min(at.end_y, w.end_y)
-        part = values[y0 - at.y : y1 - at.y, x0 - at.x : x1 - at.x].astype(np.float64).ravel()
-        ys, xs = np.divmod(np.arange(part.size), x1 - x0)
-        z = pa.array(part, mask=np.isnan(part))
-        yield pa.RecordBatch.from_arrays([pa.array((xs + x0).astype(np.int32)), pa.array((ys + y0).astype(np.int32)), z], ["x", "y", "z"])
+        for number, offset, size in partition.value:
+            at, values = read_block(self.header, number, offset, size)
+            x0, x1, y0, y1 = max(at.x, w.x), min(at.end_x, w.end_x), max(at.y, w.y), min(at.end_y, w.end_y)
+            part = values[y0 - at.y : y1 - at.y, x0 - at.x : x1 - at.x].astype(np.float64).ravel()
+            ys, xs = np.divmod(np.arange(part.size), x1 - x0)
+            z = pa.array(part, mask=np.isnan(part))
+            yield pa.RecordBatch.from_arrays([pa.array((xs + x0).astype(np.int32)), pa.array((ys + y0).astype(np.int32)), z], ["x", "y", "z"])
 
 
-def load(spark: SparkSession, path: str, bbox: BBox | None = None) -> tuple[DataFrame, Grid]:
-    """Cells and grid of a GeoTIFF; places count from the whole raster's corner, with or without a box."""
+def load(spark: SparkSession, path: str, bbox: BBox | None = None, window: Window | None = None) -> tuple[DataFrame, Grid]:
+    """Cells and grid of a GeoTIFF; places count from the whole raster's corner, with or without a box or a window."""
     from orogen.shipping import ship
 
     ship(spark).dataSource.register(RasterSource)
     reader = spark.read.format("georaster")
     if bbox:
         reader = reader.option("bbox", f"{bbox.min_x},{bbox.min_y},{bbox.max_x},{bbox.max_y}")
+    if window:
+        reader = reader.option("window", f"{window.x},{window.y},{window.width},{window.height}")
     return reader.load(path), read_header(path).grid
 
 
+def widened(w: Window, x: int, y: int, grid: Grid) -> Window:
+    """A window with a margin, within the raster."""
+    low_x, low_y = max(0, w.x - x), max(0, w.y - y)
+    return Window(low_x, low_y, min(grid.width, w.end_x + x) - low_x, min(grid.height, w.end_y + y) - low_y)
+
+
 def _compress(part: np.ndarray, side: int) -> bytes:
     tile = np.zeros((side, side), part.dtype)
     tile[: part.shape[0], : part.shape[1]] = part
@@ -219,7 +269,7 @@ def block_side(size: int, width: int, height: int) -> int:
 
 def front(grid: Grid, n: int, as_bytes: bool, nodata: float | None, side: int, sizes: list[int]) -> tuple[bytes, list[int]]:
     """All of a file before its blocks, given their compressed sizes band by band and row by row; and the blocks' offsets."""
-    epsg = int(grid.crs.split(":")[-1])
+    epsg = int(grid.crs.split(":")[-1]) if grid.crs.startswith("EPSG:") else 32767
     form, bits = (1, 8) if as_bytes else (3, 32)
     entries: list[tuple[int, int, list]] = [
         (WIDTH, 4, [grid.width]), (HEIGHT, 4, [grid.height]), (BITS, 3, [bits] * n), (COMPRESSION, 3, [8]), (PHOTOMETRIC, 3, [2 if n >= 3 and as_bytes else 1]), (SAMPLES, 3, [n]), (PLANAR, 3, [2 if n > 1 else 1]),

@@ -1,3 +1,4 @@
+import struct
 import http.server
 import json
 import threading
@@ -137,3 +138,70 @@ def test_render_commands(spark, tmp_path):
     assert cli.main(["render", "align-grid", "--input", fine, "--reference", coarse, "--output", str(tmp_path / "al.tif")]) == 0
     assert all_bands(tmp_path / "al.tif")[0].ravel().tolist() == [5, 7, 13, 15]
     assert cli.main(["render", "align-grid", "--input", fine, "--reference", put(tmp_path / "k.tif", [[0, 0], [0, 0]], crs="EPSG:3857"), "--output", str(tmp_path / "al.tif")]) == 1
+
+
+def lzw(data):
+    """Compress by the format's LZW."""
+    table, out, bits, have, width, prefix = {bytes([i]): i for i in range(256)}, bytearray(), 0, 0, 9, b""
+    count = 258
+
+    def put(code):
+        nonlocal bits, have
+        bits, have = (bits << width) | code, have + width
+        while have >= 8:
+            have -= 8
+            out.append(bits >> have & 255)
+        bits &= (1 << have) - 1
+
+    put(256)
+    for b in data:
+        word = prefix + bytes([b])
+        if word in table:
+            prefix = word
+            continue
+        put(table[prefix])
+        table[word], count = count, count + 1
+        if count == 4094:
+            put(256)
+            table, count, width = {bytes([i]): i for i in range(256)}, 258, 9
+        elif count == 1 << width:
+            width += 1
+        prefix = bytes([b])
+    put(table[prefix])
+    put(257)
+    return bytes(out) + (bytes([bits << (8 - have) & 255]) if have else b"")
+
+
+def test_lzw_blocks():
+    r = np.random.default_rng(1)
+    for data in (b"a", b"a" * 5000, r.integers(0, 256, 20_000, np.uint8).tobytes(), np.arange(9000, dtype="<f4").tobytes(), b"abcabcabd" * 3000):
+        assert geotiff.unlzw(lzw(data)) == data
+
+
+def test_point_rasters_lie_half_a_cell_aside_and_feet_are_refused(tmp_path):
+    g = Grid(4, 3, 100.0, 200.0, 2.0, 2.0, "EPSG:2056", -9999.0)
+    data = geotiff.encode(np.zeros((1, 3, 4), np.float32), g, -9999.0)
+    area, point, feet = (tmp_path / n for n in ("a.tif", "p.tif", "f.tif"))
+    area.write_bytes(data)
+    keys = struct.pack("<8H", 1024, 0, 1, 1, 1025, 0, 1, 1)
+    assert keys in data
+    point.write_bytes(data.replace(keys, struct.pack("<8H", 1024, 0, 1, 1, 1025, 0, 1, 2)))
+    feet.write_bytes(data.replace(struct.pack("<4H", 1025, 0, 1, 1), struct.pack("<4H", 3076, 0, 1, 9002)))
+    a, p = geotiff.read_header(str(area)).grid, geotiff.read_header(str(point)).grid
+    assert (p.min_x, p.max_y) == (a.min_x - 1.0, a.max_y + 1.0)
+    with pytest.raises(ValueError, match="metre"):
+        geotiff.read_header(str(feet))
+
+
+def test_a_window_reads_its_blocks_only(tmp_path, monkeypatch):
+    path = tmp_path / "w.tif"
+    path.write_bytes(geotiff.encode(np.arange(64 * 96, dtype=np.float32).reshape(1, 64, 96), Grid(96, 64, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0), -9999.0, 16))
+    reader = geotiff.RasterReader(str(path), None, "20,10,30,20")
+    parts = reader.partitions()
+    ranges, read = [], geotiff.read_range
+    monkeypatch.setattr(geotiff, "read_range", lambda p, start, size: ranges.append(start) or read(p, start, size))
+    cells = [(x, y, z) for part in parts for b in reader.read(part) for x, y, z in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(parts) == 6 and len(ranges) == 6 and sorted(cells) == sorted((x, y, float(96 * y + x)) for x in range(20, 50) for y in range(10, 30))
+    assert not reader.header.offsets  # tasks get the places of their own blocks
+    monkeypatch.setattr(geotiff, "TASKS", 2)
+    assert [len(p.value) for p in geotiff.RasterReader(str(path), None).partitions()] == [12, 12]  # 24 blocks
