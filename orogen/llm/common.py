@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names that df has no column of, with underscores added where it has; upper and lower case count as the same."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder not used before, below one that Hadoop removes when the application's JVM ends."""
     top = f"{shared_dir(spark)}/orogen-{spark.sparkContext.applicationId}"

@@ -187,8 +187,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                 score.append(float(p[k] / p.sum()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    sent = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    sent = docs.select(*kept) if text in keep else docs.select(*kept, F.col(text).cast("string").alias("_text"))
     return sent.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import connected_components, cut
+from orogen.llm.common import connected_components, cut, free_names
 
 RADIUS = 3
 SHINGLE = 3
@@ -120,12 +120,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of every near-duplicate group: the one with the smallest doc_id (a null one comes last), of these the one with the smallest hash."""
+    """docs with one row of every near-duplicate group: the one with the smallest doc_id (a null one comes last), of these the one with the smallest hash.
+
+    Null, empty and wordless texts are one group. Repeated ids with different texts stand for themselves; equal rows are one group, of which one row stays. An
+    empty table gives an empty one; all columns stay as they are, whatever their names.
+    """
+    one, two = free_names(docs, "_h1", "_h2")
     each = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    hashed = docs.withColumns({"_h1": F.xxhash64(each), "_h2": F.xxhash64(each, F.lit(1))})  # of the whole row: rows that agree in both are equal
-    rows = cut(fingerprints(hashed, ("_h1", "_h2")), "fingerprints")
+    hashed = docs.withColumns({one: F.xxhash64(each), two: F.xxhash64(each, F.lit(1))})  # of the whole row: rows that agree in both are equal
+    rows = cut(fingerprints(hashed, (one, two)), "fingerprints")
     whole = groups_of(rows).select(F.col("fp").alias("fp_b"), "part")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(one).alias("h1"), F.col(two).alias("h2"))
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))  # by fingerprint before by group: a group's rows do not meet in one task
-    kept = firsts.join(whole, firsts["fp"] == whole["fp_b"]).groupBy("part").agg(F.min("first").alias("first")).select(F.col("first._h1").alias("_k1"), F.col("first._h2").alias("_k2"))
-    return hashed.join(kept, (hashed["_h1"] == kept["_k1"]) & (hashed["_h2"] == kept["_k2"]), "left_semi").dropDuplicates(["_h1", "_h2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = firsts.join(whole, firsts["fp"] == whole["fp_b"]).groupBy("part").agg(F.min("first").alias("first"))
+    k1, k2 = free_names(hashed, "_k1", "_k2")
+    kept = kept.select(F.col("first.h1").alias(k1), F.col("first.h2").alias(k2))
+    return hashed.join(kept, (hashed[one] == kept[k1]) & (hashed[two] == kept[k2]), "left_semi").dropDuplicates([one, two]).select(*(F.col(f"`{c}`") for c in docs.columns))
