@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import bpe, decontamination, langid, pii, simhash
-from orogen.llm.common import cut
+from orogen.llm.common import cut, free_names
 from orogen.shipping import ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,33 +15,50 @@ LEAST_SCORE = 0.4  # below this no language is likelier than the others together
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go: those without a letter, and those whose likeliest language has a score under LEAST_SCORE. A missing lang is filled in."""
+    """Documents in no known language go: those without a letter, and those whose likeliest language has a score under LEAST_SCORE. A missing lang is filled in.
+
+    Null and empty texts have no letter and go. Repeated rows are judged alike and each stay. Where no row has a language nothing is learned, and only documents without a letter
+    go. An empty table gives an empty one; the columns stay as they are, whatever their names.
+    """
     ship(spark)
+    said_lang, said_score = free_names(docs, "_lang_pred", "_lang_score")
     model = langid.train(docs, order=F.xxhash64(F.col("doc_id"), F.lit("sample")))
-    said = langid.predict(docs, model, docs.columns, names=("_lang_pred", "_lang_score"))
-    kept = said.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)) if model else said.where(F.col("text").rlike(r"\p{L}"))
-    return kept.select(*(F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    said = langid.predict(docs, model, docs.columns, names=(said_lang, said_score))
+    kept = said.where((F.col(said_lang) != langid.UNKNOWN) & (F.col(said_score) >= LEAST_SCORE)) if model else said.where(F.col("text").rlike(r"\p{L}"))
+    return kept.select(*(F.coalesce("lang", said_lang).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group stays."""
+    """One document of every near-duplicate group stays: the smallest doc_id, null ids last.
+
+    Null and empty texts are one group; repeated ids with different texts stand for themselves; of equal rows one stays; an empty table gives an empty one.
+    """
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that the contract's rule finds contaminated by benchmark passages go.
+
+    Null and empty texts have no words and stay; equal texts are judged alike, each row for itself; ids play no part; an empty benchmark or table takes nothing away.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text is masked, and n_chars follows the new text."""
+    """Personal data in the text is masked, and n_chars follows the new text.
+
+    No row goes. A null text stays null, with a null n_chars; texts of any length are read whole; repeated rows each stay; an empty table gives an empty one.
+    """
     ship(spark)
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for every row.
+
+    A null or empty text has no tokens; repeated rows each have a row; other columns are not looked at; an empty table gives no row.
+    """
     ship(spark)
     return bpe.encode_decode(docs, TOKENIZER)
 
