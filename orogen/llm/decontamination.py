@@ -9,7 +9,9 @@ from orogen.llm.common import cut
 
 WINDOW = 13  # words of a phrase
 NEAR = 10  # words of a window (repeated ones as often) that make a proximity match, within its length and in any order
-BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the postings in a shuffle
+BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the index in a salted shuffle
+BROADCAST_CELLS = 500_000  # places to look at up to so many are broadcast (two numbers each); more meet the index in a shuffle
+SALTS = 32  # parts of a term's postings where they meet in a shuffle
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,122 +30,141 @@ def count_of(listed: Column) -> Column:
     return F.size(listed) - 1 - (F.element_at(listed, -1) == "").cast("int")
 
 
-def phrases(items: DataFrame, id_column: str = "item_id", window: int = WINDOW) -> DataFrame:
+def phrases(items: DataFrame, id_column: str = "item_id") -> DataFrame:
     """(item, words) of all windows of the items; an item of fewer words than a window, but not none, is one window. Items without an id are left out."""
     cut_words = F.slice(F.col("w"), 2, F.greatest(F.col("n"), F.lit(0)))
     rows = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("item"), words(F.col("text")).alias("w")).withColumn("n", count_of(F.col("w"))).select("item", "n", cut_words.alias("w")).where("n > 0")
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))
-    return rows.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), window).alias("words")).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - WINDOW + 1, F.lit(1)))
+    return rows.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), WINDOW).alias("words")).distinct()
 
 
-def postings(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row (pos, term) of every word of docs, pos from 1; at pos 0 each document has an empty term. Columns keep come along."""
-    return docs.select(*keep, F.posexplode_outer("w").alias("pos", "term"))  # outer, though never empty: Spark then adds no filter that splits the text again
-
+def meet(entries: DataFrame, listed: DataFrame, small: bool) -> DataFrame:
+    """Index entries with the rows of listed that name their term. Where listed is not small, a term's postings are dealt to SALTS parts."""
+    if small:
+        return entries.join(F.broadcast(listed), "term")
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int"))
+    return salted.join(listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"]).drop("salt")
 
-def term_counts(docs: DataFrame, terms: DataFrame, broadcast: bool) -> DataFrame:
-    """(term, n): how often the training texts have each test term."""
-    return postings(docs).select("term").join(F.broadcast(terms) if broadcast else terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
+def build_index(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """The positional index, written once: (row, pos, term) of every place where docs (doc_id, text) have a word of the windows, pos from 1.
 
-def anchored(windows: DataFrame, counts: DataFrame, near: bool = True) -> DataFrame:
-    """What windows are looked up by. Those that can occur whole: their rarest and second rarest term and these terms' offsets. With near, all that
-    can be near too: a row for each term among their WINDOW - NEAR + 1 rarest words, one of which is in every proximity match, with a null offset.
-    Words that no training text has count as rarest and are not looked up. least: how many different terms must be near; repeated: terms and how often, where some are repeated.
+    row is a number given here to each row of docs. A row's entry at pos 0 has an empty term, and alone carries doc_id, n_words and two hashes of the text (h1, h2).
     """
-    each = windows.withColumn("row", F.struct("item", "words")).select("row", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left").fillna(0, "n")
-    rare = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("rare"))
-    first, second = F.get("rare", F.lit(0)), F.coalesce(F.get("rare", F.lit(1)), F.get("rare", F.lit(0)))
-    row = F.col("row.item").alias("item"), F.col("row.words").alias("words")
-    none = "array<struct<term:string,n:int>>"
-    whole = rare.where(first["n"] > 0).select(first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term_2"), second["offset"].alias("offset_2"), *row, F.lit(None).cast("int").alias("least"), F.lit(None).cast(none).alias("repeated"))
-    if not near:
-        return whole
-    asked = WINDOW - NEAR + 1
-    terms = F.array_distinct("row.words")
-    often = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("row.words", lambda x: x == t)).alias("n")))
-    close = rare.where((F.size("rare") == WINDOW) & (F.get("rare", F.lit(asked - 1))["n"] > 0)).select(
-        F.explode(F.array_distinct(F.transform(F.filter(F.slice("rare", 1, asked), lambda x: x["n"] > 0), lambda x: x["term"]))).alias("term"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("string").alias("term_2"), F.lit(None).cast("int").alias("offset_2"),
-        *row, (F.size(terms) - (WINDOW - NEAR)).alias("least"), F.when(F.size(terms) < WINDOW, often).cast(none).alias("repeated"),
-    )
-    return whole.union(close)
-
-
-def most_shared(around: Column, low: Column, pos: Column, n_words: Column) -> Column:
-    """The most words of the window that lie within its length anywhere about pos; around holds the words from low on. Only rows that passed the count of different terms come here."""
-    starts = F.sequence(F.greatest(pos - (WINDOW - 1), F.lit(1)), F.least(pos, n_words - (WINDOW - 1)))
-    stretches = F.transform(starts, lambda s: F.slice(around, s - low + 1, WINDOW))
-    different = F.transform(stretches, lambda w: F.size(F.array_intersect(w, F.col("words"))))
-    counted = F.transform(stretches, lambda w: F.aggregate("repeated", F.lit(0), lambda n, t: n + F.least(t["n"], F.size(F.filter(w, lambda x: x == t["term"])))))
-    return F.array_max(F.when(F.col("repeated").isNull(), different).otherwise(counted))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    terms = windows.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).distinct()
+    terms = terms.union(terms.sparkSession.range(1).select(F.lit(""))).distinct()  # with no window, too
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    listed = source.select("row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), words(F.col("text")).alias("w"))
+    counted = listed.select("row", "doc_id", "h1", "h2", count_of(F.col("w")).cast("long").alias("n_words"), "w")
+    entries = counted.select("row", "doc_id", "n_words", "h1", "h2", F.posexplode_outer("w").alias("pos", "term"))  # outer, though never empty: Spark then adds no filter that splits the text again
+    first = F.col("pos") == 0
+    once = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "h1", "h2")]
+    return cut(meet(entries.where(first | (F.col("term") != "")), terms, small).select("row", "pos", "term", *once), "index")
+
+
+def rarest(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """(win, item, rare) of each window: its words as (n, offset, term), those with the fewest postings first."""
+    counts = index.where("pos > 0").groupBy("term").agg(F.count("*").alias("n"))
+    each = windows.select("win", "item", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left").fillna(0, "n")
+    return each.groupBy("win", "item").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("rare"))
+
+
+def phrase_starts(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
+    """(row, start, win, stretch): where the offset-adjusted postings of a window's two rarest words agree on its first word's place."""
+    ends = F.size("rare")
+    two = rare.where(F.get("rare", F.lit(0))["n"] > 0).select("win", F.least(ends, F.lit(2)).alias("asked"), F.explode(F.slice("rare", 1, 2)).alias("a")).select("win", "asked", "a.term", "a.offset")
+    starts = meet(index.where("pos > 0").select("row", "pos", "term"), two, small).select("row", (F.col("pos") - F.col("offset")).alias("start"), "win", "asked").where("start >= 1")
+    agreed = starts.groupBy("row", "start", "win").agg(F.count("*").alias("n"), F.first("asked").alias("asked")).where("n = asked")
+    return agreed.select("row", "start", "win", F.expr(f"int(start div {WINDOW})").alias("stretch"))
+
+
+def close_places(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
+    """(row, item, stretch) where a proximity match can be: it has all but WINDOW - NEAR words of a window, so two of any WINDOW - NEAR + 2, here of the rarest."""
+    few = rare.where(F.size("rare") == WINDOW).select("item", F.explode(F.slice("rare", 1, WINDOW - NEAR + 2)).alias("a")).where("a.n > 0").select("item", "a.term").distinct()
+    cell = F.expr(f"int(pos div {WINDOW})")
+    at = meet(index.where("pos > 0").select("row", "pos", "term"), few, small).select("row", "item", F.explode(F.array(cell, cell - 1)).alias("stretch"))
+    return at.where("stretch >= 0").groupBy("row", "item", "stretch").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def stretches_at(places: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, stretch, heard): the postings (pos, term) by place of twice WINDOW words from stretch * WINDOW on, at least for all places (row, stretch). Every run of WINDOW words lies in one."""
+    cells = cut(places.select("row", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("cell")).distinct(), "cells")
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    entries = index.where("pos > 0").select("row", "pos", "term", F.expr(f"int(pos div {WINDOW})").alias("cell")).join(cells, ["row", "cell"], "left_semi")
+    twice = entries.select("row", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("stretch"), F.struct("pos", "term").alias("entry")).where("stretch >= 0")
+    return cut(twice.groupBy("row", "stretch").agg(F.array_sort(F.collect_list("entry")).alias("heard")), "stretches")
+
+
+def _heard(start: Column, size: Column | int) -> Column:
+    """The test words of a run of the text."""
+    return F.transform(F.filter("heard", lambda e: e["pos"].between(start, start + size - 1)), lambda e: e["term"])
+
+
+def exact_matches(starts: DataFrame, stretches: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, item, start, size) of the windows whose words all have a posting at their places."""
+    size = F.size("words")
+    return starts.join(stretches, ["row", "stretch"]).join(windows, "win").where(_heard(F.col("start"), size) == F.col("words")).select("row", "item", "start", size.alias("size"))
+
+
+def near_matches(places: DataFrame, stretches: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, item) where a run of WINDOW words has at least NEAR of a window's, in any order and repeated ones as often."""
+    terms = F.array_distinct("words")
+    often = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda x: x == t)).alias("n")))
+    asked = windows.where(F.size("words") == WINDOW).select("item", "words", (F.size(terms) - (WINDOW - NEAR)).alias("least"), F.when(F.size(terms) < WINDOW, often).alias("repeated"))
+    likely = places.join(stretches, ["row", "stretch"]).join(asked, "item").where(F.size(F.array_intersect(F.transform("heard", lambda e: e["term"]), "words")) >= F.col("least"))
+    first = F.col("stretch") * WINDOW
+    runs = F.transform(F.sequence(first, first + WINDOW - 1), lambda s: _heard(s, WINDOW))
+    different = F.transform(runs, lambda w: F.size(F.array_intersect(w, F.col("words"))))
+    counted = F.transform(runs, lambda w: F.aggregate("repeated", F.lit(0), lambda n, t: n + F.least(t["n"], F.size(F.filter(w, lambda x: x == t["term"])))))
+    return likely.where(F.array_max(F.when(F.col("repeated").isNull(), different).otherwise(counted)) >= NEAR).select("row", "item").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
-    """Rows (doc_id, h1, h2, n_words, item, start, size, exact, same) of docs (doc_id, text): windows that a document may have from word start on.
+def judge(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
+    """doc_id, h1, h2, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row of docs (h1, h2: hashes of its text).
 
-    For phrase matches (exact), the training texts' postings of the rarest term of each window meet the postings of its second rarest,
-    adjusted by their offsets; where both agree, the aligned words are compared. For proximity matches, postings of its four rarest words are met whatever
-    their offset; where enough different terms lie around, same is how many words of the window lie within its length there. No Python, and lambdas only for what passed both tests; no row
-    carries the document's words on. Each row of docs also gives one row with a null item. h1 and h2 are two hashes of the text.
+    The index of the training texts is written once and everything else reads it: the postings of each window's rarest words are intersected by their offsets (phrases) or
+    nearness, and only where they agree are the other words' postings read and compared. Items found as phrases are not looked at again for nearness. No Python.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    listed = source.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), words(F.col("text")).alias("w"))
-    windows = cut(phrases(items, window=window), "phrases")
+    windows = cut(phrases(items).withColumn("win", F.monotonically_increasing_id()), "windows")
     small = windows.count() <= BROADCAST_WINDOWS
-    terms = windows.select(F.explode("words").alias("term")).distinct()
-    counts = cut(term_counts(source.select(words(F.col("text")).alias("w")), terms, small), "terms")
-    anchors = cut(anchored(windows, counts, near), "anchors")
-    marker = anchors.sparkSession.createDataFrame([("", 0, "", 0, None, [], None, None)], anchors.schema)
-    anchors = anchors.union(marker)
-    start = F.col("pos") - F.col("offset")
-    length = F.size("words")
-    low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    if small:
-        rows = postings(listed, "doc_id", "h1", "h2", "w").join(F.broadcast(anchors), "term")
-        at = start
-        around = F.col("w")
-        about = F.slice("w", low + 1, 2 * window - 1)
-    else:  # the index entries carry the words around them instead of the whole text
-        entries = postings(listed, "doc_id", "h1", "h2", "w").withColumn("n_words", count_of(F.col("w"))).withColumn("first", low).withColumn("w", F.slice("w", low + 1, 2 * window - 1))
-        rows = entries.join(anchors, "term")
-        at = start - F.col("first")
-        around = about = F.col("w")
-    n_words = count_of(F.col("w")) if small else F.col("n_words")
-    mark, close = F.col("item").isNull(), F.col("least").isNotNull()
-    fits = (start >= 1) & (start + length - 1 <= n_words)
-    agrees = F.get(around, at + F.col("offset_2")) == F.col("term_2")
-    enough = (n_words >= WINDOW) & (F.size(F.array_intersect(about, F.col("words"))) >= F.col("least"))
-    rows = rows.where(F.when(mark, F.col("pos") == 0).when(close, enough).otherwise(fits & agrees))
-    aligned = F.slice(around, F.greatest(at + 1, F.lit(1)), length)
-    return rows.select("doc_id", "h1", "h2", n_words.cast("long").alias("n_words"), "item", start.alias("start"), length.alias("size"), (~close & (aligned == F.col("words"))).alias("exact"), F.when(close, most_shared(about, low, F.col("pos"), n_words)).alias("same"))
-
-
-def judge(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
-    """doc_id, h1, h2, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row of docs (h1, h2: hashes of its text)."""
-    found = hits(docs, items, near=near)
-    exact = F.col("item").isNotNull() & F.col("exact")
-    close = F.col("item").isNotNull() & ~F.col("exact") & (F.col("same") >= NEAR) & (F.col("size") == WINDOW)
-    grouped = found.groupBy("doc_id", "h1", "h2").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum(F.col("item").isNull().cast("int")).alias("copies"),
-        F.collect_set(F.when(exact, F.struct("start", "size"))).alias("spans"),
-        F.collect_set(F.when(exact, F.col("item"))).alias("items"),
-        F.collect_set(F.when(close, F.col("item"))).alias("near"),
+    index = build_index(docs, windows, small)
+    rare = cut(rarest(windows, index), "rare")
+    listed = F.broadcast(windows) if small else windows
+    starts = cut(phrase_starts(rare, index, small), "starts")
+    places = starts.select("row", "stretch")
+    if near:
+        close = cut(close_places(rare, index, small), "close")
+        places = places.union(close.select("row", "stretch"))
+    stretches = stretches_at(places, index)
+    exact = exact_matches(starts, stretches, listed)
+    heads = index.where("pos = 0").select("row", "doc_id", "n_words", "h1", "h2")
+    found = heads
+    if near:
+        exact = cut(exact, "exact")
+        left = close.join(exact.select("row", "item").distinct(), ["row", "item"], "left_anti")
+        found = found.unionByName(near_matches(left, stretches, listed).withColumnRenamed("item", "close"), allowMissingColumns=True)
+    else:
+        found = found.withColumn("close", F.lit(None).cast("string"))
+    found = found.unionByName(exact, allowMissingColumns=True)
+    grouped = found.groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "h1", "h2", "n_words")),
+        F.collect_set(F.when(F.col("item").isNotNull(), F.struct("start", "size"))).alias("spans"),
+        F.collect_set("item").alias("items"),
+        F.collect_set("close").alias("near"),
     )
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
-    out = grouped.withColumn("n_hit", F.size(covered).cast("long")).select(
+    return grouped.withColumn("n_hit", F.size(covered).cast("long")).select(
         "doc_id", "h1", "h2", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.size(F.array_except("near", "items")).cast("long").alias("n_near"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.when(F.col("n_words") < WINDOW, 0).otherwise(F.size("near")).cast("long").alias("n_near"),
     )
-    return out.drop("copy")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row of docs.
 
     A null text has no words and is never contaminated; items without a word or an id never match; repeated items count once;
-    repeated documents each stay a row; with an empty benchmark no word is hit, and empty documents give an empty result.
+    repeated documents each stay a row; texts of any length are indexed whole; with an empty benchmark no word is hit, and empty documents give an empty result. Columns other than doc_id and text are ignored.
     """
     return judge(docs, items).drop("h1", "h2")
 
