@@ -80,11 +80,13 @@ def phrase_starts(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
 
 
 def close_places(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
-    """(row, item, stretch) where a proximity match can be: it has all but WINDOW - NEAR words of a window, so two of any WINDOW - NEAR + 2, here of the rarest."""
+    """(row, item, stretch) where a proximity match can be: it has all but WINDOW - NEAR words of a window, so two of any WINDOW - NEAR + 2, here of the rarest, that lie less than WINDOW apart."""
     few = rare.where(F.size("rare") == WINDOW).select("item", F.explode(F.slice("rare", 1, WINDOW - NEAR + 2)).alias("a")).where("a.n > 0").select("item", "a.term").distinct()
-    cell = F.expr(f"int(pos div {WINDOW})")
-    at = meet(index.where("pos > 0").select("row", "pos", "term"), few, small).select("row", "item", F.explode(F.array(cell, cell - 1)).alias("stretch"))
-    return at.where("stretch >= 0").groupBy("row", "item", "stretch").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    at = meet(index.where("pos > 0").select("row", "pos", "term"), few, small).select("row", "item", "pos")
+    lists = at.groupBy("row", "item").agg(F.array_sort(F.collect_list("pos")).alias("at")).where(F.size("at") > 1)  # a document's places, which lie in one task from the start
+    pairs = F.filter(F.arrays_zip(F.slice("at", 1, F.size("at") - 1).alias("a"), F.slice("at", 2, F.size("at") - 1).alias("b")), lambda x: x["b"] - x["a"] < WINDOW)
+    spans = F.transform(pairs, lambda x: F.sequence(F.floor(F.greatest(x["b"] - (WINDOW - 1), F.lit(0)) / WINDOW).cast("int"), F.floor(x["a"] / WINDOW).cast("int")))
+    return lists.select("row", "item", F.explode(F.array_distinct(F.flatten(spans))).alias("stretch"))
 
 
 def stretches_at(places: DataFrame, index: DataFrame) -> DataFrame:
