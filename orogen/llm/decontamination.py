@@ -109,12 +109,16 @@ def exact_matches(starts: DataFrame, stretches: DataFrame, windows: DataFrame) -
     return starts.join(stretches, ["row", "stretch"]).join(windows, "win").where(_heard(F.col("start"), size) == F.col("words")).select("row", "item", "start", size.alias("size"))
 
 
-def near_matches(places: DataFrame, stretches: DataFrame, windows: DataFrame) -> DataFrame:
-    """(row, item) where a run of WINDOW words has at least NEAR of a window's, in any order and repeated ones as often."""
+def near_matches(places: DataFrame, stretches: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """(row, item) where a run of WINDOW words has at least NEAR of a window's, in any order and repeated ones as often. A place must hold enough of the item's words before any of its windows is tried."""
     terms = F.array_distinct("words")
     often = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda x: x == t)).alias("n")))
     asked = windows.where(F.size("words") == WINDOW).select("item", "words", (F.size(terms) - (WINDOW - NEAR)).alias("least"), F.when(F.size(terms) < WINDOW, often).alias("repeated"))
-    likely = places.join(stretches, ["row", "stretch"]).join(asked, "item").where(F.size(F.array_intersect(F.transform("heard", lambda e: e["term"]), "words")) >= F.col("least"))
+    whole = asked.groupBy("item").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("own"), F.min("least").alias("fewest"))
+    hint = F.broadcast if small else lambda df: df
+    there = F.transform("heard", lambda e: e["term"])
+    likely = places.join(stretches, ["row", "stretch"]).join(hint(whole), "item").where(F.size(F.array_intersect(there, "own")) >= F.col("fewest")).drop("own", "fewest")
+    likely = likely.join(hint(asked), "item").where(F.size(F.array_intersect(there, "words")) >= F.col("least"))
     first = F.col("stretch") * WINDOW
     runs = F.transform(F.sequence(first, first + WINDOW - 1), lambda s: _heard(s, WINDOW))
     different = F.transform(runs, lambda w: F.size(F.array_intersect(w, F.col("words"))))
@@ -145,7 +149,7 @@ def judge(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
     if near:
         exact = cut(exact, "exact")
         left = close.join(exact.select("row", "item").distinct(), ["row", "item"], "left_anti")
-        found = found.unionByName(near_matches(left, stretches, listed).withColumnRenamed("item", "close"), allowMissingColumns=True)
+        found = found.unionByName(near_matches(left, stretches, windows, small).withColumnRenamed("item", "close"), allowMissingColumns=True)
     else:
         found = found.withColumn("close", F.lit(None).cast("string"))
     found = found.unionByName(exact, allowMissingColumns=True)
