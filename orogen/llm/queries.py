@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, chat, decontamination, langid, pii, secret_scan, simhash, token_files, topk, toxicity
+from orogen.llm import bpe, chat, conversation_repair, decontamination, langid, pii, secret_scan, simhash, token_alignment, token_files, topk, toxicity, url_filters
 from orogen.shipping import ship
 
 
@@ -59,6 +59,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit(conversation_repair.damage(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 _TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -67,9 +79,10 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op4_topk, op5_secrets, op6_token_files, op7_chat, op8_pii, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_simhash, op4_topk, op5_secrets, op6_token_files, op7_chat, op8_pii, op9_decontamination, op10_bpe, op11_url_filters, op12_token_alignment, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": _TOP_K, "op5_secrets": secret_scan.oracle_sql()}
+    return {"op4_topk": _TOP_K, "op5_secrets": secret_scan.oracle_sql(), "op11_url_filters": url_filters.oracle_sql(), "op13_conversation_repair": conversation_repair.oracle_sql()}
