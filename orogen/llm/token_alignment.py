@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 from array import array
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,7 @@ CHUNK = re.compile(r"(?<=\S)\n(?=\S)|\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:(?![ \n]\S)\
 #: Fixed value: the pattern by which the byte-level vocabulary splits texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"  # a blank in pieces
+LINE = re.compile(f" ?[^\\s{MARK}]{{1,50000}}\\Z")  # chunks that can be encoded as lines of one text
 
 
 @lru_cache(maxsize=2)
@@ -89,6 +91,25 @@ def encode_b(chunks: list[str], path: str) -> list[list[int]]:
     return [ids[2:] for ids in _pieces(path)[0].encode(["\n" + c for c in chunks], num_threads=1)]
 
 
+def _split(flat: np.ndarray, line_break: int) -> list[bytes]:
+    """Ids between line breaks."""
+    data, ends = flat.astype("<u4").tobytes(), (4 * np.flatnonzero(flat == line_break)).tolist()
+    return [data[i:j] for i, j in zip([0, *[e + 4 for e in ends]], [*ends, len(data)])]
+
+
+def _in_lines(chunks: list[str], path_a: str, path_b: str) -> list[tuple[bytes, bytes]] | None:
+    """Encodings of chunks without inner white space, which do not depend on each other as lines of one text; None where the libraries see it otherwise."""
+    ranked, (pieces, bytes_b), bytes_a = _ranked(path_a), _pieces(path_b), token_bytes(path_a)
+    if ranked is None or not chunks:
+        return None
+    text = "\n".join(chunks)
+    raw, a, b = text.encode(), ranked.encode_ordinary(text), pieces.encode("\n" + text)[2:]
+    if b"".join(map(bytes_a.__getitem__, a)) != raw or b"".join(map(bytes_b.__getitem__, b)) != raw:
+        return None
+    a, b = _split(np.array(a), bytes_a.index(b"\n")), _split(np.array(b), bytes_b.index(b"\n"))
+    return [*zip(a, b)] if len(a) == len(b) == len(chunks) else None
+
+
 _known: dict[tuple[str, str], dict[str, tuple[bytes, bytes] | None]] = {}
 
 
@@ -98,8 +119,14 @@ def encodings(chunks: list[str], path_a: str, path_b: str) -> list[tuple[bytes,
     _keep_first(known, CACHED)
     new = [c for c in chunks if c not in known]
     bytes_a, bytes_b, fresh = token_bytes(path_a), _pieces(path_b)[1], {}
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
+    lines = [*filter(LINE.match, new)]
+    for at in range(0, len(lines), 5_000):
+        found = _in_lines(some := lines[at : at + 5_000], path_a, path_b)
+        if found:
+            fresh.update(zip(some, found))
+    new = [c for c in new if c not in fresh]
+    for at in range(0, len(new), 5_000):
+        some = new[at : at + 5_000]
         for c, a, b in zip(some, encode_a(some, path_a), encode_b(some, path_b)):
             raw = c.encode()
             fine = b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw
@@ -109,6 +136,12 @@ def encodings(chunks: list[str], path_a: str, path_b: str) -> list[tuple[bytes,
     return out
 
 
+@lru_cache(maxsize=1)
+def _spelled(size: int) -> pa.Array:
+    """Every id with each sign that can stand after it."""
+    return pa.array([f"{i}{s}" for s in (",", "|", ";", "") for i in range(size)])
+
+
 def _intervals(ids: list[bytes], table: list[bytes]) -> pa.Table:
     """Tokens of all chunks: chunk, id, start, stop, with the chunks laid end to end."""
     each = np.array([len(i) // 4 for i in ids], np.int64)
@@ -157,7 +190,7 @@ def align(ids: list[tuple[bytes, bytes]], times: np.ndarray, path_a: str, path_b
     size, key = max(len(table_a), len(table_b)), np.zeros(len(at), np.int64)
     key[at] = sign * size + np.concatenate([id_a, id_b])
     n_a, n_b = np.bincount(chunk_a, minlength=len(ids)), np.bincount(chunk_b, minlength=len(ids))
-    spelled = pa.array([f"{i}{s}" for s in (",", "|", ";", "") for i in range(size)]).take(pa.array(key))
+    spelled = _spelled(size).take(pa.array(key))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_a + n_b)]).astype(np.int32)), spelled)
     heads = np.append(True, group_a[1:] != group_a[:-1]) if len(group_a) else np.zeros(0, bool)
     return {
@@ -181,13 +214,12 @@ def _large(data: bytes, n: int) -> np.ndarray:
 
 def _block(number: int, doc_ids: list, texts: list, path_a: str, path_b: str, keep: bool) -> list[dict]:
     """Rows of a block: one for each text, with its chunks by number, and one with the block's pairs."""
-    seen, parts = {}, []
-    for t in texts:
-        parts.append([seen.setdefault(c, len(seen)) for c in CHUNK.findall(" " + t)] if t else [])
+    seen = defaultdict()
+    seen.default_factory = seen.__len__
+    parts = [np.fromiter(map(seen.__getitem__, CHUNK.findall(" " + t) if t else ()), np.int64) for t in texts]
     ids = encodings(list(seen), path_a, path_b)
     del seen
     fine = np.array([i is not None for i in ids], bool)
-    parts = [np.array(p, np.int64) for p in parts]
     parts = [p if fine[p].all() else p[:0] for p in parts]
     times = np.bincount(np.concatenate([np.zeros(0, np.int64), *parts]), minlength=len(ids))
     used = np.flatnonzero(times)  # chunks of texts that have tokens
