@@ -46,10 +46,15 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For every query and block, the sum over terms of the most that the block's range of the term can give."""
+    """For every query and block, no less than the sum over terms of the most that the block's range of the term can give.
+
+    The sum is in double precision; what rounding can take from it is in proportion to the sum of the terms' absolute values, not to the sum itself, and is added. Where sums can pass
+    the 64-bit range scores wrap, and the bound is infinite.
+    """
     width = min(queries.shape[1], high.shape[1])
     q, high, low = queries[:, :width].astype(np.float64), high[:, :width].astype(np.float64), low[:, :width].astype(np.float64)
-    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    size = np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T
+    return np.where(size < 2.0**62, np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T + size * (width + 8) * 2.0**-52, np.inf)
 
 
 def integers(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -115,7 +120,7 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, own: list, k: int)
     decoded = [_unpack(r) for r in own]
     for step in range(len(own)):
         at = order[:, step]
-        live = bounds[np.arange(len(at)), at] * (1 + 1e-12) + 1e-6 >= floor
+        live = bounds[np.arange(len(at)), at] >= floor
         if not live.any():
             break
         for block in np.unique(at[live]):

@@ -39,3 +39,25 @@ def test_blocks_below_the_kth_score_are_not_scored(monkeypatch):
     monkeypatch.setattr(topk, "products", lambda a, b: seen.append(int(b[0, 0])) or unpack(a, b))
     found = topk.search_shard(np.array([[1, 1, 1, 1]]), np.array([1000]), own, 5)
     assert seen == [50] and found[0][0].tolist() == [0, 1, 2, 3, 4] and found[0][1].tolist() == [200] * 5
+
+
+def test_ties_of_negative_and_of_very_large_scores(spark, monkeypatch):
+    """The kth score equals the bounds of blocks that come later; their smaller ids must still win."""
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "SHARD", 64)
+    near = [(10_001 + i, [-1000.0, 5.0]) for i in range(60) if (10_001 + i) % 20] + [(1 + i, [-1000.0, -5.0]) for i in range(60) if (1 + i) % 20]
+    for query in ([1000.0, 0.0], [-1000.0, 0.0], [2.0**40, 0.0], [-(2.0**40), 2.0**40 + 1]):
+        rows = [(20, query), *near]
+        got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect())
+        assert got == plain(rows, 20, 20)
+
+
+def test_bounds_hold():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for scale in (1, 1 << 10, 1 << 20, 1 << 27):
+        q, block = r.integers(-scale, scale + 1, (9, 6)), r.integers(-scale, scale + 1, (30, 6))
+        bounds = topk._bounds(q, block.max(axis=0)[None], block.min(axis=0)[None])[:, 0]
+        exact = [sum(max(int(x) * int(h), int(x) * int(low)) for x, h, low in zip(row, block.max(axis=0), block.min(axis=0))) for row in q]
+        assert all(b >= e for b, e in zip(bounds, exact))
