@@ -62,6 +62,44 @@ def test_schema_keywords():
     assert not chat.fine("{}", '{"$ref":"#"}') and chat.fine('{"n": 1.0}', '{"properties":{"n":{"type":"integer"}}}')
 
 
+def test_numbers_by_their_digits():
+    for schema, good, bad in [({"multipleOf": 0.1}, 0.3, 0.35), ({"multipleOf": 1e-7}, 0.3, 3e-8), ({"type": "integer"}, 1e30, 1e-30), ({"multipleOf": 10**400}, 10**401, 1.5), ({"dependentRequired": {"a": ["b"]}}, {"a": 1, "b": 1}, {"a": 1})]:
+        assert chat.valid(good, schema) and not chat.valid(bad, schema), schema
+    assert chat.fine('{"a":1.5}', '{"properties":{"a":{"multipleOf":1' + "0" * 400 + "}}}") is False
+    assert chat.fine('{"a":1}', '{"allOf":[{"$ref":"#/allOf/' + "9" * 5000 + '"}]}') is True  # a reference to nothing fits everything
+
+
+def test_schemas_that_double_end_soon():
+    import time
+
+    doubled = {"$defs": {f"d{i}": {"allOf": [{"$ref": f"#/$defs/d{i + 1}"}, {"$ref": f"#/$defs/d{i + 1}"}]} for i in range(60)} | {"d60": {"type": "object"}}, "$ref": "#/$defs/d0"}
+    start = time.perf_counter()
+    assert chat.fine("{}", json.dumps(doubled)) and not chat.fine("[]", json.dumps(doubled))
+    many = {"properties": {"a": {"items": {"anyOf": [{"const": i} for i in range(2000)]}}}}
+    assert not chat.fine(json.dumps({"a": [0.5] * 5}) , json.dumps(many)) and not chat.fine(json.dumps({"a": list(range(-3000, 0))}), json.dumps(many))
+    wide = {"properties": {"a": {"items": {"anyOf": [{"enum": list(range(j, j + 300))} for j in range(1000)]}}}}
+    chat.fine(json.dumps({"a": list(range(5000, 9000))}), json.dumps(wide))
+    assert time.perf_counter() - start < 20
+    assert not chat.fine("{}", json.dumps({"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}))
+
+
+def test_no_schema_breaks_the_job():
+    r = random.Random(12)
+    keys = ["type", "enum", "const", "$ref", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "minimum", "exclusiveMaximum", "multipleOf", "minLength", "pattern", "items", "prefixItems", "contains", "uniqueItems", "required", "dependentRequired", "properties", "patternProperties", "additionalProperties", "propertyNames", "maxProperties", "$defs"]
+    leaves = [None, True, False, 0, -1, 0.1, 1e308, 10**400, 5e-324, "", "a", "(", "string", "integer", "#", "#/", "#/$defs/a", "#/allOf/0", "#/allOf/99999999999999999999", "%25", [], {}]
+
+    def some(depth):
+        kind = r.random() if depth else 0
+        if kind < 0.3:
+            return r.choice(leaves)
+        if kind < 0.5:
+            return [some(depth - 1) for _ in range(r.randint(0, 3))]
+        return {r.choice([*keys, "a", "b"]): some(depth - 1) for _ in range(r.randint(0, 4))}
+
+    for _ in range(4000):
+        assert chat.fine(json.dumps({"a": some(3), "b": some(2)}), json.dumps(some(5))) in (True, False)
+
+
 def plain_order(conversation):
     """Rows (turn, calls, answers) in order, by brute force: the key of a moved result is its call's key and one more."""
     n = len(conversation)
