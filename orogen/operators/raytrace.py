@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ def _hemisphere(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
 
 
 def first_rays(tile: int, pixel: np.ndarray, ray: np.ndarray, light: Lighting) -> np.ndarray:
-    """Directions of the rays of a cell: sectors of azimuth, each with strata of elevation, jittered."""
+    """Directions of the rays of cells: sectors of azimuth, each with strata of elevation, jittered. pixel and ray are of one shape, or of shapes that NumPy spreads against each other."""
     each = max(1, light.rays // SECTORS)
     theta = (ray % each + uniform(tile, pixel, ray, 0)) / each
     phi = (np.minimum(SECTORS - 1, ray // each) + uniform(tile, pixel, ray, 1)) / SECTORS
@@ -58,48 +59,108 @@ def next_rays(tile: int, pixel: np.ndarray, ray: np.ndarray, bounce: int, normal
     return tangent * local[:, :1] + other * local[:, 1:2] + normal * local[:, 2:]
 
 
-def nearest_hits(m: np.ndarray, res: tuple[float, float], origin: np.ndarray, direction: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Tops(NamedTuple):
+    """Largest column tops of blocks of 1, 2, 4, … cells a side, all levels in one vector; a level's block (x, y) is at first[level] + y * across[level] + x."""
+
+    values: np.ndarray
+    first: np.ndarray
+    across: np.ndarray
+    margin: float  # by which the tops are raised, far more than rounding can move a ray
+
+
+def tops_of(m: np.ndarray) -> Tops:
+    """The quadtree of maxima of a matrix of heights; a missing cell has no column, and a column goes up to 0 at least."""
+    level = np.where(np.isnan(m), -np.inf, np.maximum(m, 0.0))
+    margin = 1e-9 * (1 + np.nanmax(np.abs(m), initial=0.0))
+    level, parts, first, across = level + margin, [], [], []
+    while True:
+        first.append(sum(p.size for p in parts))
+        across.append(level.shape[1])
+        parts.append(level.ravel())
+        if max(level.shape) <= 1:
+            return Tops(np.concatenate(parts), np.array(first), np.array(across), margin)
+        level = np.pad(level, [(0, n % 2) for n in level.shape], constant_values=-np.inf)
+        level = np.maximum(np.maximum(level[::2, ::2], level[1::2, ::2]), np.maximum(level[::2, 1::2], level[1::2, 1::2]))
+
+
+def _crossed(place: np.ndarray, step: np.ndarray, pace: np.ndarray, slope: np.ndarray, t: np.ndarray, also_at: np.ndarray) -> np.ndarray:
+    """The cells along one axis that rays are in at t: all borders crossed before t, and those crossed at t where also_at."""
+    cell = np.floor(place + slope * t).astype(np.int64)
+    for _ in range(2):  # rounding puts the first guess next to the right cell at most
+        entry = np.abs(cell + (step < 0) - place) * pace
+        exit_ = np.abs(cell + (step > 0) - place) * pace
+        before = (cell + (step < 0) - place) * step > 0  # the border behind the cell is ahead of the start
+        back = before & np.where(also_at, entry > t, entry >= t)
+        cell = cell + step * (np.where(also_at, exit_ <= t, exit_ < t).astype(np.int64) - back)
+    return cell
+
+
+def nearest_hits(m: np.ndarray, res: tuple[float, float], origin: np.ndarray, direction: np.ndarray, skip: np.ndarray, tops: Tops | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance to the first column that each ray hits (infinite without one) and its cell (row * width + column, else -1).
 
-    Rays walk from cell to cell; a column spans its cell from 0 to its height. skip: the cell each ray starts from, -1 for none.
+    Rays walk over a quadtree of maxima: a block whose highest column a ray stays above is passed in one step, and the next one may be twice as wide; a ray that comes lower looks into
+    the block's quarters, in the end at single cells, whose columns span from 0 to their height. Times of crossings depend on the border alone, so the way over blocks
+    gives the same numbers as one from cell to cell. skip: the cell each ray starts from, -1 for none. tops: tops_of(m).
     """
     h, w = m.shape
-    place = origin[:, :2] / res + 0.5
-    cell = np.floor(place).astype(int)
-    step = np.where(direction[:, :2] >= 0, 1, -1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        delta = np.abs(np.asarray(res) / direction[:, :2])
-        ahead = np.where(direction[:, :2] >= 0, cell + 1 - place, place - cell) * delta
-    ahead = np.where(np.isnan(ahead), np.inf, ahead)
+    tops = tops_of(m) if tops is None else tops
+    last = len(tops.first) - 1
     low_z, top_z = min(0.0, np.nanmin(m, initial=0.0)), max(0.0, np.nanmax(m, initial=0.0))
     best, hit = np.full(len(origin), np.inf), np.full(len(origin), -1)
-    live, t0 = np.arange(len(origin)), np.zeros(len(origin))
-    while len(live):
-        c = cell[live]
-        z, dz = origin[live, 2], direction[live, 2]
-        inside = (c[:, 0] >= 0) & (c[:, 0] < w) & (c[:, 1] >= 0) & (c[:, 1] < h)
-        gone = ((c[:, 0] < 0) & (step[live, 0] < 0)) | ((c[:, 0] >= w) & (step[live, 0] > 0)) | ((c[:, 1] < 0) & (step[live, 1] < 0)) | ((c[:, 1] >= h) & (step[live, 1] > 0))
-        out = gone | ((z + dz * t0[live] > top_z) & (dz >= 0)) | ((z + dz * t0[live] < low_z) & (dz <= 0))
-        height = np.where(inside, m[np.where(inside, c[:, 1], 0), np.where(inside, c[:, 0], 0)], np.nan)
-        bottom, top = np.minimum(0.0, height), np.maximum(0.0, height)
-        t1 = ahead[live].min(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ta, tb = (bottom - z) / dz, (top - z) / dz
-        flat = dz == 0
-        within = (z >= bottom) & (z <= top)
-        za = np.where(flat, np.where(within, -np.inf, np.inf), np.minimum(ta, tb))
-        zb = np.where(flat, np.where(within, np.inf, -np.inf), np.maximum(ta, tb))
-        start, end = np.maximum(t0[live], za), np.minimum(t1, zb)
-        distance = np.where(start > 1e-9, start, end)
-        number = c[:, 1] * w + c[:, 0]
-        met = ~np.isnan(height) & (start <= end) & (distance > EPSILON) & (number != skip[live]) & ~out
-        best[live[met]], hit[live[met]] = distance[met], number[met]
-        go = live[~(met | out | np.isinf(t1))]
-        axis = ahead[go].argmin(axis=1)
-        t0[go] = ahead[go, axis]
-        cell[go, axis] += step[go, axis]
-        ahead[go, axis] += delta[go, axis]
-        live = go
+    px, py = origin[:, 0] / res[0] + 0.5, origin[:, 1] / res[1] + 0.5
+    z, dz = np.ascontiguousarray(origin[:, 2]), np.ascontiguousarray(direction[:, 2])
+    gx, gy = direction[:, 0] / res[0], direction[:, 1] / res[1]
+    sx, sy = np.where(direction[:, 0] >= 0, 1, -1), np.where(direction[:, 1] >= 0, 1, -1)
+    heights = m.ravel()
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        ax, ay = np.abs(res[0] / direction[:, 0]), np.abs(res[1] / direction[:, 1])
+        cx, cy = np.floor(px).astype(np.int64), np.floor(py).astype(np.int64)
+        t, level, ray = np.zeros(len(z)), np.zeros(len(z), np.int64), np.arange(len(z))
+        own = np.asarray(skip)
+        while len(ray):
+            at = z + dz * t
+            inside = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
+            ahead_x, ahead_y = ((cx >> level) + (sx > 0)) << level, ((cy >> level) + (sy > 0)) << level
+            tx, ty = np.abs(ahead_x - px) * ax, np.abs(ahead_y - py) * ay
+            by_x = tx <= ty
+            t1 = np.where(by_x, tx, ty)
+            end = np.where(dz > 0, at > top_z, np.where(dz < 0, at < low_z, (at > top_z) | (at < low_z)))
+            if not inside.all():
+                end |= ((cx < 0) & (sx < 0)) | ((cx >= w) & (sx > 0)) | ((cy < 0) & (sy < 0)) | ((cy >= h) & (sy > 0))
+            block = tops.values[np.where(inside, tops.first[level] + (cy >> level) * tops.across[level] + (cx >> level), 0)]
+            over = ~inside | (np.where(dz >= 0, at, z + dz * t1) > block)
+            look = np.flatnonzero(~over & ~end & (level == 0))
+            if len(look):
+                number = cy[look] * w + cx[look]
+                height, own_z, own_dz = heights[number], z[look], dz[look]
+                bottom, top = np.minimum(0.0, height), np.maximum(0.0, height)
+                ta, tb = (bottom - own_z) / own_dz, (top - own_z) / own_dz
+                flat, within = own_dz == 0, (own_z >= bottom) & (own_z <= top)
+                za = np.where(flat, np.where(within, -np.inf, np.inf), np.minimum(ta, tb))
+                zb = np.where(flat, np.where(within, np.inf, -np.inf), np.maximum(ta, tb))
+                start, stop = np.maximum(t[look], za), np.minimum(t1[look], zb)
+                distance = np.where(start > 1e-9, start, stop)
+                met = (start <= stop) & (distance > EPSILON) & (number != own[look])
+                found = look[met]
+                best[ray[found]], hit[ray[found]] = distance[met], number[met]
+                end[found] = True
+            go = over | (level == 0)
+            end |= go & np.isinf(t1)
+            far = np.flatnonzero(go & (level > 0))
+            across_x = np.where(by_x, ahead_x - (sx < 0), cx)
+            across_y = np.where(by_x, cy, ahead_y - (sy < 0))
+            if len(far):
+                b = by_x[far]
+                x, y = far[~b], far[b]
+                across_x[x] = _crossed(px[x], sx[x], ax[x], gx[x], t1[x], np.ones(len(x), bool))
+                across_y[y] = _crossed(py[y], sy[y], ay[y], gy[y], t1[y], np.zeros(len(y), bool))
+            border = np.where(by_x, ahead_x, ahead_y)
+            rise = over & (level < last) & ((border & ((2 << level) - 1)) == 0)
+            level = np.where(go, level + rise, level - 1)
+            cx, cy, t = np.where(go, across_x, cx), np.where(go, across_y, cy), np.where(go, t1, t)
+            if end.any():
+                k = np.flatnonzero(~end)
+                px, py, z, dz, gx, gy, sx, sy, ax, ay, cx, cy, t, level, ray, own = (v[k] for v in (px, py, z, dz, gx, gy, sx, sy, ax, ay, cx, cy, t, level, ray, own))
     return best, hit
 
 
@@ -127,18 +188,18 @@ def occlusion(cells: DataFrame, t: Tiling, light: Lighting, exaggeration: float
 
     def kernel(m, ys, xs, place):
         m = m * exaggeration
-        out, width = np.zeros(len(ys)), m.shape[1]
+        out, width, tops = np.zeros(len(ys)), m.shape[1], tops_of(m)
         at_once = max(1, RAYS_AT_ONCE // light.rays)
         for i in range(0, len(ys), at_once):
             y, x = ys[i : i + at_once], xs[i : i + at_once]
-            ray = np.tile(np.arange(light.rays), len(y))
-            pixel = np.repeat((y - place.off_y) * place.width + (x - place.off_x), light.rays)
-            d = first_rays(place.number, pixel, ray, light)
+            pixel, ray = (y - place.off_y) * place.width + (x - place.off_x), np.arange(light.rays)
+            d = first_rays(place.number, pixel[:, None], ray[None, :], light).reshape(-1, 3)
+            pixel, ray = np.repeat(pixel, light.rays), np.tile(ray, len(y))
             at = np.repeat(np.stack([x * res[0], y * res[1], m[y, x]], axis=1), light.rays, axis=0) + d * EPSILON
             skip = np.repeat(y * width + x, light.rays)
             value, live = np.zeros(len(ray)), np.arange(len(ray))
             for bounce in range(light.bounces + 1):
-                far, cell = nearest_hits(m, res, at, d, skip)
+                far, cell = nearest_hits(m, res, at, d, skip, tops)
                 free = cell < 0
                 value[live[free]] = radiance(d[free], light)
                 if bounce == light.bounces or free.all():
@@ -157,11 +218,11 @@ def fixed_hits(cells: DataFrame, t: Tiling, rays: list[tuple[float, float, float
     res = t.grid.res_x, t.grid.res_y
 
     def kernel(m, ys, xs, place):
-        out = []
+        out, tops = [], tops_of(m)
         for dx, dy, dz in rays:
             d = np.tile([dx, dy, dz], (len(ys), 1))
             at = np.stack([xs * res[0], ys * res[1], m[ys, xs]], axis=1) + d * EPSILON
-            out.append(nearest_hits(m, res, at, d, ys * m.shape[1] + xs)[0])
+            out.append(nearest_hits(m, res, at, d, ys * m.shape[1] + xs, tops)[0])
         return out
 
     names = [f"d{i}" for i in range(len(rays))]
