@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import math
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from orogen.operators.grid import BBox, Grid, Tiling, clip, counts, keep_tiles,
 from orogen.shipping import ship
 from orogen.sources import geotiff
 from orogen.sources.derived import embedding_raster, part_raster, shipping_raster, unit_range, with_holes
+from orogen.work import new_folder
 
 TILE = 64
 SUN = Lighting(sky=0.7, sun=0.5, azimuth=200.0, elevation=35.0, diameter=30.0, ambient=0.1)
@@ -256,17 +255,11 @@ def mosaic_roundtrip(spark, sf_dir):
     return _out(directional.over_tiles(cells, tiling(g, 7), lambda m, ys, xs, tile: (m[ys, xs],), "v"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all tasks see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared}/raster-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="orogen-")
-
-
 def _file(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
     """The raster with holes, written as one GeoTIFF."""
     cells, g = hole(spark, sf_dir)
     g = replace(g, nodata=-9999.0)
-    return geotiff.write_single(cells, Tiling(g, 48), ["z"], f"{_folder(spark)}/raster.tif", nodata_tag=-9999.0), g
+    return geotiff.write_single(cells, Tiling(g, 48), ["z"], f"{new_folder(spark, 'raster')}/raster.tif", nodata_tag=-9999.0), g
 
 
 def geotiff_single(spark, sf_dir):
@@ -285,7 +278,7 @@ def geotiff_tiles(spark, sf_dir):
     """Every written tile read again, at its place in the raster."""
     cells, g = hole(spark, sf_dir)
     g = replace(g, nodata=-9999.0)
-    written = geotiff.write_tiles(cells, Tiling(g, 200), ["z"], _folder(spark), nodata_tag=-9999.0).collect()  # a path a tile
+    written = geotiff.write_tiles(cells, Tiling(g, 200), ["z"], new_folder(spark, "tiles"), nodata_tag=-9999.0).collect()  # a path a tile
     parts = []
     for r in written:
         tile, own = geotiff.load(spark, r.path)
