@@ -16,7 +16,7 @@ from orogen.functions.numbers import to_byte
 from orogen.operators import align, horizon, raytrace
 from orogen.operators.grid import BBox, Grid, Tiling
 from orogen.plans import products, render
-from orogen.sources import geotiff, style
+from orogen.sources import geotiff, sink, style
 
 LOG = logging.getLogger("orogen")
 
@@ -113,10 +113,10 @@ def session(a: argparse.Namespace) -> SparkSession:
 def write(df, t: Tiling, bands: list[str], a: argparse.Namespace, as_bytes: bool, tile_tag: float | None, single_tag: float | None) -> None:
     output = a.output or ("output.tif" if a.output_mode == "single-file" else "output_tiles")
     if a.output_mode == "single-file":
-        geotiff.write_single(df, t, bands, output, as_bytes, single_tag)
+        sink.write_single(df, t, bands, output, as_bytes, single_tag)
         LOG.info("wrote %s", output)
     else:
-        n = geotiff.write_tiles(df, t, bands, output, as_bytes, tile_tag, a.start_tile).count()
+        n = sink.write_tiles(df, t, bands, output, as_bytes, tile_tag, a.start_tile)
         LOG.info("wrote %d tiles to %s", n, output)
 
 
@@ -168,9 +168,12 @@ def run_render(a: argparse.Namespace) -> None:
     if a.command == "align-grid":
         fine, g = geotiff.load(spark, a.input)
         _, coarse = geotiff.load(spark, a.reference)
+        needed = render.needed(g, coarse, coarse.whole)
+        if needed:  # the reader takes these bounds, so blocks beside the reference are not read
+            fine = fine.where(F.col("x").between(needed.x, needed.end_x - 1) & F.col("y").between(needed.y, needed.end_y - 1))
         out = align.align_grid(fine, g, coarse)
         target = Grid(coarse.width, coarse.height, coarse.min_x, coarse.min_y, coarse.res_x, coarse.res_y, coarse.crs, g.nodata)
-        geotiff.write_single(out.withColumnRenamed("z", "v"), Tiling(target, a.tile_size), ["v"], a.output, False, g.nodata)
+        sink.write_single(out.withColumnRenamed("z", "v"), Tiling(target, a.tile_size), ["v"], a.output, False, g.nodata)
         return
     layers = style.read_style(a.style)
     out, grid, window = render.render(spark, layers, a.bbox, True)

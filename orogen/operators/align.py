@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.operators.grid import Grid
+from orogen.operators.grid import Grid, Window
 
 EPSILON = 1e-9
 
@@ -59,12 +62,125 @@ def empty(spark: SparkSession, g: Grid) -> DataFrame:
     return spark.range(g.width * g.height).select((F.col("id") % n).cast("int").alias("x"), (F.col("id") / n).cast("long").cast("int").alias("y"))
 
 
+@dataclass(frozen=True)
+class Source:
+    """A raster to bring onto a grid: its cells (x, y, z), its grid, and how: same, max, nearest or bilinear. label: how errors name it."""
+
+    cells: DataFrame
+    grid: Grid
+    how: str
+    label: str = "Input raster"
+
+
+TILE = 512  # target cells along a tile's side at most
+HELD = 2048  # source cells along the side of what a tile is made of, where one target cell does not need more
+
+
+def _reach(s: Source, target: Grid, axis: str) -> tuple[Column, Column]:
+    """First and last target cell along an axis that a source cell can have a part in, to a source cell more than exactly."""
+    own, at = s.grid, F.col(axis)
+    if s.how == "same":
+        return at.cast("long"), at.cast("long")
+    if axis == "x":
+        place = lambda n: (F.lit(own.min_x - target.min_x) + n * own.res_x) / target.res_x
+    else:
+        place = lambda n: (F.lit(target.max_y - own.max_y) + n * own.res_y) / target.res_y
+    wide = 0 if s.how == "max" else 1
+    return F.floor(place(at - wide) - EPSILON), F.floor(place(at + 1 + wide) + EPSILON)
+
+
+def _resample(s: Source, target: Grid, xs: np.ndarray, ys: np.ndarray, m: np.ndarray, x0: int, y0: int) -> np.ndarray:
+    """Values of target cells xs by ys from a matrix of source cells that begins at x0, y0; NaN is missing, and so is what lies beyond the matrix."""
+    own = s.grid
+
+    def at(sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+        inside_x, inside_y = (sx >= x0) & (sx < x0 + m.shape[1]), (sy >= y0) & (sy < y0 + m.shape[0])
+        found = m[np.where(inside_y, sy - y0, 0)[:, None], np.where(inside_x, sx - x0, 0)[None, :]]
+        return np.where(inside_y[:, None] & inside_x[None, :], found, np.nan)
+
+    if s.how == "same":
+        return at(xs, ys)
+    if s.how == "max":
+        a = Alignment.between(own, target, s.label)
+        tx, ty = (np.arange(m.shape[1]) + x0) // a.factor_x + a.start_x - xs[0], (np.arange(m.shape[0]) + y0) // a.factor_y + a.start_y - ys[0]
+        fx, fy = (tx >= 0) & (tx < len(xs)), (ty >= 0) & (ty < len(ys))
+        out = np.full(len(xs) * len(ys), -np.inf)
+        np.maximum.at(out, (ty[fy][:, None] * len(xs) + tx[fx][None, :]).ravel(), np.where(np.isnan(m), -np.inf, m)[fy][:, fx].ravel())
+        return np.where(np.isneginf(out), np.nan, out).reshape(len(ys), len(xs))
+    u = (target.min_x + (xs + 0.5) * target.res_x - own.min_x) / own.res_x
+    v = (own.max_y - (target.max_y - (ys + 0.5) * target.res_y)) / own.res_y
+    if s.how == "nearest":
+        return at(np.floor(u).astype(np.int64), np.floor(v).astype(np.int64))
+    inside = ((v >= 0) & (v <= own.height))[:, None] & ((u >= 0) & (u <= own.width))[None, :]
+    u, v = np.clip(u - 0.5, 0, own.width - 1.0), np.clip(v - 0.5, 0, own.height - 1.0)
+    left, top = np.floor(u), np.floor(v)
+    total = np.zeros((len(ys), len(xs)))
+    for j in (0, 1):
+        for i in (0, 1):
+            w = (v - top if j else 1 - v + top)[:, None] * (u - left if i else 1 - u + left)[None, :]
+            total += np.where(w > 0, w * at(left.astype(np.int64) + i, top.astype(np.int64) + j), 0.0)
+    return np.where(inside, total, np.nan)
+
+
+def on_grid(sources: dict[str, Source], target: Grid, window: Window | None = None) -> DataFrame:
+    """x, y and a column for every source: all cells of a grid, or of a window of it, null where a source has no value.
+
+    Every source cell is dealt out once to the tiles of the target that it has a part in, all sources together in one exchange; a tile's kernel then resamples each. Tiles are
+    small where sources are much finer, so that a task holds some millions of source cells; where even one target cell takes more, its largest is found before.
+    """
+    area = window or target.whole
+    for s in sources.values():
+        if s.grid.crs != target.crs:
+            raise ValueError(f"{s.label} CRS does not match the reference raster.")
+        if s.how == "max":
+            Alignment.between(s.grid, target, s.label)
+    finest = max(max(target.res_x / s.grid.res_x, target.res_y / s.grid.res_y) for s in sources.values())
+    side = max(1, min(TILE, int(HELD / max(1.0, finest))))
+    across, down = -(-area.width // side), -(-area.height // side)
+    names, kept = list(sources), {}
+    spark = next(iter(sources.values())).cells.sparkSession
+    parts = [spark.range(across * down).select(F.col("id").alias("tile"), F.lit(-1).alias("layer"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).cast("double").alias("z"))]  # every tile has a result
+    for i, s in enumerate(sources.values()):
+        cells = s.cells
+        if s.how == "max" and max(target.res_x / s.grid.res_x, target.res_y / s.grid.res_y) > HELD:
+            a = Alignment.between(s.grid, target, s.label)
+            at = lambda c, n, start: (F.floor(F.col(c) / n) + start).cast("int").alias(c)
+            cells, s = cells.groupBy(at("x", a.factor_x, a.start_x), at("y", a.factor_y, a.start_y)).agg(F.max("z").alias("z")), Source(cells, target, "same", s.label)
+        kept[i] = Source(None, s.grid, s.how, s.label)
+        spans = []
+        for axis, begin, n, count in (("x", area.x, area.width, across), ("y", area.y, area.height, down)):
+            low, high = _reach(s, target, axis)
+            low, high = F.greatest(low - begin, F.lit(0)), F.least(high - begin, F.lit(n - 1))
+            spans.append(F.when(low <= high, F.sequence(F.floor(low / side), F.floor(high / side))))
+        dealt = cells.select("x", "y", F.col("z").cast("double").alias("z"), spans[1].alias("rows"), F.explode(spans[0]).alias("col")).select("x", "y", "z", "col", F.explode("rows").alias("row"))
+        parts.append(dealt.select((F.col("row") * across + F.col("col")).alias("tile"), F.lit(i).alias("layer"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "z"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = divmod(int(pdf["tile"].iloc[0]), across)
+        xs = np.arange(area.x + col * side, min(area.x + (col + 1) * side, area.end_x))
+        ys = np.arange(area.y + row * side, min(area.y + (row + 1) * side, area.end_y))
+        out = {"x": np.tile(xs, len(ys)).astype(np.int32), "y": np.repeat(ys, len(xs)).astype(np.int32)}
+        layer, px, py, z = (pdf[c].to_numpy() for c in ("layer", "x", "y", "z"))
+        for i, name in enumerate(names):
+            own = layer == i
+            if not own.any():
+                out[name] = np.full(len(xs) * len(ys), np.nan)
+                continue
+            x0, y0 = int(px[own].min()), int(py[own].min())
+            m = np.full((int(py[own].max()) - y0 + 1, int(px[own].max()) - x0 + 1), np.nan)
+            m[py[own] - y0, px[own] - x0] = z[own]
+            try:
+                out[name] = _resample(kept[i], target, xs, ys, m, x0, y0).ravel()
+            except Exception as e:
+                raise RuntimeError(f"tile {row * across + col}: {e}") from e
+        return pd.DataFrame(out)
+
+    return reduce(DataFrame.union, parts).groupBy("tile").applyInPandas(run, "x int, y int, " + ", ".join(f"`{n}` double" for n in names))
+
+
 def block_max(cells: DataFrame, fine: Grid, coarse: Grid, label: str = "Input raster") -> DataFrame:
     """x, y, z of the coarser grid: the largest valid cell of each block, null where there is none or the rasters do not overlap."""
-    a = Alignment.between(fine, coarse, label)
-    x, y = F.floor(F.col("x") / a.factor_x) + a.start_x, F.floor(F.col("y") / a.factor_y) + a.start_y
-    tops = cells.groupBy(x.cast("int").alias("x"), y.cast("int").alias("y")).agg(F.max("z").alias("z"))
-    return empty(cells.sparkSession, coarse).join(tops, ["x", "y"], "left")
+    return on_grid({"z": Source(cells, fine, "max", label)}, coarse)
 
 
 def align_grid(cells: DataFrame, fine: Grid, coarse: Grid, label: str = "Input raster") -> DataFrame:
@@ -73,29 +189,11 @@ def align_grid(cells: DataFrame, fine: Grid, coarse: Grid, label: str = "Input r
     return block_max(cells, fine, coarse, label)
 
 
-def _centres(spark: SparkSession, source: Grid, target: Grid) -> DataFrame:
-    """Cells of target with their centre in fractional cells of source."""
-    u = (F.lit(target.min_x) + (F.col("x") + 0.5) * target.res_x - source.min_x) / source.res_x
-    v = (F.lit(source.max_y) - (F.lit(target.max_y) - (F.col("y") + 0.5) * target.res_y)) / source.res_y
-    return empty(spark, target).select("x", "y", u.alias("u"), v.alias("v"))
-
-
 def nearest(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
     """x, y, z of target: the source cell that holds the centre."""
-    at = _centres(cells.sparkSession, source, target).select("x", "y", F.floor("u").cast("int").alias("sx"), F.floor("v").cast("int").alias("sy"))
-    return at.join(cells.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "z"), ["sx", "sy"], "left").select("x", "y", "z")
+    return on_grid({"z": Source(cells, source, "nearest")}, target)
 
 
 def bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
     """x, y, z of target: weighted mean of the four source cells around the centre. A missing one that has weight makes the result missing; beyond the outer centres the border cells hold, beyond the raster nothing."""
-    at = _centres(cells.sparkSession, source, target)
-    inside = F.col("u").between(0, source.width) & F.col("v").between(0, source.height)
-    cu, cv = F.greatest(F.lit(0.0), F.least(F.col("u") - 0.5, F.lit(source.width - 1.0))), F.greatest(F.lit(0.0), F.least(F.col("v") - 0.5, F.lit(source.height - 1.0)))
-    at = at.select("x", "y", inside.alias("inside"), cu.alias("u"), cv.alias("v"))
-    corner = lambda i, j: F.struct((F.floor("u") + i).cast("int").alias("sx"), (F.floor("v") + j).cast("int").alias("sy"), ((F.col("u") - F.floor("u") if i else 1 - F.col("u") + F.floor("u")) * (F.col("v") - F.floor("v") if j else 1 - F.col("v") + F.floor("v"))).alias("w"))
-    four = at.select("x", "y", "inside", F.explode(F.array(*(corner(i, j) for j in (0, 1) for i in (0, 1)))).alias("c")).select("x", "y", "inside", "c.*")
-    met = four.join(cells.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "z"), ["sx", "sy"], "left")
-    used = F.col("w") > 0
-    good = F.min(F.when(used, F.col("z").isNotNull()).otherwise(F.lit(True)))
-    value = F.sum(F.when(used, F.col("w") * F.col("z")))
-    return met.groupBy("x", "y").agg(F.when(F.first("inside") & good, value).alias("z"))
+    return on_grid({"z": Source(cells, source, "bilinear")}, target)

@@ -256,6 +256,7 @@ SELECT x, y, {fix('CASE WHEN z IS NOT NULL THEN (greatest(low, least(high, z)) -
     dev = lambda r: f"abs((z - s{r} / c{r}) / (sqrt(greatest(0.0, q{r} / c{r} - (s{r} / c{r}) * (s{r} / c{r}))) + 1e-6))"
     radii = sorted({r for s in scales.values() for r in s})
     bands = ", ".join(f"{fix(f'CASE WHEN z IS NOT NULL THEN greatest(0.0, least(1.0, 1 - exp(-0.9 * greatest({", ".join(map(dev, s))})))) END')} AS {n}" for n, s in scales.items())
+    out["geotiff_big"], out["geotiff_filter"] = out["geotiff_single"], out["geotiff_bbox"]
     out["mstp"] = f"WITH {HOLE}, {boxes('hole', radii)} SELECT x, y, {bands} FROM box"
     # Grid of 2 units, shifted by half a cell: centres lie on the middle of a column pair and on the border of two rows.
     out["align_bilinear"] = f"WITH {EMB}, n AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM emb) SELECT CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, {fix('sum(z * 0.5)')} AS z FROM emb, n WHERE x % 2 = 1 AND x // 2 < w // 2 - 1 GROUP BY 1, 2"

@@ -1,50 +1,38 @@
-"""Layers of a style brought onto the first one's grid, joined cell by cell, and composed."""
+"""Layers of a style brought onto the first one's grid, met by tiles, and composed."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orogen.operators import align, compose
-from orogen.operators.grid import BBox, Grid, Window, clip
+from orogen.operators.grid import BBox, Grid, Window
 from orogen.sources.geotiff import load, read_header, widened
 
 
-def on_grid(cells: DataFrame, own: Grid, target: Grid, resampling: str, label: str) -> DataFrame:
-    """cells on target: as they are on the same grid, else resampled."""
-    if own.crs != target.crs:
-        raise ValueError(f"{label} CRS does not match the reference raster.")
-    if align.same_grid(own, target):
-        return cells
-    return {"max": lambda *a: align.block_max(*a, label), "nearest": align.nearest, "bilinear": align.bilinear}[resampling](cells, own, target)
-
-
 def layered(rasters: dict[str, tuple[DataFrame, Grid]], style: list[tuple[str, str | None, compose.Layer]], window: Window | None = None) -> tuple[DataFrame, list[compose.Layer], Grid]:
-    """All layers' cells as columns of one table on the first layer's grid, and the layers naming these columns. Each (input, resampling) is aligned once."""
+    """All layers' cells as columns of one table on the first layer's grid, met in one exchange, and the layers naming these columns. Each (input, resampling) is aligned once."""
     target = rasters[style[0][0]][1]
     names: dict[tuple[str, str], str] = {}
-    table = align.empty(next(iter(rasters.values()))[0].sparkSession, target)
-    table = clip(table, window) if window else table
+    sources: dict[str, align.Source] = {}
 
     def column(source: str, resampling: str, label: str) -> str:
-        nonlocal table
         cells, own = rasters[source]
         key = (source, "same" if align.same_grid(own, target) else resampling)
         if key not in names:
             names[key] = f"l{len(names)}"
-            table = table.join(on_grid(cells, own, target, resampling, label).select("x", "y", F.col("z").alias(names[key])), ["x", "y"], "left")
+            sources[names[key]] = align.Source(cells, own, key[1], label)
         return names[key]
 
     layers = []
     for i, (source, alpha, layer) in enumerate(style):
         value = column(source, layer.resampling, f"Layer {i} input")
         layers.append(replace(layer, column=value, alpha=column(alpha, layer.resampling, f"Layer {i} alpha input") if alpha else None))
-    return table, layers, target
+    return align.on_grid(sources, target, window), layers, target
 
 
-def _needed(own: Grid, target: Grid, window: Window) -> Window | None:
+def needed(own: Grid, target: Grid, window: Window) -> Window | None:
     """The cells of a raster that the target's window can be made of; None for all, where the two do not meet."""
     try:
         return widened(own.snap(target.envelope(widened(window, 2, 2, target))), 2, 2, own)
@@ -56,6 +44,6 @@ def render(spark: SparkSession, style: list[tuple[str, str | None, compose.Layer
     """Bytes of the composed bands (null in no cell), the grid they are on and the window of the box. Each file is opened once."""
     first = read_header(style[0][0]).grid
     window = first.snap(box) if box else first.whole
-    rasters = {p: load(spark, p, window=_needed(read_header(p).grid, first, window) if box else None) for p in dict.fromkeys(x for s in style for x in s[:2] if x)}
+    rasters = {p: load(spark, p, window=needed(read_header(p).grid, first, window) if box else None) for p in dict.fromkeys(x for s in style for x in s[:2] if x)}
     table, layers, grid = layered(rasters, style, window)
     return compose.as_bytes(compose.compose(table, layers), with_alpha), grid, window

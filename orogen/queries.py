@@ -14,7 +14,7 @@ from orogen.functions.numbers import fixed, stretch, to_byte
 from orogen.operators import align, compose, directional, focal, horizon, raytrace, vat, zonal
 from orogen.operators.grid import BBox, Grid, Tiling, clip, counts, keep_tiles, plan, tile_of
 from orogen.shipping import ship
-from orogen.sources import geotiff
+from orogen.sources import geotiff, sink
 from orogen.sources.derived import embedding_raster, part_raster, shipping_raster, unit_range, with_holes
 from orogen.work import new_folder
 
@@ -259,7 +259,7 @@ def _file(spark: SparkSession, sf_dir: str) -> tuple[str, Grid]:
     """The raster with holes, written as one GeoTIFF."""
     cells, g = hole(spark, sf_dir)
     g = replace(g, nodata=-9999.0)
-    return geotiff.write_single(cells, Tiling(g, 48), ["z"], f"{new_folder(spark, 'raster')}/raster.tif", nodata_tag=-9999.0), g
+    return sink.write_single(cells, Tiling(g, 48), ["z"], f"{new_folder(spark, 'raster')}/raster.tif", nodata_tag=-9999.0), g
 
 
 def geotiff_single(spark, sf_dir):
@@ -275,15 +275,26 @@ def geotiff_metadata(spark, sf_dir):
 
 
 def geotiff_tiles(spark, sf_dir):
-    """Every written tile read again, at its place in the raster."""
+    """Every written tile read again as one raster, in one scan."""
     cells, g = hole(spark, sf_dir)
-    g = replace(g, nodata=-9999.0)
-    written = geotiff.write_tiles(cells, Tiling(g, 200), ["z"], new_folder(spark, "tiles"), nodata_tag=-9999.0).collect()  # a path a tile
-    parts = []
-    for r in written:
-        tile, own = geotiff.load(spark, r.path)
-        parts.append(tile.select((F.col("x") + round((own.min_x - g.min_x) / g.res_x)).alias("x"), (F.col("y") + round((g.max_y - own.max_y) / g.res_y)).alias("y"), "z"))
-    return _out(functools.reduce(DataFrame.union, parts), "z")
+    g, folder = replace(g, nodata=-9999.0), new_folder(spark, "tiles")
+    sink.write_tiles(cells, Tiling(g, 200), ["z"], folder, nodata_tag=-9999.0)
+    return _out(geotiff.load_tiles(spark, folder)[0], "z")
+
+
+def geotiff_filter(spark, sf_dir):
+    """Bounds on x and y in a where(): the reader takes them, so only the blocks between them are read."""
+    path, g = _file(spark, sf_dir)
+    w = g.snap(BOX)
+    cells = geotiff.load(spark, path)[0].where((F.col("x") >= w.x) & (F.col("x") < w.end_x) & (F.col("y") > w.y - 1) & (F.col("y") <= w.end_y - 1))
+    return _out(cells, "z")
+
+
+def geotiff_big(spark, sf_dir):
+    """The raster as a BigTIFF, read again."""
+    cells, g = hole(spark, sf_dir)
+    path = sink.write_single(cells, Tiling(replace(g, nodata=-9999.0), 48), ["z"], f"{new_folder(spark, 'raster')}/big.tif", nodata_tag=-9999.0, big=True)
+    return _out(geotiff.load(spark, path)[0], "z")
 
 
 def geotiff_slope(spark, sf_dir):
@@ -295,7 +306,7 @@ def geotiff_slope(spark, sf_dir):
 
 
 def queries() -> dict:
-    names = """geotiff_single geotiff_bbox geotiff_metadata geotiff_tiles geotiff_slope bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
+    names = """geotiff_single geotiff_big geotiff_filter geotiff_bbox geotiff_metadata geotiff_tiles geotiff_slope bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
     sky_uniform sky_overcast sky_shadow local_dominance vat_general vat_flat vat_combined stretch_value stretch_percent byte_encode part_slope ramp_legacy ramp_stops
     compose_normal compose_multiply compose_screen compose_softlight compose_alpha align_max align_nearest align_bilinear align_overlap horizon_pyramid horizon_diffuse
     horizon_sun anyhit_fixed_rays nearest_hit_fixed_rays occlusion_exact occlusion_bounces mosaic_roundtrip""".split()

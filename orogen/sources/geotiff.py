@@ -1,39 +1,39 @@
-"""GeoTIFF as a Spark source and sink: blocks are read and written by tasks, the header by the driver.
+"""GeoTIFF as a Spark source, and the format's bytes; the sink is in sink.py. Blocks are read by tasks, the header by the driver.
 
-Read: one band, tiles or strips, uncompressed, Deflate or LZW, integers or floats of any usual width, full resolution only, from a path or
-by HTTP ranges. Written: tiled, Deflate, float32 or uint8, any number of bands.
+Read: one band, tiles or strips, uncompressed, Deflate, LZW, PackBits or ZSTD, integers or floats of any usual width, full resolution only, from a path or
+by HTTP ranges. Written: tiled, Deflate, float32 or uint8, any number of bands, with 64-bit offsets where 32 do not do.
 """
 
 from __future__ import annotations
 
 import http.client
 import itertools
+import json
 import math
-import os
 import random
 import re
-import shutil
 import struct
 import time
 import urllib.request
 import zlib
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from orogen.operators.grid import BBox, Grid, Tiling, Window, clip, tile_of
+from orogen.operators.grid import BBox, Grid, Window
+from orogen.sources.codecs import KNOWN, decompress
 
 # Fixed values of the format: tag numbers, and by type number the size and struct code of a value.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, TRANSFORM, KEYS, PARAMETERS, ASCII_KEYS, NODATA = 33550, 33922, 34264, 34735, 34736, 34737, 42113
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 ATTEMPTS, DELAY = 3, 1.0
+LARGEST = 1 << 32  # bytes that a file with 32-bit offsets can have
 GROUP = 1 << 22  # cells of the neighbouring blocks that one task reads at most
 TASKS = 256  # up to so many blocks each are a task of their own
 
@@ -137,7 +137,7 @@ def read_header(path: str) -> Header:
     bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, (height,))[0]))
     bits, form = tags.get(BITS, (1,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
     compression = tags.get(COMPRESSION, (1,))[0]
-    if bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or compression not in (1, 5, 8, 32946):
+    if bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or compression not in KNOWN:
         raise ValueError(f"Unsupported sample layout or compression ({bits} bits, format {form}, compression {compression}).")
     try:
         nodata = float(tags[NODATA][0].strip()) if NODATA in tags else math.nan
@@ -147,33 +147,6 @@ def read_header(path: str) -> Header:
     return Header(grid, order, bw, bh, tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], f"{order}{'?uif'[form]}{bits // 8}", compression, tags.get(PREDICTOR, (1,))[0], tiled)
 
 
-def unlzw(data: bytes) -> bytes:
-    """Decompress a block of the format's LZW: codes of 9 to 12 bits, highest bit first, that grow one code early; 256 clears the table, 257 ends."""
-    out, bits, have, at = [], 0, 0, 0
-    table: list[bytes] = []
-    width, last = 9, b""
-    while True:
-        while have < width and at < len(data):
-            bits, have, at = (bits << 8) | data[at], have + 8, at + 1
-        if have < width:
-            break
-        have -= width
-        code, bits = bits >> have, bits & ((1 << have) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        entry = table[code] if code < len(table) else last + last[:1]
-        out.append(entry)
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-    return b"".join(out)
-
-
 def read_block(h: Header, number: int, offset: int | None = None, size: int | None = None) -> tuple[Window, np.ndarray]:
     """A block's window in the raster and its values as float32, NaN where missing. offset and size: its place in the file, if the header has been sent without."""
     offset, size = h.offsets[number] if offset is None else offset, h.sizes[number] if size is None else size
@@ -183,7 +156,7 @@ def read_block(h: Header, number: int, offset: int | None = None, size: int | No
     kind = np.dtype(h.dtype)
     if size:
         raw = read_range(h.grid.source, offset, size)
-        raw = raw if h.compression == 1 else unlzw(raw) if h.compression == 5 else zlib.decompress(raw)
+        raw = decompress(raw, h.compression, stored * h.block_width * kind.itemsize)
         if h.predictor == 3:
             planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(stored, -1), axis=1, dtype=np.uint8).reshape(stored, kind.itemsize, h.block_width)
             data = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{kind.itemsize}")[:, :, 0]
@@ -199,7 +172,11 @@ def read_block(h: Header, number: int, offset: int | None = None, size: int | No
 
 
 class RasterSource(DataSource):
-    """spark.read.format("georaster"): x, y, z of a GeoTIFF; option bbox keeps the pixels that a box touches, option window those of a window (x,y,width,height), and only their blocks are read."""
+    """spark.read.format("georaster"): x, y, z of a GeoTIFF, or of all GeoTIFFs of a folder as one raster (option mosaic: its grid, as load_tiles gives it).
+
+    Option bbox keeps the pixels that a box touches, option window those of a window (x,y,width,height); bounds on x and y in a where() do the same if
+    spark.sql.python.filterPushdown.enabled is set (load sets it). Only blocks that are in all of these are read. Writing: see orogen.sources.sink.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -209,40 +186,131 @@ class RasterSource(DataSource):
         return "x int, y int, z double"
 
     def reader(self, schema) -> DataSourceReader:
-        return RasterReader(self.options["path"], self.options.get("bbox"), self.options.get("window"))
+        return RasterReader(self.options["path"], self.options.get("bbox"), self.options.get("window"), self.options.get("mosaic"))
+
+    def writer(self, schema, overwrite):
+        from orogen.sources import sink
+
+        return sink.RasterWriter(self.options["path"], sink.Layout.from_json(self.options["layout"]))
+
+
+def narrowed(w: Window, f: Filter) -> Window | None:
+    """The part of a window that a bound on x or y leaves, which may have no cell; None where the filter is another one."""
+    if getattr(f, "attribute", None) not in (("x",), ("y",)) or not isinstance(getattr(f, "value", None), (int, float)):
+        return None
+    low, high = -math.inf, math.inf
+    match f:
+        case EqualTo():
+            low = high = f.value
+        case GreaterThan():
+            low = math.floor(f.value) + 1
+        case GreaterThanOrEqual():
+            low = math.ceil(f.value)
+        case LessThan():
+            high = math.ceil(f.value) - 1
+        case LessThanOrEqual():
+            high = math.floor(f.value)
+        case _:
+            return None
+    if f.attribute == ("x",):
+        start, end = max(w.x, low), min(w.end_x - 1, high)
+        return replace(w, x=int(min(start, w.end_x)), width=int(max(0, end - start + 1)))
+    start, end = max(w.y, low), min(w.end_y - 1, high)
+    return replace(w, y=int(min(start, w.end_y)), height=int(max(0, end - start + 1)))
+
+
+def _cells(h: Header, w: Window, number: int, offset: int, size: int, dx: int = 0, dy: int = 0):
+    """Cells of a block that are in a window, moved by dx and dy."""
+    at, values = read_block(h, number, offset, size)
+    x0, x1, y0, y1 = max(at.x, w.x), min(at.end_x, w.end_x), max(at.y, w.y), min(at.end_y, w.end_y)
+    part = values[y0 - at.y : y1 - at.y, x0 - at.x : x1 - at.x].astype(np.float64).ravel()
+    ys, xs = np.divmod(np.arange(part.size), max(1, x1 - x0))
+    z = pa.array(part, mask=np.isnan(part))
+    return pa.RecordBatch.from_arrays([pa.array((xs + x0 + dx).astype(np.int32)), pa.array((ys + y0 + dy).astype(np.int32)), z], ["x", "y", "z"])
+
+
+def _blocks(h: Header, w: Window) -> list[tuple[int, int, int]]:
+    """Number, offset and size of the blocks that a window touches."""
+    if w.width <= 0 or w.height <= 0:
+        return []
+    numbers = [r * h.across + c for r in range(w.y // h.block_height, -(-w.end_y // h.block_height)) for c in range(w.x // h.block_width, -(-w.end_x // h.block_width))]
+    return [(n, h.offsets[n], h.sizes[n]) for n in numbers]
 
 
 class RasterReader(DataSourceReader):
-    def __init__(self, path: str, bbox: str | None, window: str | None = None):
-        self.header = read_header(path)
-        self.window = self.header.grid.snap(BBox.parse(bbox)) if bbox else Window(*map(int, window.split(","))) if window else self.header.grid.whole
-        h, w = self.header, self.window
-        numbers = [r * h.across + c for r in range(w.y // h.block_height, -(-w.end_y // h.block_height)) for c in range(w.x // h.block_width, -(-w.end_x // h.block_width))]
-        self.blocks = [(n, h.offsets[n], h.sizes[n]) for n in numbers]
+    def __init__(self, path: str, bbox: str | None, window: str | None = None, mosaic: str | None = None):
+        self.path, self.header = path, None if mosaic else read_header(path)
+        self.grid = Grid(**json.loads(mosaic)) if mosaic else self.header.grid
+        self.window = self.grid.snap(BBox.parse(bbox)) if bbox else Window(*map(int, window.split(","))) if window else self.grid.whole
+
+    def pushFilters(self, filters):
+        for f in filters:
+            left = narrowed(self.window, f)
+            if left is None:
+                yield f
+            else:
+                self.window = left
 
     def partitions(self):
-        at_once = max(1, min(GROUP // (self.header.block_width * self.header.block_height), len(self.blocks) // TASKS))
-        made = [InputPartition(self.blocks[i : i + at_once]) for i in range(0, len(self.blocks), at_once)]
-        self.header, self.blocks = replace(self.header, offsets=(), sizes=()), []  # each task gets the places of its own blocks only
-        return made
+        if self.header is None:
+            from orogen.sources.sink import tile_files
+
+            names = tile_files(self.path) if self.window.width > 0 and self.window.height > 0 else []
+            each = max(1, len(names) // TASKS)
+            return [InputPartition([f"{self.path.rstrip('/')}/{n}" for n in names[i : i + each]]) for i in range(0, len(names), each)] or [InputPartition([])]
+        blocks = _blocks(self.header, self.window)
+        at_once = max(1, min(GROUP // (self.header.block_width * self.header.block_height), len(blocks) // TASKS))
+        self.header = replace(self.header, offsets=(), sizes=())  # each task gets the places of its own blocks only
+        return [InputPartition(blocks[i : i + at_once]) for i in range(0, len(blocks), at_once)] or [InputPartition([])]
 
     def read(self, partition):
         w = self.window
-        for number, offset, size in partition.value:
-            at, values = read_block(self.header, number, offset, size)
-            x0, x1, y0, y1 = max(at.x, w.x), min(at.end_x, w.end_x), max(at.y, w.y), min(at.end_y, w.end_y)
-            part = values[y0 - at.y : y1 - at.y, x0 - at.x : x1 - at.x].astype(np.float64).ravel()
-            ys, xs = np.divmod(np.arange(part.size), x1 - x0)
-            z = pa.array(part, mask=np.isnan(part))
-            yield pa.RecordBatch.from_arrays([pa.array((xs + x0).astype(np.int32)), pa.array((ys + y0).astype(np.int32)), z], ["x", "y", "z"])
+        for item in partition.value:
+            if self.header is not None:
+                yield _cells(self.header, w, *item)
+                continue
+            h = read_header(item)
+            dx, dy = (round(v) for v in ((h.grid.min_x - self.grid.min_x) / self.grid.res_x, (self.grid.max_y - h.grid.max_y) / self.grid.res_y))
+            x, y = max(0, w.x - dx), max(0, w.y - dy)
+            own = Window(x, y, min(h.grid.width, w.end_x - dx) - x, min(h.grid.height, w.end_y - dy) - y)
+            for block in _blocks(h, own):
+                yield _cells(h, own, *block, dx, dy)
+
+
+def _reader(spark: SparkSession):
+    from orogen.shipping import ship
+
+    ship(spark).dataSource.register(RasterSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("georaster")
+
+
+def load_tiles(spark: SparkSession, folder: str) -> tuple[DataFrame, Grid]:
+    """Cells and grid of a folder of GeoTIFFs with one resolution, system and sentinel, as one raster; one scan however many files there are. Tasks read the files' headers."""
+    from orogen.sources.sink import tile_files
+
+    names = tile_files(folder)
+    if not names:
+        raise ValueError(f"No GeoTIFF in {folder}")
+
+    def run(batches):
+        for b in batches:
+            grids = [read_header(f"{folder.rstrip('/')}/{n}").grid for n in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist([{"min_x": g.min_x, "min_y": g.min_y, "max_x": g.min_x + g.width * g.res_x, "max_y": g.max_y, "like": json.dumps([g.res_x, g.res_y, g.crs, g.nodata])} for g in grids], pa.schema([(k, pa.float64()) for k in ("min_x", "min_y", "max_x", "max_y")] + [("like", pa.string())]))
+
+    reader = _reader(spark)
+    found = spark.createDataFrame([(n,) for n in names], "name string").mapInArrow(run, "min_x double, min_y double, max_x double, max_y double, like string")
+    r = found.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.min("like").alias("like"), F.max("like").alias("other")).first()
+    if r.like != r.other:
+        raise ValueError(f"The files of {folder} differ in resolution, system or sentinel.")
+    res_x, res_y, crs, nodata = json.loads(r.like)
+    grid = Grid(round((r.max_x - r.min_x) / res_x), round((r.max_y - r.min_y) / res_y), r.min_x, r.min_y, res_x, res_y, crs, nodata, folder)
+    return reader.option("mosaic", json.dumps(asdict(grid))).load(folder), grid
 
 
 def load(spark: SparkSession, path: str, bbox: BBox | None = None, window: Window | None = None) -> tuple[DataFrame, Grid]:
     """Cells and grid of a GeoTIFF; places count from the whole raster's corner, with or without a box or a window."""
-    from orogen.shipping import ship
-
-    ship(spark).dataSource.register(RasterSource)
-    reader = spark.read.format("georaster")
+    reader = _reader(spark)
     if bbox:
         reader = reader.option("bbox", f"{bbox.min_x},{bbox.min_y},{bbox.max_x},{bbox.max_y}")
     if window:
@@ -256,7 +324,7 @@ def widened(w: Window, x: int, y: int, grid: Grid) -> Window:
     return Window(low_x, low_y, min(grid.width, w.end_x + x) - low_x, min(grid.height, w.end_y + y) - low_y)
 
 
-def _compress(part: np.ndarray, side: int) -> bytes:
+def compress_block(part: np.ndarray, side: int) -> bytes:
     tile = np.zeros((side, side), part.dtype)
     tile[: part.shape[0], : part.shape[1]] = part
     return zlib.compress(tile.astype(tile.dtype.newbyteorder("<")).tobytes())
@@ -267,8 +335,12 @@ def block_side(size: int, width: int, height: int) -> int:
     return max(16, -(-min(size, max(width, height)) // 16) * 16)
 
 
-def front(grid: Grid, n: int, as_bytes: bool, nodata: float | None, side: int, sizes: list[int]) -> tuple[bytes, list[int]]:
-    """All of a file before its blocks, given their compressed sizes band by band and row by row; and the blocks' offsets."""
+def front(grid: Grid, n: int, as_bytes: bool, nodata: float | None, side: int, sizes: list[int], lies: list[int] | None = None, big: bool = False) -> tuple[bytes, list[int]]:
+    """All of a file before its blocks, given their compressed sizes band by band and row by row, and where each lies after it (one after another without); and the blocks' offsets.
+
+    A file that 32-bit offsets cannot address gets a 64-bit directory (BigTIFF), and any other one if big.
+    """
+    lies = list(itertools.accumulate(sizes, initial=0))[:-1] if lies is None else lies
     epsg = int(grid.crs.split(":")[-1]) if grid.crs.startswith("EPSG:") else 32767
     form, bits = (1, 8) if as_bytes else (3, 32)
     entries: list[tuple[int, int, list]] = [
@@ -281,128 +353,37 @@ def front(grid: Grid, n: int, as_bytes: bool, nodata: float | None, side: int, s
     if nodata is not None and nodata == nodata:
         entries.append((NODATA, 2, [f"{nodata:g}\0".encode()]))
     entries.sort(key=lambda e: e[0])
-    extra_at = 8 + 2 + 12 * len(entries) + 4
-    size = sum((len(v[0]) if k == 2 else TYPES[k][0] * len(v)) + 7 for _, k, v in entries) + 8
-    offsets = list(itertools.accumulate(sizes, initial=extra_at + size))[:-1]
+    wide = lambda tag, kind: 16 if big and tag == TILES else kind
+    for big in (True,) if big else (False, True):
+        first, step, inline = (16, 20, 8) if big else (8, 12, 4)
+        extra_at = first + (8 if big else 2) + step * len(entries) + (8 if big else 4)
+        size = sum((len(v[0]) if k == 2 else TYPES[wide(t, k)][0] * len(v)) + 7 for t, k, v in entries) + 8
+        offsets = [extra_at + size + at for at in lies]
+        if max((o + s for o, s in zip(offsets, sizes)), default=0) < LARGEST:
+            break
     table, extra = b"", b""
     for tag, kind, values in entries:
-        values = offsets if tag == TILES else values
+        kind, values = wide(tag, kind), offsets if tag == TILES else values
         raw = values[0] if kind == 2 else struct.pack("<" + TYPES[kind][1] * len(values), *values)
         count = len(raw) if kind == 2 else len(values)
-        if len(raw) <= 4:
-            table += struct.pack("<HHI", tag, kind, count) + raw.ljust(4, b"\0")
+        table += struct.pack("<HHQ" if big else "<HHI", tag, kind, count)
+        if len(raw) <= inline:
+            table += raw.ljust(inline, b"\0")
         else:
             extra += b"\0" * (-len(extra) % 8)
-            table += struct.pack("<HHII", tag, kind, count, extra_at + len(extra))
+            table += struct.pack("<Q" if big else "<I", extra_at + len(extra))
             extra += raw
-    return b"II*\0" + struct.pack("<IH", 8, len(entries)) + table + struct.pack("<I", 0) + extra.ljust(size, b"\0"), offsets
+    start = b"II" + struct.pack("<HHHQQ", 43, 8, 0, first, len(entries)) if big else b"II" + struct.pack("<HIH", 42, first, len(entries))
+    return start + table + bytes(8 if big else 4) + extra.ljust(size, b"\0"), offsets
 
 
 def encode(bands: np.ndarray, grid: Grid, nodata: float | None, size: int = 256) -> bytes:
     """A GeoTIFF file of bands (n, height, width), float32 or uint8, in Deflate tiles."""
     n, height, width = bands.shape
     side = block_side(size, width, height)
-    blobs = [_compress(bands[b, y : y + side, x : x + side], side) for b in range(n) for y in range(0, height, side) for x in range(0, width, side)]
+    blobs = [compress_block(bands[b, y : y + side, x : x + side], side) for b in range(n) for y in range(0, height, side) for x in range(0, width, side)]
     return front(grid, n, bands.dtype == np.uint8, nodata, side, list(map(len, blobs)))[0] + b"".join(blobs)
 
 
 def tile_name(number: int, column: int, row: int) -> str:
     return f"{number:08d}_tile_{column:05d}_{row:05d}.tif"
-
-
-def _put(path: str, data: bytes) -> None:
-    at = urlparse(path)
-    if at.scheme in ("", "file"):
-        os.makedirs(os.path.dirname(at.path), exist_ok=True)
-        spare = f"{at.path}.{os.getpid()}.part"
-        with open(spare, "wb") as f:
-            f.write(data)
-        os.replace(spare, at.path)  # a retried task writes the same file again
-        return
-    from pyarrow.fs import FileSystem
-
-    fs, inner = FileSystem.from_uri(path)
-    with fs.open_output_stream(inner) as f:
-        f.write(data)
-
-
-def _place(grid: Grid, w: Window) -> Grid:
-    e = grid.envelope(w)
-    return Grid(w.width, w.height, e.min_x, e.min_y, grid.res_x, grid.res_y, grid.crs, grid.nodata)
-
-
-def _bands(pdf: pd.DataFrame, names: list[str], w: Window, as_bytes: bool, nodata: float) -> np.ndarray:
-    out = np.full((len(names), w.height, w.width), 0 if as_bytes else nodata, np.uint8 if as_bytes else np.float32)
-    for i, n in enumerate(names):
-        v = pdf[n].to_numpy(dtype=np.float64)
-        v = np.where(np.isnan(v), 0 if as_bytes else nodata, v)
-        out[i, pdf["y"].to_numpy() - w.y, pdf["x"].to_numpy() - w.x] = v
-    return out
-
-
-def write_tiles(cells: DataFrame, t: Tiling, names: list[str], folder: str, as_bytes: bool = False, nodata_tag: float | None = None, start: int = 0) -> DataFrame:
-    """One GeoTIFF per tile that has a value, from tile number start on; returns path and tile number of the files, and writes when that is read."""
-    grid, area = t.grid, t.area
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["tile_id"].iloc[0])
-        row, col = divmod(number, t.columns)
-        x, y = area.x + col * t.size, area.y + row * t.size
-        w = Window(x, y, min(t.size, area.end_x - x), min(t.size, area.end_y - y))
-        if pdf[names].isna().all(axis=None):
-            return pd.DataFrame({"tile_id": np.zeros(0, np.int32), "path": np.zeros(0, object)})
-        path = f"{folder.rstrip('/')}/{tile_name(number, col, row)}"
-        _put(path, encode(_bands(pdf, names, w, as_bytes, grid.nodata), _place(grid, w), nodata_tag))
-        return pd.DataFrame({"tile_id": [number], "path": [path]})
-
-    placed = clip(cells, area).select(tile_of(t), "x", "y", *names).where(f"tile_id >= {start}")
-    return placed.groupBy("tile_id").applyInPandas(run, "tile_id int, path string")
-
-
-def write_single(cells: DataFrame, t: Tiling, names: list[str], path: str, as_bytes: bool = False, nodata_tag: float | None = None) -> str:
-    """One GeoTIFF of the whole area, on a file system that all tasks see.
-
-    Tasks compress the blocks, prefix sums of their sizes give each its offset, and tasks write them there; neither the driver nor
-    any task holds the raster. Blocks without cells hold the sentinel.
-    """
-    grid, area = t.grid, t.area
-    side = block_side(t.size, area.width, area.height)
-    across, down = -(-area.width // side), -(-area.height // side)
-    place = urlparse(path).path if path.startswith("file:") else path
-    os.makedirs(os.path.dirname(os.path.abspath(place)), exist_ok=True)
-    spark = cells.sparkSession
-    parts = f"{os.path.abspath(place)}.{os.getpid()}.parts"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["block"].iloc[0])
-        w = Window(area.x + number % across * side, area.y + number // across * side, side, side)
-        filled = pdf.dropna(subset=["x"])
-        bands = _bands(filled.astype({"x": int, "y": int}), names, w, as_bytes, grid.nodata)
-        return pd.DataFrame({"number": [b * across * down + number for b in range(len(names))], "data": [_compress(band, side) for band in bands]})
-
-    block = (F.floor((F.col("y") - area.y) / side) * across + F.floor((F.col("x") - area.x) / side)).cast("long").alias("block")
-    placed = spark.range(across * down).withColumnRenamed("id", "block").join(clip(cells, area).select(block, "x", "y", *names), "block", "left")
-    placed.groupBy("block").applyInPandas(run, "number long, data binary").write.parquet(f"file://{parts}")
-    blobs = spark.read.parquet(f"file://{parts}")
-    sizes = [r[1] for r in sorted(blobs.select("number", F.octet_length("data")).collect())]  # two numbers a block
-    head, offsets = front(_place(grid, area), len(names), as_bytes, nodata_tag, side, sizes)
-    spare = f"{place}.part"
-    with open(spare, "wb") as f:
-        f.write(head)
-        f.truncate(offsets[-1] + sizes[-1])
-    where = spark.createDataFrame(list(enumerate(offsets)), "number long, at long")
-
-    def put(batches):
-        n = 0
-        with open(spare, "r+b") as f:
-            for b in batches:
-                for data, at in zip(b.column(0), b.column(1)):
-                    f.seek(at.as_py())
-                    f.write(data.as_py())
-                    n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    blobs.join(where, "number").select("data", "at").mapInArrow(put, "n long").agg(F.sum("n")).first()
-    os.replace(spare, place)
-    shutil.rmtree(parts)
-    return place

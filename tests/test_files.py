@@ -1,14 +1,18 @@
-import struct
 import http.server
 import json
+import struct
 import threading
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
 from orogen import cli
-from orogen.operators.grid import BBox, Grid
-from orogen.sources import geotiff
+from orogen.operators.grid import BBox, Grid, Tiling, Window
+from orogen.sources import codecs, geotiff, sink
 from tests.helpers import BASE, MOUND, matrix
 
 
@@ -175,7 +179,7 @@ def lzw(data):
 def test_lzw_blocks():
     r = np.random.default_rng(1)
     for data in (b"a", b"a" * 5000, r.integers(0, 256, 20_000, np.uint8).tobytes(), np.arange(9000, dtype="<f4").tobytes(), b"abcabcabd" * 3000):
-        assert geotiff.unlzw(lzw(data)) == data
+        assert codecs.unlzw(lzw(data)) == data
 
 
 def test_point_rasters_lie_half_a_cell_aside_and_feet_are_refused(tmp_path):
@@ -205,3 +209,157 @@ def test_a_window_reads_its_blocks_only(tmp_path, monkeypatch):
     assert not reader.header.offsets  # tasks get the places of their own blocks
     monkeypatch.setattr(geotiff, "TASKS", 2)
     assert [len(p.value) for p in geotiff.RasterReader(str(path), None).partitions()] == [12, 12]  # 24 blocks
+
+
+def packbits(data):
+    """Literal runs and repeats by the format's rule."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = 1
+        while n < 128 and i + n < len(data) and data[i + n] == data[i]:
+            n += 1
+        if n > 1:
+            out += bytes([257 - n, data[i]])
+        else:
+            while n < 128 and i + n < len(data) and data[i + n] != data[i + n - 1]:
+                n += 1
+            out += bytes([n - 1]) + data[i : i + n]
+        i += n
+    return bytes(out) + b"\x80"
+
+
+@pytest.mark.parametrize("number, packed", [(codecs.NONE, bytes), (codecs.LZW, lzw), (codecs.PACKBITS, packbits), (codecs.ZSTD, lambda b: pa.compress(b, codec="zstd", asbytes=True)), (codecs.DEFLATE_OLD, zlib.compress)])
+def test_equal_rasters_of_each_codec(tmp_path, monkeypatch, number, packed):
+    m = np.round(np.random.default_rng(2).normal(0, 1, (50, 70)).cumsum(axis=0) + 500, 1).astype(np.float32)
+    monkeypatch.setattr(geotiff, "compress_block", lambda part, side: packed(np.pad(part, [(0, side - n) for n in part.shape]).tobytes()))
+    data = geotiff.encode(m[None], Grid(70, 50, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0), -9999.0, 32)
+    plain = struct.pack("<HHIH", geotiff.COMPRESSION, 3, 1, 8)
+    assert plain in data
+    (tmp_path / "c.tif").write_bytes(data.replace(plain, struct.pack("<HHIH", geotiff.COMPRESSION, 3, 1, number)))
+    h, out = geotiff.read_header(str(tmp_path / "c.tif")), np.zeros_like(m)
+    for n in range(len(h.offsets)):
+        w, v = geotiff.read_block(h, n)
+        out[w.y : w.end_y, w.x : w.end_x] = v
+    np.testing.assert_array_equal(out, m)
+
+
+def test_damaged_lzw_is_refused():
+    with pytest.raises(ValueError, match="LZW"):
+        codecs.unlzw(bytes([0b10000000, 0b01111111, 0b11000000]))
+
+
+def test_offsets_beyond_four_gigabytes(tmp_path):
+    g = Grid(64, 32, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0)
+    head, offsets = geotiff.front(g, 1, False, None, 16, [1 << 30] * 8)
+    assert struct.unpack_from("<HHHQ", head, 2) == (43, 8, 0, 16) and offsets == [len(head) + (i << 30) for i in range(8)]
+    (tmp_path / "h.tif").write_bytes(head)
+    h = geotiff.read_header(str(tmp_path / "h.tif"))
+    assert list(h.offsets) == offsets and h.sizes == (1 << 30,) * 8 and (h.grid.width, h.grid.height) == (64, 32)
+    assert geotiff.front(g, 1, False, None, 16, [1 << 20] * 8)[0][2] == 42
+
+
+def cells_of(spark, m):
+    return spark.createDataFrame([(x, y, None if np.isnan(m[y, x]) else float(m[y, x])) for y in range(m.shape[0]) for x in range(m.shape[1])], "x int, y int, z double")
+
+
+def left_in(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("by_tasks", [True, False])
+@pytest.mark.parametrize("big", [True, False])
+def test_one_file_by_a_commit(spark, tmp_path, by_tasks, big):
+    m = np.arange(50 * 70, dtype=float).reshape(50, 70)
+    m[3, 5] = np.nan
+    lay = sink.Layout(Grid(70, 50, 10.0, 20.0, 1.0, 1.0, "EPSG:2056", -9999.0), Window(0, 0, 70, 50), 16, ("z",), True, False, -9999.0, by_tasks, big)
+    path = tmp_path / "f.tif"
+    path.write_bytes(b"old")
+    sink.save(cells_of(spark, m).where("x < 16 or x >= 32"), lay, str(path))  # a column of blocks has no cell
+    m[:, 16:32] = np.nan
+    cells, grid = geotiff.load(spark, str(path))
+    np.testing.assert_equal(matrix(cells, "z"), m)
+    assert (grid.width, grid.min_x, grid.max_y) == (70, 10.0, 70.0) and left_in(tmp_path) == ["f.tif"]
+    h = geotiff.read_header(str(path))
+    assert len(h.offsets) == 20 and len(set(h.offsets)) == 17 and path.read_bytes()[2] == (43 if big else 42)
+
+
+def test_a_failing_task_leaves_nothing(spark, tmp_path):
+    m = np.ones((40, 40))
+    (tmp_path / "f.tif").write_bytes(b"old")
+    broken = cells_of(spark, m).withColumn("z", F.when(F.col("x") * F.col("y") == 39 * 39, F.raise_error(F.lit("no luck")).cast("double")).otherwise(F.col("z")))
+    grid = Grid(40, 40, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0)
+    for single in (True, False):
+        with pytest.raises(Exception, match="no luck"):
+            sink.save(broken, sink.Layout(grid, grid.whole, 16, ("z",), single, by_tasks=single), str(tmp_path / ("f.tif" if single else "tiles")))
+    assert left_in(tmp_path) == ["f.tif"] and (tmp_path / "f.tif").read_bytes() == b"old"
+    outside = cells_of(spark, m).withColumn("z", F.lit("x"))
+    with pytest.raises(Exception):
+        sink.save(outside, sink.Layout(grid, grid.whole, 16, ("z", "none"), True), str(tmp_path / "g.tif"))
+    assert left_in(tmp_path) == ["f.tif"]
+
+
+def batch(block, side=16, value=1.0):
+    n = side * side
+    return pa.RecordBatch.from_pydict({"block": np.full(n, block), "x": np.arange(n, dtype=np.int32) % side + block * side, "y": (np.arange(n) // side).astype(np.int32), "z": np.full(n, value)})
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_only_committed_attempts_count(tmp_path, single):
+    """Two attempts of one task, as after a lost executor or by speculation: one is committed; then cells of a block in two tasks."""
+    grid = Grid(48, 16, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0)
+    path = tmp_path / ("f.tif" if single else "tiles")
+    writer = sink.RasterWriter(str(path), sink.Layout(grid, grid.whole, 16, ("z",), single))
+    lost = writer.write(iter([batch(0, value=7.0), batch(1, value=7.0)]))
+    first, second = writer.write(iter([batch(0), batch(1)])), writer.write(iter([batch(2, value=2.0)]))
+    assert lost.part != first.part
+    writer.commit([first, second])
+    if single:
+        h = geotiff.read_header(str(path))
+        assert [geotiff.read_block(h, n)[1].max() for n in range(3)] == [1.0, 1.0, 2.0] and left_in(tmp_path) == ["f.tif"]
+    else:
+        assert left_in(path) == [geotiff.tile_name(i, i, 0) for i in range(3)]
+    again = sink.RasterWriter(str(path), sink.Layout(grid, grid.whole, 16, ("z",), single))
+    with pytest.raises(ValueError, match="several tasks"):
+        again.commit([again.write(iter([batch(0)])), again.write(iter([batch(0)]))])
+    with pytest.raises(ValueError, match="tile 0"):
+        again.write(iter([batch(0), batch(1), batch(0)]))
+    again.abort([])
+    with pytest.raises(RuntimeError, match="tile 1"):
+        again.write(iter([batch(1).set_column(1, "x", pa.array(np.full(256, 500, np.int32)))]))
+    again.abort([])
+    assert not [p for p in left_in(tmp_path) if again.layout.token in p]
+
+
+def test_a_folder_of_tiles_is_one_scan(spark, tmp_path):
+    m = np.arange(50 * 70, dtype=float).reshape(50, 70)
+    grid = Grid(70, 50, 10.0, 20.0, 0.5, 0.5, "EPSG:2056", -9999.0)
+    assert sink.write_tiles(cells_of(spark, m), Tiling(grid, 20), ["z"], str(tmp_path / "t"), nodata_tag=-9999.0) == 12
+    cells, own = geotiff.load_tiles(spark, str(tmp_path / "t"))
+    np.testing.assert_equal(matrix(cells, "z"), m)
+    assert (own.width, own.height, own.min_x, own.max_y, own.res_x, own.nodata) == (70, 50, 10.0, 45.0, 0.5, -9999.0)
+    part = cells.where("x >= 15 and x < 42 and y = 30").collect()
+    assert sorted((r.x, r.y, r.z) for r in part) == [(x, 30, m[30, x]) for x in range(15, 42)]
+    put(tmp_path / "t" / "odd.tif", [[1.0]], 3.0)
+    with pytest.raises(ValueError, match="differ"):
+        geotiff.load_tiles(spark, str(tmp_path / "t"))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="No GeoTIFF"):
+        geotiff.load_tiles(spark, str(tmp_path / "none"))
+
+
+def test_bounds_reach_the_reader(spark, tmp_path, monkeypatch):
+    path = put(tmp_path / "w.tif", np.arange(64 * 96).reshape(64, 96))
+    reader = geotiff.RasterReader(path, None)
+    rest = list(reader.pushFilters([GreaterThan(("x",), 19), LessThanOrEqual(("x",), 49), GreaterThanOrEqual(("y",), 10), LessThan(("y",), 30), EqualTo(("z",), 5.0), In(("x",), (1, 2))]))
+    assert [type(f).__name__ for f in rest] == ["EqualTo", "In"] and reader.window == Window(20, 10, 30, 20)
+    ranges, read = [], geotiff.read_range
+    monkeypatch.setattr(geotiff, "read_range", lambda p, start, size: ranges.append(start) or read(p, start, size))
+    parts = reader.partitions()
+    got = [(x, y) for part in parts for b in reader.read(part) for x, y in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    assert len(ranges) == 6 and sorted(got) == sorted((x, y) for x in range(20, 50) for y in range(10, 30))
+    cells, _ = geotiff.load(spark, path)
+    some = cells.where("x > 19.5 and x <= 49 and y >= 10 and y < 30 and z % 2 = 0")
+    assert some.count() == 300 and some.rdd.getNumPartitions() == 6
+    for nothing in ("x < 0", "x > 10 and x < 11", "y = 64", "x = 5000000000", "x is null"):
+        assert cells.where(nothing).count() == 0
+    assert cells.where("x = 3 or y = 7").count() == 64 + 96 - 1 and cells.where("x <> 3").count() == 64 * 95

@@ -5,8 +5,9 @@ import pytest
 
 from orogen.operators import align
 from orogen.operators.compose import Layer, Stop, as_bytes, compose, hex_color, legacy, parse_color
-from orogen.operators.grid import Grid
+from orogen.operators.grid import Grid, Window
 from orogen.plans.render import layered
+from orogen.sources import style
 from orogen.sources.style import read_style
 from tests.helpers import BASE, matrix, raster
 
@@ -103,3 +104,64 @@ def test_style_checks(tmp_path):
     path.write_text(json.dumps({"layers": [good | {"alphaInput": "b.tif"}]}))
     source, alpha, layer = read_style(path)[0]
     assert (source, alpha, layer.blend, layer.resampling) == ("a.tif", "b.tif", "softlight", "bilinear")
+
+
+def by_hand(m, own, target, how):
+    """Cell by cell, as the definitions say it."""
+    out = np.full((target.height, target.width), np.nan)
+    for y in range(target.height):
+        for x in range(target.width):
+            u = (target.min_x + (x + 0.5) * target.res_x - own.min_x) / own.res_x
+            v = (own.max_y - (target.max_y - (y + 0.5) * target.res_y)) / own.res_y
+            if how == "max":
+                part = [m[j, i] for j in range(own.height) for i in range(own.width) if int((own.min_x + (i + 0.5) * own.res_x - target.min_x) // target.res_x) == x and int((target.max_y - own.max_y + (j + 0.5) * own.res_y) // target.res_y) == y]
+                out[y, x] = np.nanmax(part) if len(part) and not np.isnan(part).all() else np.nan
+            elif how == "nearest":
+                i, j = int(np.floor(u)), int(np.floor(v))
+                out[y, x] = m[j, i] if 0 <= i < own.width and 0 <= j < own.height else np.nan
+            elif 0 <= u <= own.width and 0 <= v <= own.height:
+                u, v = min(max(u - 0.5, 0), own.width - 1), min(max(v - 0.5, 0), own.height - 1)
+                i, j, total = int(u), int(v), 0.0
+                for b in (0, 1):
+                    for a in (0, 1):
+                        w = (u - i if a else 1 - u + i) * (v - j if b else 1 - v + j)
+                        total += w * m[j + b, i + a] if w > 0 else 0.0
+                out[y, x] = total
+    return out
+
+
+def test_tiles_meet_all_layers_in_one_exchange(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(align, "TILE", 4)
+    monkeypatch.setattr(align, "HELD", 12)
+    target = Grid(13, 11, 100.0, 50.0, 2.0, 2.0)
+    own = {"same": target, "max": Grid(12, 20, 102.0, 52.0, 1.0, 1.0), "nearest": Grid(9, 7, 97.0, 48.5, 3.0, 3.0), "bilinear": Grid(40, 30, 99.3, 51.1, 0.7, 0.9), "far": Grid(3, 3, 0.0, 0.0, 2.0, 2.0), "bilinear2": Grid(5, 4, 101.0, 51.0, 5.0, 5.0), "much": Grid(52, 44, 100.0, 50.0, 0.5, 0.5), "block": Grid(26 * 13, 22, 100.0, 50.0, 1 / 13, 1.0)}
+    own["block"] = Grid(13 * 16, 11 * 2, 100.0, 50.0, 0.125, 1.0)
+    how = {"far": "nearest", "bilinear2": "bilinear", "much": "max", "block": "max"}
+    rasters = {}
+    for n, g in own.items():
+        m = np.where(r.random((g.height, g.width)) < 0.1, np.nan, r.normal(0, 1, (g.height, g.width)))
+        df = spark.createDataFrame([(x, y, None if np.isnan(m[y, x]) else float(m[y, x])) for y in range(g.height) for x in range(g.width)], "x int, y int, z double")
+        rasters[n] = (m, g, align.Source(df, g, how.get(n, n), n))
+    some = {n: s for n, (_, _, s) in rasters.items() if n != "block"}
+    table = align.on_grid(some, target)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for n in some:
+        m, g, s = rasters[n]
+        want = m if n == "same" else by_hand(m, g, target, s.how)
+        np.testing.assert_allclose(matrix(table, n, (13, 11)), want, rtol=1e-12, err_msg=n)
+    m, g, s = rasters["block"]  # one target cell takes more source cells than a tile holds
+    np.testing.assert_allclose(matrix(align.on_grid({"z": s}, target), "z", (13, 11)), by_hand(m, g, target, "max"))
+    part = align.on_grid(some, target, Window(3, 2, 7, 6)).collect()
+    assert {(x.x, x.y) for x in part} == {(x, y) for x in range(3, 10) for y in range(2, 8)}
+    whole = matrix(table, "bilinear", (13, 11))
+    assert all((x.bilinear is None and np.isnan(whole[x.y, x.x])) or x.bilinear == whole[x.y, x.x] for x in part)
+
+
+def test_styles_that_are_no_styles():
+    good = {"input": "a.tif", "blendMode": "normal", "opacity": 1.0, "stops": [{"value": 0, "color": "#000000"}, {"value": 1, "color": "#ffffff"}]}
+    style.read_layer(good)
+    for bad in ({"stops": [{"color": "#000000"}, {"value": 1, "color": "#ffffff"}]}, {"stops": 5}, {"stops": [1, 2]}, {"stops": [{"value": "0", "color": "#000000"}] * 2}, {"stops": [{"value": 0}, {"value": 1}]}, {"stops": None, "valueMin": "0", "valueMax": 1, "colorFrom": "#000000", "colorTo": "#ffffff"}, {"input": 5}, {"blendMode": 1}, {"opacity": "1"}, {"opacity": True}, {"resampling": []}):
+        with pytest.raises(ValueError):
+            style.read_layer(good | bad)
