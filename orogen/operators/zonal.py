@@ -56,7 +56,7 @@ def select_ranks(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """zone, what, key: of each zone's keys in order, the one at place rank (from 0). keys: zone, key; wanted: zone, what, rank.
 
     Counting passes over 16 bits at a time, the highest first: a pass counts the next 16 bits of those keys that begin as a wanted one does, and so fixes 16 more of its bits. A task holds
-    counts of at most 65,536 digits for each beginning that is wanted, however many keys or different values a zone has; no key is sorted or sent.
+    counts of at most 65,536 digits for each beginning that is wanted, however many keys or different values a zone has; no key is sorted or sent. What a pass finds, four rows a zone, is written.
     """
     state = wanted.select("zone", "what", "rank", F.lit(0).cast("long").alias("begin"))
     for shift in (48, 32, 16, 0):
@@ -69,7 +69,7 @@ def select_ranks(keys: DataFrame, wanted: DataFrame) -> DataFrame:
         counts = own.groupBy("zone", "begin", "digit").agg(F.count("*").alias("n"))
         upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("zone", "begin").orderBy("digit"))).withColumnsRenamed({"zone": "_zone", "begin": "_begin"})
         here = (F.col("zone") == F.col("_zone")) & (F.col("begin") == F.col("_begin")) & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-        state = state.join(upto, here).select("zone", "what", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.shiftleft("begin", 16).bitwiseOR(F.col("digit")).alias("begin"))
+        state = cut(state.join(upto, here).select("zone", "what", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.shiftleft("begin", 16).bitwiseOR(F.col("digit")).alias("begin")), "ranks")  # used twice by the next pass
     return state.select("zone", "what", F.col("begin").alias("key"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from orogen import queries as q
+from orogen.functions.lighting import Lighting
 from orogen.operators import vat
 from orogen.operators.compose import Layer, parse_color
 
@@ -198,6 +199,63 @@ slab AS (SELECT go.x, go.y, ray, greatest({', '.join(a for a, _ in near_far)}) A
 met AS (SELECT x, y, ray, CASE WHEN t0 > 1e-9 THEN t0 ELSE t1 END AS d FROM slab WHERE t0 <= t1 AND t1 > 1e-6)"""
 
 
+def _mixed(name: str, source: str, given: str, keep: str) -> str:
+    """Tables that end in `name`: the kept columns of a source and h, its 64-bit mix of column `given`; products are taken in 128 bits."""
+    wide = lambda v, sign, by: f"CAST((CAST({v} AS UHUGEINT) {sign} CAST('{by}' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT)"
+    steps, last = [f"{name}_0 AS (SELECT {keep}, {wide(given, '+', 0x9E3779B97F4A7C15)} AS h FROM {source})"], f"{name}_0"
+    for i, (bits, by) in enumerate(((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)), 1):
+        steps.append(f"{name}_{i} AS (SELECT {keep}, {wide(f'xor(h, h // {1 << bits})', '*', by)} AS h FROM {last})")
+        last = f"{name}_{i}"
+    return ", ".join([*steps, f"{name} AS (SELECT {keep}, xor(h, h // {1 << 31}) AS h FROM {last})"])
+
+
+def _drawn(name: str, source: str, salts: tuple[int, int], keep: str) -> str:
+    """`name`: rows of a source (tile, pixel, ray, …) with two numbers u0 and u1 from 0 to 1 that its cell, ray and a salt each give."""
+    seeds = f"""{name}_s AS (SELECT s.*, k.salt, xor(xor(xor(xor(CAST(1423 AS UBIGINT), a.h), b.h), c.h), k.h) AS seed FROM {source} s JOIN parts a ON a.kind = 't' AND a.n = s.tile JOIN parts b ON b.kind = 'p' AND b.n = s.pixel JOIN parts c ON c.kind = 'r' AND c.n = s.ray JOIN salts k ON k.salt IN {salts})"""
+    number = "max(CASE WHEN salt = {0} THEN greatest(CAST(h // 2048 AS DOUBLE) * pow(2.0, -53), pow(2.0, -53) * CASE WHEN h // 2048 = 0 THEN 2 ELSE 0 END) END)"
+    return f"{seeds}, {_mixed(f'{name}_m', f'{name}_s', 'seed', f'{keep}, salt')}, {name} AS (SELECT {keep}, {number.format(salts[0])} AS u0, {number.format(salts[1])} AS u1 FROM {name}_m GROUP BY {keep})"
+
+
+def occlusion(light, side: int, tile: int, buffer: int, exaggeration: float) -> str:
+    """Light of every ray of the small raster: the ray against all columns of its tile's buffered window at once, where the operator walks; bounces one after another."""
+    each, across, edge = light.rays // 16, -(-side // tile), math.radians(light.diameter) / 2
+    sun = [math.cos(math.radians(light.elevation)) * math.sin(math.radians(light.azimuth)), -math.cos(math.radians(light.elevation)) * math.cos(math.radians(light.azimuth)), math.sin(math.radians(light.elevation))]
+    salts = [0, 1, *(s + 2 * b for b in range(light.bounces) for s in (100, 101))]
+    counts = f"(SELECT 't' AS kind, unnest(range({across * across})) AS n, 11400714819323198485 AS c UNION ALL SELECT 'p', unnest(range({tile * tile})), 14029467366897019727 UNION ALL SELECT 'r', unnest(range({light.rays})), 1609587929392839161)"
+    shifted = "CAST((CAST(n AS UHUGEINT) + CAST(c AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT)"
+    sql = [
+        shipping(side), f"cells AS (SELECT x, y, z * {exaggeration} AS z, y // {tile} * {across} + x // {tile} AS tile, y % {tile} * {tile} + x % {tile} AS pixel FROM ship WHERE z IS NOT NULL)",
+        f"named AS (SELECT kind, n, {shifted} AS v FROM {counts})", _mixed("parts", "named", "v", "kind, n"), f"listed AS (SELECT CAST(unnest({salts}) AS UBIGINT) AS salt)", _mixed("salts", "listed", "salt", "salt"),
+        f"asked AS (SELECT x, y, z, tile, pixel, CAST(unnest(range({light.rays})) AS BIGINT) AS ray FROM cells)", _drawn("first", "asked", (0, 1), "x, y, z, tile, pixel, ray"),
+        f"turned AS (SELECT *, (least(15, ray // {each}) + u1) / 16 * {2 * math.pi!r} AS phi, pow((ray % {each} + u0) / {each}, {light.bias}) AS theta FROM first)",
+        "way AS (SELECT *, sqrt(greatest(0.0, 1 - theta)) * cos(phi) AS dx, sqrt(greatest(0.0, 1 - theta)) * sin(phi) AS dy, sqrt(theta) AS dz FROM turned)",
+        "go0 AS (SELECT x, y, tile, pixel, ray, dx, dy, dz, x + dx * 1e-6 AS ex, y + dy * 1e-6 AS ey, z + dz * 1e-6 AS ez, x AS own_x, y AS own_y FROM way)",
+    ]
+    span = lambda o, d, lo, hi: (f"CASE WHEN {d} = 0 THEN CASE WHEN {o} BETWEEN {lo} AND {hi} THEN -1e300 ELSE 1e300 END ELSE least(({lo} - {o}) / {d}, ({hi} - {o}) / {d}) END", f"CASE WHEN {d} = 0 THEN CASE WHEN {o} BETWEEN {lo} AND {hi} THEN 1e300 ELSE -1e300 END ELSE greatest(({lo} - {o}) / {d}, ({hi} - {o}) / {d}) END")
+    sides = [span("g.ex", "g.dx", "b.x - 0.5", "b.x + 0.5"), span("g.ey", "g.dy", "b.y - 0.5", "b.y + 0.5"), span("g.ez", "g.dz", "least(0.0, b.z)", "greatest(0.0, b.z)")]
+    within = " AND ".join(f"b.{v} BETWEEN g.tile {op} {across} * {tile} - {buffer} AND g.tile {op} {across} * {tile} + {tile + buffer - 1}" for v, op in (("x", "%"), ("y", "//")))
+    gaps = ["abs(px - (bx - 0.5))", "abs(px - (bx + 0.5))", "abs(py - (byy - 0.5))", "abs(py - (byy + 0.5))", "abs(pz)", "abs(pz - greatest(0.0, bz))"]
+    face = lambda *n: "CASE " + " ".join(f"WHEN gap = {g} THEN {v}.0" for g, v in zip(gaps, n)) + " END"
+    for b in range(light.bounces + 1):
+        sql += [
+            f"slab{b} AS (SELECT g.tile, g.pixel, g.ray, b.x AS bx, b.y AS byy, b.z AS bz, greatest(0.0, {', '.join(lo for lo, _ in sides)}) AS t0, least({', '.join(hi for _, hi in sides)}) AS t1 FROM go{b} g JOIN cells b ON {within} AND (b.x <> g.own_x OR b.y <> g.own_y))",
+            f"met{b} AS (SELECT tile, pixel, ray, min(d) AS d, arg_min(bx, d) AS bx, arg_min(byy, d) AS byy, arg_min(bz, d) AS bz FROM (SELECT *, CASE WHEN t0 > 1e-9 THEN t0 ELSE t1 END AS d FROM slab{b} WHERE t0 <= t1) WHERE d > 1e-6 GROUP BY 1, 2, 3)",
+            f"all{b} AS (SELECT g.*, m.d, m.bx, m.byy, m.bz FROM go{b} g LEFT JOIN met{b} m USING (tile, pixel, ray))",
+            f"light{b} AS (SELECT tile, pixel, ray, {light.sky} + {light.sun} * CASE WHEN (dx * {num(sun[0])} + dy * {num(sun[1])} + dz * {num(sun[2])}) / sqrt(dx * dx + dy * dy + dz * dz) >= {num(math.cos(edge))} THEN 1 ELSE 0 END AS v FROM all{b} WHERE d IS NULL)",
+        ]
+        if b < light.bounces:
+            sql += [
+                f"hit{b} AS (SELECT *, least({', '.join(gaps)}) AS gap FROM (SELECT x, y, tile, pixel, ray, bx, byy, bz, ex + dx * d AS px, ey + dy * d AS py, ez + dz * d AS pz FROM all{b} WHERE d IS NOT NULL))",
+                f"face{b} AS (SELECT x, y, tile, pixel, ray, px, py, pz, {face(-1, 1, 0, 0, 0, 0)} AS nx, {face(0, 0, -1, 1, 0, 0)} AS ny, {face(0, 0, 0, 0, -1, 1)} AS nz FROM hit{b})",
+                _drawn(f"next{b}", f"face{b}", (101 + 2 * b, 100 + 2 * b), "x, y, tile, pixel, ray, px, py, pz, nx, ny, nz"),
+                f"local{b} AS (SELECT *, sqrt(greatest(0.0, 1 - u1)) * cos({2 * math.pi!r} * u0) AS lx, sqrt(greatest(0.0, 1 - u1)) * sin({2 * math.pi!r} * u0) AS ly, sqrt(u1) AS lz, CASE WHEN nz = 0 THEN -ny ELSE 0 END AS tx, CASE WHEN nz = 0 THEN nx ELSE -nz END AS ty FROM next{b})",
+                f"aim{b} AS (SELECT *, tx * lx - nz * ty * ly + nx * lz AS dx, ty * lx + nz * tx * ly + ny * lz AS dy, (nx * ty - ny * tx) * ly + nz * lz AS dz FROM local{b})",
+                f"go{b + 1} AS (SELECT x, y, tile, pixel, ray, dx, dy, dz, px + dx * 1e-6 AS ex, py + dy * 1e-6 AS ey, pz + dz * 1e-6 AS ez, -1 AS own_x, -1 AS own_y FROM aim{b})",
+            ]
+    lit = " UNION ALL ".join(f"SELECT * FROM light{b}" for b in range(light.bounces + 1))
+    return f"WITH {', '.join(sql)}, lit AS ({lit}) SELECT c.x, c.y, {fix(f'coalesce(s.v, 0) / {light.rays} + {light.ambient}')} AS v FROM cells c LEFT JOIN (SELECT tile, pixel, sum(v) AS v FROM lit GROUP BY 1, 2) s USING (tile, pixel)"
+
+
 def oracle_sql() -> dict[str, str]:
     hole = f"WITH {HOLE} "
     out = {
@@ -256,6 +314,8 @@ SELECT x, y, {fix('CASE WHEN z IS NOT NULL THEN (greatest(low, least(high, z)) -
     dev = lambda r: f"abs((z - s{r} / c{r}) / (sqrt(greatest(0.0, q{r} / c{r} - (s{r} / c{r}) * (s{r} / c{r}))) + 1e-6))"
     radii = sorted({r for s in scales.values() for r in s})
     bands = ", ".join(f"{fix(f'CASE WHEN z IS NOT NULL THEN greatest(0.0, least(1.0, 1 - exp(-0.9 * greatest({", ".join(map(dev, s))})))) END')} AS {n}" for n, s in scales.items())
+    out["occlusion_exact"] = occlusion(Lighting(rays=64, sun=0.3, azimuth=180.0, elevation=35.0), 16, 8, 4, 0.2)
+    out["occlusion_bounces"] = occlusion(Lighting(rays=32, bounces=2), 16, 8, 4, 0.2)
     out["geotiff_big"], out["geotiff_filter"] = out["geotiff_single"], out["geotiff_bbox"]
     out["mstp"] = f"WITH {HOLE}, {boxes('hole', radii)} SELECT x, y, {bands} FROM box"
     # Grid of 2 units, shifted by half a cell: centres lie on the middle of a column pair and on the border of two rows.
