@@ -72,8 +72,8 @@ dirs AS (SELECT DISTINCT dir FROM offs), sight AS (SELECT a.x, a.y, d.dir, coale
     )
 
 
-def sky(source: str = "emb", radius: int = 10, noise: int = 0, sign: int = 1, n: int = 16, name: str = "sky") -> str:
-    weights = [0.6 * math.cos((2 * math.pi / n * i - math.radians(315.0)) / 2) ** 4 + 0.4 for i in range(n)]
+def sky(source: str = "emb", radius: int = 10, noise: int = 0, sign: int = 1, n: int = 16, name: str = "sky", power: int = 4, least: float = 0.4) -> str:
+    weights = [(1 - least) * math.cos((2 * math.pi / n * i - math.radians(315.0)) / 2) ** power + least for i in range(n)]
     body = sight(source, compass(n), list(range(least_radius(radius, noise), radius + 1)), sign) + ", " + table("wts", ["wdir", "w"], [(i, float(w)) for i, w in enumerate(weights)])
     return body + f", {name} AS (SELECT x, y, avg(1 - sin(greatest(atan(s), 0.0))) AS svf, sum((1 - sin(greatest(atan(s), 0.0))) * w) / {num(sum(weights))} AS asvf, degrees({num(math.pi / 2)} - avg(atan(s))) AS openness FROM sight JOIN wts ON wdir = dir GROUP BY 1, 2)"
 
@@ -314,6 +314,10 @@ SELECT x, y, {fix('CASE WHEN z IS NOT NULL THEN (greatest(low, least(high, z)) -
     dev = lambda r: f"abs((z - s{r} / c{r}) / (sqrt(greatest(0.0, q{r} / c{r} - (s{r} / c{r}) * (s{r} / c{r}))) + 1e-6))"
     radii = sorted({r for s in scales.values() for r in s})
     bands = ", ".join(f"{fix(f'CASE WHEN z IS NOT NULL THEN greatest(0.0, least(1.0, 1 - exp(-0.9 * greatest({", ".join(map(dev, s))})))) END')} AS {n}" for n, s in scales.items())
+    out["asvf_strong"] = f"WITH {EMB}, {sky(power=8, least=0.1)} SELECT x, y, {fix('asvf')} AS v FROM sky"
+    out["product_bytes"] = f"WITH {HOLE}, {near('hole')} SELECT x, y, CAST(CASE WHEN slope IS NULL THEN 0 ELSE floor(greatest(0.0, least(1.0, degrees(slope) / 51)) * 255 + 0.5) END AS INTEGER) AS v FROM terrain"
+    out["geotiff_bytes"] = f"WITH {shipping()} SELECT x, y, CAST(CASE WHEN z IS NULL THEN 0 ELSE floor(greatest(0.0, least(1.0, z / 50)) * 255 + 0.5) END AS DOUBLE) AS z FROM ship"
+    out["render_files"] = out["compose_multiply"]
     out["occlusion_exact"] = occlusion(Lighting(rays=64, sun=0.3, azimuth=180.0, elevation=35.0), 16, 8, 4, 0.2)
     out["occlusion_bounces"] = occlusion(Lighting(rays=32, bounces=2), 16, 8, 4, 0.2)
     out["geotiff_big"], out["geotiff_filter"] = out["geotiff_single"], out["geotiff_bbox"]

@@ -14,7 +14,8 @@ from orogen.functions.numbers import fixed, stretch, to_byte
 from orogen.operators import align, compose, directional, focal, horizon, raytrace, vat, zonal
 from orogen.operators.grid import BBox, Grid, Tiling, clip, counts, keep_tiles, plan, tile_of
 from orogen.shipping import ship
-from orogen.sources import geotiff, sink
+from orogen.plans import products, render
+from orogen.sources import geotiff, sink, style
 from orogen.sources.derived import embedding_raster, part_raster, shipping_raster, unit_range, with_holes
 from orogen.work import new_folder
 
@@ -108,6 +109,7 @@ svf = _sky("svf")
 svf_hole = _sky("svf", hole)
 svf_noise = _sky("svf", noise=3)
 asvf = _sky("asvf")
+asvf_strong = _sky("asvf", anisotropy=2)
 openness_pos = _sky("openness")
 openness_neg = _sky("openness", invert=True)
 
@@ -297,6 +299,29 @@ def geotiff_big(spark, sf_dir):
     return _out(geotiff.load(spark, path)[0], "z")
 
 
+def geotiff_bytes(spark, sf_dir):
+    """Tiles of bytes, read again as one raster."""
+    cells, g = shipping_raster(ship(spark), sf_dir)
+    folder = new_folder(spark, "bytes")
+    sink.write_tiles(cells.select("x", "y", to_byte(F.col("z") / 50).alias("v")), Tiling(g, 16), ["v"], folder, as_bytes=True)
+    return _out(geotiff.load_tiles(spark, folder)[0], "z")
+
+
+def render_files(spark, sf_dir):
+    """Two layers from files, by a style, met on the first one's grid and composed."""
+    both, (_, g) = _layers(spark, sf_dir), emb(spark, sf_dir)
+    t, folder = Tiling(replace(g, nodata=-9999.0), 64), new_folder(spark, "layers")
+    paths = [sink.write_single(both, t, [c], f"{folder}/{c}.tif", nodata_tag=-9999.0) for c in ("z", "w")]
+    looks = [{"valueMin": 0, "valueMax": 1, "colorFrom": "#CBEA9A", "colorTo": "#1F6B2A", "blendMode": "normal", "opacity": 1.0}, {"valueMin": 0, "valueMax": 50, "colorFrom": "#FFEECC", "colorTo": "#331100", "blendMode": "multiply", "opacity": 0.7, "resampling": "nearest"}]
+    return render.render(spark, [style.read_layer({"input": p} | look) for p, look in zip(paths, looks)])[0]
+
+
+def product_bytes(spark, sf_dir):
+    """A product as the commands give it: with its own buffer, stretched to bytes by its table entry."""
+    cells, g = hole(spark, sf_dir)
+    return products.render("slope", cells, products.tiling_for("slope", g, 100), as_bytes=True)
+
+
 def geotiff_slope(spark, sf_dir):
     """Slope of the cells of a window, read with a margin of one cell."""
     path, g = _file(spark, sf_dir)
@@ -306,7 +331,7 @@ def geotiff_slope(spark, sf_dir):
 
 
 def queries() -> dict:
-    names = """geotiff_single geotiff_big geotiff_filter geotiff_bbox geotiff_metadata geotiff_tiles geotiff_slope bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
+    names = """geotiff_single geotiff_big geotiff_filter geotiff_bytes render_files product_bytes asvf_strong geotiff_bbox geotiff_metadata geotiff_tiles geotiff_slope bbox_clip tile_plan tile_skip start_tile slope aspect hillshade multi_hillshade slrm msrm mstp svf svf_hole svf_noise asvf openness_pos openness_neg
     sky_uniform sky_overcast sky_shadow local_dominance vat_general vat_flat vat_combined stretch_value stretch_percent byte_encode part_slope ramp_legacy ramp_stops
     compose_normal compose_multiply compose_screen compose_softlight compose_alpha align_max align_nearest align_bilinear align_overlap horizon_pyramid horizon_diffuse
     horizon_sun anyhit_fixed_rays nearest_hit_fixed_rays occlusion_exact occlusion_bounces mosaic_roundtrip""".split()

@@ -32,6 +32,8 @@ from orogen.sources.codecs import KNOWN, decompress
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, TRANSFORM, KEYS, PARAMETERS, ASCII_KEYS, NODATA = 33550, 33922, 34264, 34735, 34736, 34737, 42113
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
+# EPSG codes of projected systems in feet (state planes of NAD83, of NAD83(HARN) and of NAD27, Michigan's of NAD27, and NAD27's offshore zones).
+FOOT_SYSTEMS = ((2222, 2289), (2867, 2930), (26729, 26799), (26801, 26803), (32001, 32058), (32064, 32067))
 ATTEMPTS, DELAY = 3, 1.0
 LARGEST = 1 << 32  # bytes that a file with 32-bit offsets can have
 GROUP = 1 << 22  # cells of the neighbouring blocks that one task reads at most
@@ -127,7 +129,8 @@ def read_header(path: str) -> Header:
     if 3072 not in geo:
         raise ValueError("Only projected rasters with metre units are supported." if 2048 in geo else "Raster CRS is missing or invalid.")
     said = tags.get(ASCII_KEYS, ("",))[0]
-    if geo.get(3076, 9001) != 9001 or 3076 not in geo and re.search(r"foot|feet|\bft", said, re.IGNORECASE):
+    feet = any(low <= geo[3072] <= high for low, high in FOOT_SYSTEMS) or re.search(r"foot|feet|\bft", said, re.IGNORECASE)
+    if geo.get(3076, 9001) != 9001 or 3076 not in geo and feet:
         raise ValueError("Only projected rasters with metre units are supported.")
     if geo.get(1025) == 2:  # the tie is a cell's centre
         left, top = left - res_x / 2, top + res_y / 2

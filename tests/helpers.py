@@ -19,5 +19,6 @@ def matrix(df, column="v", shape=None):
     return out
 
 
+# The heights of the two small terrains that the expected results belong to.
 MOUND = [[0, 1, 2, 1, 0, 0], [0, 2, 3, 2, 0, 0], [1, 3, 6, 3, 1, 0], [0, 2, 3, 2, 0, 0], [0, 1, 2, 1, 0, 0], [0, 0, 0, 0, 0, 0]]
 BASE = [[0, 0.5, 1, 0.5], [0.5, 1, 0, 0.5], [1, 0.5, 0, 0.5], [0.5, 0, 0.5, 1]]

@@ -197,6 +197,18 @@ def test_point_rasters_lie_half_a_cell_aside_and_feet_are_refused(tmp_path):
         geotiff.read_header(str(feet))
 
 
+@pytest.mark.parametrize("code, metres", [(2263, False), (2927, False), (26741, False), (32037, False), (32067, False), (2056, True), (26918, True), (32632, True), (2290, True), (32061, True)])
+def test_units_by_the_code_of_the_system(tmp_path, code, metres):
+    """Without a citation or a unit key, feet are known by the code."""
+    path = tmp_path / "f.tif"
+    path.write_bytes(geotiff.encode(np.zeros((1, 3, 4), np.float32), Grid(4, 3, 0.0, 0.0, 1.0, 1.0, f"EPSG:{code}", -9999.0), -9999.0))
+    if metres:
+        assert geotiff.read_header(str(path)).grid.crs == f"EPSG:{code}"
+        return
+    with pytest.raises(ValueError, match="metre"):
+        geotiff.read_header(str(path))
+
+
 def test_a_window_reads_its_blocks_only(tmp_path, monkeypatch):
     path = tmp_path / "w.tif"
     path.write_bytes(geotiff.encode(np.arange(64 * 96, dtype=np.float32).reshape(1, 64, 96), Grid(96, 64, 0.0, 0.0, 1.0, 1.0, "EPSG:2056", -9999.0), -9999.0, 16))
