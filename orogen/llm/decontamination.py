@@ -9,6 +9,7 @@ from orogen.llm.common import cut
 
 WINDOW = 13  # words of a phrase
 NEAR = 10  # words of a window (repeated ones as often) that make a proximity match, within its length and in any order
+CLOSE = 3  # words of a window's rarest that must stand together before its other words are read
 BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the index in a salted shuffle
 BROADCAST_CELLS = 500_000  # places to look at up to so many are broadcast (two numbers each); more meet the index in a shuffle
 SALTS = 32  # parts of a term's postings where they meet in a shuffle
@@ -80,12 +81,12 @@ def phrase_starts(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
 
 
 def close_places(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
-    """(row, item, stretch) where a proximity match can be: it has all but WINDOW - NEAR words of a window, so two of any WINDOW - NEAR + 2, here of the rarest, that lie less than WINDOW apart."""
-    few = rare.where(F.size("rare") == WINDOW).select("item", F.explode(F.slice("rare", 1, WINDOW - NEAR + 2)).alias("a")).where("a.n > 0").select("item", "a.term").distinct()
+    """(row, item, stretch) where a proximity match can be: it has all but WINDOW - NEAR words of a window, so CLOSE of any WINDOW - NEAR + CLOSE, here of the rarest, that lie less than WINDOW apart."""
+    few = rare.where(F.size("rare") == WINDOW).select("item", F.explode(F.slice("rare", 1, WINDOW - NEAR + CLOSE)).alias("a")).where("a.n > 0").select("item", "a.term").distinct()
     at = meet(index.where("pos > 0").select("row", "pos", "term"), few, small).select("row", "item", "pos")
-    lists = at.groupBy("row", "item").agg(F.array_sort(F.collect_list("pos")).alias("at")).where(F.size("at") > 1)  # a document's places, which lie in one task from the start
-    pairs = F.filter(F.arrays_zip(F.slice("at", 1, F.size("at") - 1).alias("a"), F.slice("at", 2, F.size("at") - 1).alias("b")), lambda x: x["b"] - x["a"] < WINDOW)
-    spans = F.transform(pairs, lambda x: F.sequence(F.floor(F.greatest(x["b"] - (WINDOW - 1), F.lit(0)) / WINDOW).cast("int"), F.floor(x["a"] / WINDOW).cast("int")))
+    lists = at.groupBy("row", "item").agg(F.array_sort(F.collect_list("pos")).alias("at")).where(F.size("at") >= CLOSE)  # a document's places, which lie in one task from the start
+    runs = F.filter(F.arrays_zip(F.slice("at", 1, F.size("at") - CLOSE + 1).alias("a"), F.slice("at", CLOSE, F.size("at") - CLOSE + 1).alias("b")), lambda x: x["b"] - x["a"] < WINDOW)
+    spans = F.transform(runs, lambda x: F.sequence(F.floor(F.greatest(x["b"] - (WINDOW - 1), F.lit(0)) / WINDOW).cast("int"), F.floor(x["a"] / WINDOW).cast("int")))
     return lists.select("row", "item", F.explode(F.array_distinct(F.flatten(spans))).alias("stretch"))
 
 
