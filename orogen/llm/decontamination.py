@@ -11,7 +11,6 @@ WINDOW = 13  # words of a phrase
 NEAR = 10  # words of a window (repeated ones as often) that make a proximity match, within its length and in any order
 CLOSE = 3  # words of a window's rarest that must stand together before its other words are read
 BROADCAST_WINDOWS = 100_000  # test phrases up to so many are broadcast (about 300 bytes each); more meet the index in a salted shuffle
-BROADCAST_CELLS = 500_000  # places to look at up to so many are broadcast (two numbers each); more meet the index in a shuffle
 SALTS = 32  # parts of a term's postings where they meet in a shuffle
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,9 +90,11 @@ def close_places(rare: DataFrame, index: DataFrame, small: bool) -> DataFrame:
 
 
 def stretches_at(places: DataFrame, index: DataFrame) -> DataFrame:
-    """(row, stretch, heard): the postings (pos, term) by place of twice WINDOW words from stretch * WINDOW on, at least for all places (row, stretch). Every run of WINDOW words lies in one."""
+    """(row, stretch, heard): the postings (pos, term) by place of twice WINDOW words from stretch * WINDOW on, at least for all places (row, stretch). Every run of WINDOW words lies in one.
+
+    Places grow with the corpus, so they meet the index by a join that Spark plans by their size.
+    """
     cells = cut(places.select("row", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("cell")).distinct(), "cells")
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     entries = index.where("pos > 0").select("row", "pos", "term", F.expr(f"int(pos div {WINDOW})").alias("cell")).join(cells, ["row", "cell"], "left_semi")
     twice = entries.select("row", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("stretch"), F.struct("pos", "term").alias("entry")).where("stretch >= 0")
     return cut(twice.groupBy("row", "stretch").agg(F.array_sort(F.collect_list("entry")).alias("heard")), "stretches")

@@ -12,6 +12,7 @@ import re
 from array import array
 from collections import defaultdict
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from orogen.llm.bpe import token_bytes
 from orogen.llm.common import cut
-from orogen.llm.tokens import _keep_first, byte_symbols, tokenizer
+from orogen.llm.tokens import byte_symbols, tokenizer
 
 BLOCK = 6_000_000  # characters of a block of texts; a longer text is a block of its own
-CACHED = 200_000  # encoded chunks that a worker remembers over its blocks
+AT_ONCE = 40_000  # different chunks whose tokens are joined at once
+CACHED = 100_000  # encoded chunks that a worker remembers over its blocks
 #: Where a chunk may end: between a visible character and a blank or line break before another one, and after such a line break.
 CHUNK = re.compile(r"(?<=\S)\n(?=\S)|\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:(?![ \n]\S)\s+\Z)?|\s+")
 #: Fixed value: the pattern by which the byte-level vocabulary splits texts.
@@ -116,7 +118,6 @@ _known: dict[tuple[str, str], dict[str, tuple[bytes, bytes] | None]] = {}
 def encodings(chunks: list[str], path_a: str, path_b: str) -> list[tuple[bytes, bytes] | None]:
     """Ids of both tokenizers as unsigned 32-bit bytes, or None where the tokens' bytes are not the chunk's."""
     known = _known.setdefault((path_a, path_b), {})
-    _keep_first(known, CACHED)
     new = [c for c in chunks if c not in known]
     bytes_a, bytes_b, fresh = token_bytes(path_a), _pieces(path_b)[1], {}
     lines = [*filter(LINE.match, new)]
@@ -132,7 +133,7 @@ def encodings(chunks: list[str], path_a: str, path_b: str) -> list[tuple[bytes,
             fine = b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw
             fresh[c] = (array("I", a).tobytes(), array("I", b).tobytes()) if fine else None
     out = [fresh[c] if c in fresh else known[c] for c in chunks]
-    known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
+    known.update(islice(((c, v) for c, v in fresh.items() if len(c) <= 64), max(0, CACHED - len(known))))  # what comes first is what comes often
     return out
 
 
@@ -160,20 +161,20 @@ SELECT a.chunk, a.id, b.id, false FROM a JOIN b ON b.start > a.start AND b.start
 _GROUPS_A = "SELECT a.id AS id, sum(CAST(a.start = b.start AS BIGINT)) OVER (ORDER BY a.start) AS g FROM a ASOF JOIN b ON a.start >= b.start ORDER BY a.start"
 _GROUPS_B = "SELECT b.id AS id, sum(CAST(a.start = b.start AS BIGINT)) OVER (ORDER BY b.start) AS g FROM b ASOF JOIN a ON b.start >= a.start ORDER BY b.start"
 _PAIRS = "SELECT a * 4294967296 + b AS pair, CAST(sum(n) AS BIGINT) AS n FROM links JOIN times USING (chunk) GROUP BY ALL ORDER BY pair"
-_CHUNK_PAIRS = "SELECT chunk, a * 4294967296 + b AS pair FROM links ORDER BY chunk"
+_CHUNK_PAIRS = "SELECT chunk, a * 4294967296 + b AS pair FROM links ORDER BY chunk, pair"
 
 
 def align(ids: list[tuple[bytes, bytes]], times: np.ndarray, path_a: str, path_b: str) -> dict:
-    """Alignment of a block's different chunks, of which the i-th occurs times[i] times.
+    """Alignment of different chunks, of which the i-th occurs times[i] times.
 
-    n_a, n_b, n_groups, n_links, groups (text): for each chunk; pairs (a << 32 | b) and how often they are linked in the block; first, link: the links of chunk i are
+    n_a, n_b, n_groups, n_links, groups (text): for each chunk; pairs (a << 32 | b) and how often they are linked; first, link: the links of chunk i are
     pairs[link[first[i]:first[i + 1]]].
     """
     import duckdb
 
     table_a, table_b = token_bytes(path_a), _pieces(path_b)[1]
     a, b = (_intervals([i[side] for i in ids], table) for side, table in ((0, table_a), (1, table_b)))
-    with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as db:
+    with duckdb.connect(config={"threads": 1, "memory_limit": "300MB"}) as db:
         for name, data in (("a", a), ("b", b), ("times", pa.table({"chunk": np.arange(len(ids)), "n": times}))):
             db.register(name, data)
         db.execute(_LINKS)
@@ -200,6 +201,19 @@ def align(ids: list[tuple[bytes, bytes]], times: np.ndarray, path_a: str, path_b
     }
 
 
+def align_all(ids: list[tuple[bytes, bytes]], times: np.ndarray, path_a: str, path_b: str) -> dict:
+    """align of a block's chunks, AT_ONCE at a time, so that intervals and links of a few only are in memory."""
+    parts = [align(ids[i : i + AT_ONCE], times[i : i + AT_ONCE], path_a, path_b) for i in range(0, len(ids), AT_ONCE)]
+    pairs, place = np.unique(np.concatenate([p["pairs"] for p in parts]), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, place, np.concatenate([p["n"] for p in parts]))
+    links = [np.searchsorted(pairs, p["pairs"][p["link"]]) for p in parts]
+    starts = np.cumsum([0, *map(len, links)])
+    out = {k: np.concatenate([p[k] for p in parts]) for k in ("n_a", "n_b", "n_groups", "n_links")}
+    first = np.concatenate([*(p["first"][:-1] + at for p, at in zip(parts, starts)), starts[-1:]])
+    return out | {"groups": [g for p in parts for g in p["groups"]], "pairs": pairs, "n": n, "first": first, "link": np.concatenate(links)}
+
+
 _SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("size", pa.int64()), ("chunks", pa.binary()), ("times", pa.binary()), ("first", pa.binary()), ("pair", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 _TYPES = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, size long, chunks binary, times binary, first binary, pair array<bigint>, n array<bigint>"
 
@@ -217,6 +231,7 @@ def _block(number: int, doc_ids: list, texts: list, path_a: str, path_b: str, ke
     seen = defaultdict()
     seen.default_factory = seen.__len__
     parts = [np.fromiter(map(seen.__getitem__, CHUNK.findall(" " + t) if t else ()), np.int64) for t in texts]
+    seen.default_factory = None  # or the chunks would wait for the collector of circles
     ids = encodings(list(seen), path_a, path_b)
     del seen
     fine = np.array([i is not None for i in ids], bool)
@@ -225,7 +240,7 @@ def _block(number: int, doc_ids: list, texts: list, path_a: str, path_b: str, ke
     used = np.flatnonzero(times)  # chunks of texts that have tokens
     renamed = np.cumsum(times > 0) - 1
     rows = []
-    found = align([ids[i] for i in used], times[used], path_a, path_b) if len(used) else None
+    found = align_all([ids[i] for i in used], times[used], path_a, path_b) if len(used) else None
     for doc, p in zip(doc_ids, parts):
         own = renamed[p]
         row = dict.fromkeys(_SCHEMA.names) | {"block": number, "doc_id": doc} | {k: int(found[k][own].sum()) if found else 0 for k in ("n_a", "n_b", "n_groups", "n_links")}
@@ -254,6 +269,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, keep: bool = False) -> Dat
             for at in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[at : at + 1000], _SCHEMA)
             number, ids, texts, size = number + 1, [], [], 0
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -37,7 +37,6 @@ def plain(docs, items):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", broadcast)
-    monkeypatch.setattr(d, "BROADCAST_CELLS", broadcast)
     r = random.Random(1)
     vocabulary = [f"w{i}" for i in range(60)] + ["Über", "ÀB", "naïve", "A", "1"]
     items = [(i, " ".join(r.choices(vocabulary, k=r.choice([13, 14, 20, 40])))) for i in range(12)]
@@ -75,7 +74,6 @@ def test_proximity(spark):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_proximity_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", broadcast)
-    monkeypatch.setattr(d, "BROADCAST_CELLS", broadcast)
     r = random.Random(3)
     common = [f"c{i}" for i in range(30)]
     items = {i: [*r.choices(common, k=5), *(f"r{i}x{j}" for j in range(8)), *r.choices(common, k=3)] for i in range(6)}

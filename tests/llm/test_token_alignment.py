@@ -53,6 +53,7 @@ def plain(texts):
 
 def test_equals_a_walk_over_both_encodings(spark, monkeypatch):
     monkeypatch.setattr(token_alignment, "BLOCK", 2000)
+    monkeypatch.setattr(token_alignment, "AT_ONCE", 7)
     given = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
     texts = ODD + given[:120] + given[:5]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, `groups` string, Block int").repartition(3)
@@ -63,6 +64,15 @@ def test_equals_a_walk_over_both_encodings(spark, monkeypatch):
     assert pairs == dict(counts)
 
 
+def test_a_block_in_parts_is_the_same(monkeypatch):
+    texts = [t for t in ODD if t] + ["a b a b, c a. b", "b a"]
+    whole = token_alignment._block(0, list(range(len(texts))), texts, A, B, True)
+    monkeypatch.setattr(token_alignment, "AT_ONCE", 3)
+    parts = token_alignment._block(0, list(range(len(texts))), texts, A, B, True)
+    for x, y in zip(whole, parts, strict=True):
+        assert all(list(x[k]) == list(y[k]) if k in ("pair", "n") and x[k] is not None else x[k] == y[k] for k in x)
+
+
 def test_groups_as_text_and_edge_tables(spark):
     df = spark.createDataFrame([(1, "a"), (None, "a"), (1, "a"), (2, None)], "doc_id long, text string")
     rows = token_alignment.alignment(df, A, B, keep_groups=True).collect()
