@@ -72,7 +72,7 @@ class Boxes:
 def over_boxes(cells: DataFrame, radius: int, kernel, *names: str) -> DataFrame:
     """x, y and the kernel's columns for all cells, also missing ones. One shuffle deals cells to tiles twice as wide as the radius (512 at least), with their halo.
 
-    kernel(heights above the tile's mean, core): a matrix of the core for each name; missing is NaN on both sides.
+    kernel(heights above the tile's mean, core): a matrix of the core for each name; missing is NaN on both sides. An error in a kernel names its tile by column and row, as these tiles are the operator's own.
     """
     size = max(512, 2 * radius)
 
@@ -91,7 +91,10 @@ def over_boxes(cells: DataFrame, radius: int, kernel, *names: str) -> DataFrame:
             z -= np.nanmean(z)
         px, py = x[own] - x0, y[own] - y0
         core = slice(py.min(), py.max() + 1), slice(px.min(), px.max() + 1)
-        found = kernel(z, core)
+        try:
+            found = kernel(z, core)
+        except Exception as e:
+            raise RuntimeError(f"tile {key[0]},{key[1]} of {size} cells: {e}") from e
         at = py - core[0].start, px - core[1].start
         return pd.DataFrame({"x": x[own], "y": y[own], **{n: m[at] for n, m in zip(names, found)}})
 

@@ -172,3 +172,9 @@ def test_an_error_names_its_tile(spark):
 
     with pytest.raises(Exception, match="tile 3: bad cell"):
         directional.over_tiles(cells, Tiling(g, 2), kernel, "v").collect()
+
+
+def test_errors_of_box_statistics_name_their_tile(spark):
+    cells, _ = raster(spark, [[1.0, 2.0], [3.0, 4.0]])
+    with pytest.raises(Exception, match=r"tile 0,0 of 512 cells: .*zero"):
+        focal.over_boxes(cells, 3, lambda z, core: 1 / 0, "v").collect()
