@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,137 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm import labelled_names
+
 KINDS = ("email", "ip", "card", "phone", "name", "address")
 BASE = 4
 TAGS = ("O", "B-name", "I-name", "B-address", "I-address")
+AROUND = (-2, -1, 0, 1, 2)  # how far the words stand whose features speak for a word's tag
 
-# A small labelled table, as text: [words|kind] marks an entity. Own sentences in the four languages of the documents, names in running prose among them.
-LABELLED = """
-My name is [Anna Weber|name] and I work here .
-I am called [John Smith|name] , nice to meet you .
-Please write to Mr [Peter Brown|name] about it .
-Please ask Mrs [Mary Jones|name] tomorrow .
-Contact Dr [Alan Green|name] for details .
-Dear Mr [Hill|name] , thank you .
-Yours sincerely , [Laura Stone|name]
-Her name is [Kate Miller|name] .
-Last week the letter was signed by [Helen Ford|name] in the office .
-The report was written by [Thomas van Dyke|name] and two others .
-Yesterday I met [Oliver Grant|name] at the station .
-We spoke with [Grace O'Hara|name] about the rent .
-The flat belongs to [Martin Cole|name] , who is away .
-Our neighbour [Susan Bell|name] called the police .
-It was sent to [Jean-Paul Mercer|name] by mistake .
-My brother [George|name] lives far away .
-Then Ms [Ivy Lane Parker|name] signed the form .
-Professor [Nora Field|name] will see you at noon .
-He lives at [12 Park Street|address] in town .
-The office is at [7 Station Road|address] .
-Send it to [221 Baker Street|address] please .
-Address : [5 Mill Lane|address]
-She moved to [48 Old Church Road|address] last year .
-The parcel waits at [9 Green Avenue|address] until Friday .
-We met in front of [103 North Hill Drive|address] at six .
-Mein Name ist [Karl Huber|name] und ich bin da .
-Bitte fragen Sie Herr [Jonas Vogel|name] danach .
-Frau [Eva Braun|name] ist heute nicht da .
-Gestern traf ich [Sabine Keller|name] am Bahnhof .
-Der Brief ist von [Ludwig von Stein|name] unterschrieben .
-Wir sprachen mit [Petra Lang|name] über die Miete .
-Unser Nachbar [Dieter Kraus|name] rief die Polizei .
-Das Haus gehört [Hans-Peter Roth|name] aus dem Dorf .
-Ich wohne in der [Hauptstraße 12|address] seit Mai .
-Adresse : [Bahnhofstraße 7|address]
-Das Büro ist im [Gartenweg 31|address] gleich um die Ecke .
-Sie zog in die [Mühlgasse 4|address] um .
-Je m'appelle [Marie Dupont|name] et je vis ici .
-Monsieur [Paul Martin|name] est parti .
-Madame [Claire Petit|name] arrive demain .
-Hier j'ai vu [Luc Bernard|name] à la gare .
-La lettre est signée par [Anne de la Tour|name] ce matin .
-Nous avons parlé avec [Sophie Moreau|name] du loyer .
-Notre voisin [Henri Lefort|name] a appelé la police .
-Elle habite [14 rue Victor Hugo|address] depuis mai .
-Adresse : [8 rue Pasteur|address]
-Le bureau est au [27 avenue Jean Moulin|address] près du port .
-Me llamo [Carlos Ruiz|name] y vivo aquí .
-El señor [Luis Gómez|name] no está .
-La señora [Ana López|name] llega hoy .
-Ayer vi a [Pedro Castro|name] en la estación .
-La carta fue firmada por [María de los Santos|name] esta mañana .
-Hablamos con [Elena Vega|name] del alquiler .
-Vive en la [calle Mayor 15|address] con su hija .
-La oficina está en la [calle del Sol 22|address] cerca del puerto .
-The river runs to the sea .
-Now we go on with the work .
-In the year 1998 there were 12 of them .
-This is one of the best . It is not here .
-Page 12 of 40
-The train to Dover leaves at 9 and the one to London at 10 .
-On Monday the Bank of the North was closed .
-It was written by the Council and sent to Parliament .
-We met at the Museum . The Old Bridge was closed .
-He spoke with the Minister about Europe .
-The letter was signed by the Board on 3 May 2004 .
-Yesterday was Sunday . Then came Winter .
-Our school is in Kent and the Hospital is in York .
-Ist das nicht die Zeit der Menschen und der Dinge ?
-Die Stadt und der Fluss sind alt .
-Zwei Männer gehen in den Wald .
-Gestern fuhr der Zug nach Bremen um 12 Uhr ab .
-Der Brief ist von der Bank und vom Amt .
-Wir sprachen mit dem Lehrer über das Haus .
-Das Haus gehört der Stadt und dem Verein .
-Les enfants et la mer . Une maison est là .
-De la terre et du vent dans les arbres .
-Hier le train pour Lyon est parti à 9 heures .
-La lettre est signée par le Conseil .
-Nous avons parlé avec le maire de la ville .
-El agua y la tierra de los campos .
-No hay nada que hacer en la casa .
-Ayer vi a la gente en la plaza de Sevilla .
-La carta fue firmada por el Consejo .
-See Figure 3 and Table 4 .
-Walking along we saw them .
-Reading is fun , it is Monday .
-Houses stand here . Trees grow there .
-Every Morning the Bells of Dover ring .
-ANOTHER DAY HAS GONE !
-Then . Slowly . Quiet Rivers Run Deep
-North | South | East | West
-Again Again Again Again Again Again Again
-Und Und Und Und Und Und Und Und Und
-He is Captain of the Ship and she is Queen .
-Zusammen gehen Kinder in Schulen und Gärten .
-Langsam . Morgen kommt Besuch aus Bremen .
-Toujours là . Demain Paris et Lyon se lèvent .
-Siempre igual . Mañana Madrid y Sevilla esperan .
-There were 14 Ducks and 3 Geese at 9 Ponds .
-Take 12 of 30 Steps and 5 Cups .
-the rules of the Game are in Part Two .
-Dentro de la casa hay sol . Cerca del mar vive gente . Antes de los meses de lluvia todo cambia .
-Después la mujer sale . Detrás de él hay un muro . Fuera de la ciudad .
-Autour de la table on parle . Avant la nuit tout change . Plus de pain pour nous . Loin de là .
-Wegen der Hitze blieb man drin . Unter der Brücke fließt Wasser . Vor der Tür . Neben der Straße .
-Today , we rest . Yes , it is so . Often , as we know , it rains . Well , well , Well , Well .
-Heute , sagte er , regnet es . Ja , gern . Leider , so heißt es , zu spät .
-Parfois , il pleut . Oui , c'est ici . Ensuite , on mange .
-Luego , todo cambia . Sí , claro . Además , hay pan .
-Rivers . Slowly . Nothing | Evening ! Outside
-Stille . Niemals . Morgen ! Draußen
-Demain . Jamais ! Toujours | Dehors
-Nunca . Siempre ! Mañana | Afuera
-Home again . Wind and rain . Bread , milk and salt .
-Haus und Hof . Wind und Regen .
-Vent et pluie . Lluvia y viento .
-Ring 020 555 - 0101 Thursday or + 44 ( 20 ) 555 - 0102 Friday .
-"""
-
-STREETS = {"street", "road", "lane", "avenue", "drive", "rue", "calle"}
+# Words of addresses that count as themselves inside an entity; other words there are known by their form alone in every second round of training.
+STREETS = set("street road lane avenue drive close court square hill way gardens rue boulevard place chemin calle avenida plaza paseo".split())
 PARTICLES = {"van", "von", "der", "de", "la", "los", "del", "da", "di", "du"}  # that stand in names in lower case
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+|[^\w\s]|_|\n")
-_STOP = frozenset(".!?|\n")
+# A title's or an initial's dot belongs to it and ends no sentence; a possessive 's is a word of its own.
+_TOKEN = re.compile(r"(?:Mrs?|Ms|Drs?|Prof|Sra?|Srta|Mme|Mlle|Hr)\.|[A-Z]\.(?=\x20?[A-Z])|[^\W\d_]+(?:['\u2019](?!s\b)[^\W\d_]+)*|\d+|[#%&*$=~^<>_]{2,}|[^\w\s]|_|\n")
+_STOP = frozenset(".!?|\n")  # signs that end a sentence, as runs of two or more of the next ones do
+_RULES = frozenset("#%&*$=~^<>_")
 _MARK = re.compile(r"\[([^|\]]+)\|(\w+)\]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -151,6 +37,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DIGIT = re.compile("[0-9]")
 
 
+def ends(word: str) -> bool:
+    return word in _STOP or (len(word) > 1 and word[0] in _RULES)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -194,30 +84,51 @@ def shape(word: str) -> str:
     for ending in ("straße", "strasse", "weg", "gasse"):
         if ends.endswith(ending) and len(word) > len(ending):
             return f"X-{ending}" if word[0].isupper() else f"x-{ending}"
-    if word.isupper():
-        return "X" if len(word) == 1 else "XX"
+    if word.rstrip(".").isupper():
+        return "X" if len(word.rstrip(".")) == 1 else "XX"
     return "Xx" if word[0].isupper() else "x"
 
 
+def features(word: str) -> list[str]:
+    """What a word is known by: itself, its shape, and its last letters together with its case."""
+    low = word.lower().rstrip(".")
+    case = "X" if word[0].isupper() else "x"
+    return ["w=" + low, "s=" + shape(word), *(f"{case}{n}={low[-n:]}" for n in (2, 3) if word[0].isalpha() and len(low) > n)]
+
+
+def hidden(words: list[str], tags: list[int]) -> list[bool]:
+    """Which words of a sentence are shown by their form alone: those of entities but for streets and particles."""
+    return [bool(t) and w.lower() not in STREETS | PARTICLES for w, t in zip(words, tags)]
+
+
 @dataclass
 class Model:
-    """features: id by shape and by (shape, known word); emit: four tables (the word itself, the one before, the one after, the one before that) by feature and tag."""
+    """emit: weights by distance (-2 to 2 words), feature and tag; pairs: by the shapes of a word and of the one before it or after it; step, first: of tags. Shape 0 is the border of a sentence."""
 
-    known: dict[str, int]
+    names: dict[str, int]
     shapes: dict[str, int]
     emit: np.ndarray
+    pairs: np.ndarray
     step: np.ndarray
     first: np.ndarray
 
-    def feature(self, word: str) -> int:
-        found = self.known.get(word.lower())
-        return self.shapes.get(shape(word), 0) if found is None else found
+    def kind(self, word: str, form_only: bool = False) -> tuple[int, ...]:
+        """The word's shape and the features that the model knows; words of one kind are the same to it."""
+        own = (self.names.get(f, -1) for f in features(word)[1 if form_only else 0 :])
+        return (self.shapes.get(shape(word), len(self.shapes) + 1), *(f for f in own if f >= 0))
+
+    def rows(self, kinds: list[tuple[int, ...]]) -> np.ndarray:
+        """Summed weights by distance, kind and tag; kind 0 is the outside."""
+        out = np.zeros((len(AROUND), len(kinds) + 1, len(TAGS)))
+        for i, (_, *own) in enumerate(kinds, 1):
+            out[:, i] = self.emit[:, own].sum(axis=1)
+        return out
 
 
-def read_labelled(text: str = LABELLED) -> list[tuple[list[str], list[int]]]:
+def read_labelled(lines: Iterable[str] | None = None) -> list[tuple[list[str], list[int]]]:
     """Words and tags of the sentences of the labelled table, without the signs that end them, as the tagger sees them."""
     out = []
-    for line in filter(None, map(str.strip, text.splitlines())):
+    for line in filter(None, map(str.strip, labelled_names.sentences() if lines is None else lines)):
         words, tags, at = [], [], 0
         for m in [*_MARK.finditer(line), None]:
             plain = _TOKEN.findall(line[at : m.start() if m else len(line)])
@@ -229,61 +140,101 @@ def read_labelled(text: str = LABELLED) -> list[tuple[list[str], list[int]]]:
                 words += own
                 tags += [b] + [b + 1] * (len(own) - 1)
                 at = m.end()
-        ends = [i for i, w in enumerate(words) if w in _STOP]
-        out += [(words[i:j], tags[i:j]) for i, j in zip([0, *(e + 1 for e in ends)], [*ends, len(words)]) if i < j]
+        stops = [i for i, w in enumerate(words) if ends(w)]
+        out += [(words[i:j], tags[i:j]) for i, j in zip([0, *(e + 1 for e in stops)], [*stops, len(words)]) if i < j]
+    return out
+
+
+def _beside(ids: np.ndarray, distance: int) -> np.ndarray:
+    """Each place's neighbour at a distance; 0 beyond the row."""
+    out = np.zeros_like(ids)
+    if distance < 0:
+        out[:, -distance:] = ids[:, :distance]
+    else:
+        out[:, : ids.shape[1] - distance] = ids[:, distance:]
     return out
 
 
-def _emissions(ids: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Scores by tag of words in rows of ids (0: outside), from the words and their neighbours in the row."""
-    own = emit[0][ids]
-    own[..., 1:, :] += emit[1][ids[..., :-1]]
-    own[..., :-1, :] += emit[2][ids[..., 1:]]
-    own[..., 2:, :] += emit[3][ids[..., :-2]]
+def emissions(ids: np.ndarray, shapes: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Scores by tag of the words of padded rows (0: outside), from the words, their neighbours, and the shapes of words side by side."""
+    own = rows[AROUND.index(0)][ids]
+    for o, distance in enumerate(AROUND):
+        if distance and ids.shape[1] > abs(distance):
+            own += rows[o][_beside(ids, distance)]
+    for o, distance in enumerate((-1, 1)):
+        own += pairs[o][_beside(shapes, distance), shapes]
     return own
 
 
-def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: float = 0.1, l2: float = 0.02) -> Model:
-    """Maximum likelihood with a quadratic penalty, by forward and backward sums over each row."""
-    entity = {w.lower() for words, tags in rows for w, t in zip(words, tags) if t}
-    # Known by themselves: the words around entities that never stand in one, the words of streets and the particles of names; all others are their shape.
-    near = {words[j].lower() for words, tags in rows for i, t in enumerate(tags) if t for j in range(max(0, i - 2), min(len(words), i + 2)) if not tags[j] and words[j][0].isalpha()}
-    outside = sorted(near - entity | (entity & (STREETS | PARTICLES)))
-    shapes = {s: i + 1 for i, s in enumerate(sorted({shape(w) for words, _ in rows for w in words}))}
-    known = {w: len(shapes) + 1 + i for i, w in enumerate(outside)}
-    k, f = len(TAGS), len(shapes) + len(known) + 1
-    model = Model(known, shapes, np.zeros((4, f, k)), np.zeros((k, k)), np.zeros(k))
-    ban = np.zeros((k, k))
-    for b in range(k):
-        for a in range(k):
-            if b and b % 2 == 0 and a not in (b - 1, b):
-                ban[a, b] = -1e4
-    start_ban = np.array([-1e4 if b and b % 2 == 0 else 0 for b in range(k)])
-    data = [(np.array([model.feature(w) for w in words]), np.array(tags)) for words, tags in rows if words]
-    params = [model.emit, model.step, model.first]
+def _posteriors(e: np.ndarray, inside: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chances of each word's tag, summed chances of tags side by side, and the chances of the first tags, by forward and backward sums over all rows at once."""
+    n, t, k = e.shape
+    push, weigh = np.exp(step), np.exp(e - e.max(axis=2, keepdims=True))
+    ahead, back, both = np.zeros((t, n, k)), np.ones((t, n, k)), np.zeros((k, k))
+    ahead[0] = np.exp(first) * weigh[:, 0]
+    ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
+    for i in range(1, t):
+        new = (ahead[i - 1] @ push) * weigh[:, i]
+        ahead[i] = np.where(inside[:, i, None], new / new.sum(axis=1, keepdims=True), ahead[i - 1])
+    for i in range(t - 2, -1, -1):
+        new = (weigh[:, i + 1] * back[i + 1]) @ push.T
+        back[i] = np.where(inside[:, i + 1, None], new / new.sum(axis=1, keepdims=True), 1.0)
+    for i in range(1, t):
+        pair = ahead[i - 1][:, :, None] * push * (weigh[:, i] * back[i])[:, None, :]
+        both += (pair / pair.sum(axis=(1, 2), keepdims=True))[inside[:, i]].sum(axis=0)
+    own = ahead * back
+    own /= own.sum(axis=2, keepdims=True)
+    return own.transpose(1, 0, 2) * inside[:, :, None], both, own[0].sum(axis=0)
+
+
+def train(data: list[tuple[list[str], list[int]]], rounds: int = 120, rate: float = 0.1, l2: float = 0.3) -> Model:
+    """Maximum likelihood with a quadratic penalty. In every second round the words of entities show their form alone, so that unknown names are learned too.
+
+    Words that the table has once, and endings that fewer than three of its different words have, are no features: they stand for all unknown ones.
+    """
+    k = len(TAGS)
+    words_of = Counter(w.lower().rstrip(".") for words, _ in data for w in words)
+    ends_of = Counter(f for w in {w for words, _ in data for w in words} for f in features(w)[1:])
+    known = sorted({"w=" + w for w, n in words_of.items() if n > 1} | {f for f, n in ends_of.items() if n > 2 or f.startswith("s=")})
+    shapes = {s: i for i, s in enumerate(sorted({shape(w) for words, _ in data for w in words}), 1)}
+    model = Model({f: i for i, f in enumerate(known)}, shapes, np.zeros((len(AROUND), len(known), k)), np.zeros((2, len(shapes) + 2, len(shapes) + 2, k)), np.zeros((k, k)), np.zeros(k))
+    ban = np.array([[-50.0 if b and b % 2 == 0 and a not in (b - 1, b) else 0.0 for b in range(k)] for a in range(k)])
+    start_ban = np.array([-50.0 if b and b % 2 == 0 else 0.0 for b in range(k)])
+    data = [d for d in data if d[0]]
+    wide = max((len(words) for words, _ in data), default=1)
+    inside = np.array([[i < len(words) for i in range(wide)] for words, _ in data], bool).reshape(len(data), wide)
+    kinds: dict[tuple[int, ...], int] = {}
+    ids = np.zeros((2, len(data), wide), np.int64)
+    right = np.zeros((len(data), wide, k))
+    steps, firsts = np.zeros((k, k)), np.zeros(k)
+    for r, (words, tags) in enumerate(data):
+        form = hidden(words, tags)
+        for i, w in enumerate(words):
+            for v in range(2):
+                ids[v, r, i] = kinds.setdefault(model.kind(w, bool(v) and form[i]), len(kinds) + 1)
+        right[r, range(len(tags)), tags] = 1
+        np.add.at(steps, (tags[:-1], tags[1:]), 1)
+        firsts[tags[0]] += 1
+    order = list(kinds)
+    shape_of = np.array([0, *(o[0] for o in order)])
+    member = np.array([(i, f) for i, o in enumerate(order, 1) for f in o[1:]]).reshape(-1, 2).T
+    params = [model.emit, model.pairs, model.step, model.first]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for n in range(1, rounds + 1):
+        if not data:
+            break
+        at = ids[n % 2]
+        own, both, start = _posteriors(emissions(at, shape_of[at], model.rows(order), model.pairs), inside, model.step + ban, model.first + start_ban)
+        d = own - right
         grads = [l2 * p for p in params]
-        for ids, tags in data:
-            e = _emissions(ids, model.emit)
-            step, first, t = model.step + ban, model.first + start_ban, len(ids)
-            ahead, back = np.zeros((t, k)), np.zeros((t, k))
-            ahead[0] = first + e[0]
-            for i in range(1, t):
-                ahead[i] = e[i] + np.logaddexp.reduce(ahead[i - 1][:, None] + step, axis=0)
-            for i in range(t - 2, -1, -1):
-                back[i] = np.logaddexp.reduce(step + (e[i + 1] + back[i + 1])[None, :], axis=1)
-            total = np.logaddexp.reduce(ahead[-1])
-            d = np.exp(ahead + back - total)
-            d[np.arange(t), tags] -= 1
-            np.add.at(grads[0][0], ids, d)
-            np.add.at(grads[0][1], ids[:-1], d[1:])
-            np.add.at(grads[0][2], ids[1:], d[:-1])
-            np.add.at(grads[0][3], ids[:-2], d[2:])
-            for i in range(1, t):
-                grads[1] += np.exp(ahead[i - 1][:, None] + step + (e[i] + back[i])[None, :] - total)
-                grads[1][tags[i - 1], tags[i]] -= 1
-            grads[2] += d[0]
+        for o, distance in enumerate(AROUND):
+            by_kind = np.zeros((len(order) + 1, k))
+            np.add.at(by_kind, _beside(at, distance) if distance else at, d)
+            np.add.at(grads[0][o], member[1], by_kind[member[0]])
+        for o, distance in enumerate((-1, 1)):
+            np.add.at(grads[1][o], (_beside(shape_of[at], distance), shape_of[at]), d)
+        grads[2] += both - steps
+        grads[3] += start - firsts
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -293,14 +244,13 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: floa
     return model
 
 
-def viterbi(ids: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """The best tags of padded rows of feature ids, all rows at once."""
-    n, t = ids.shape
-    e = _emissions(ids, model.emit)
-    score = model.first + e[:, 0]
-    from_ = np.zeros((n, t, len(TAGS)), np.int8)
+def viterbi(e: np.ndarray, lengths: np.ndarray, step: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The best tags of padded rows of emissions, all rows at once."""
+    n, t, k = e.shape
+    score = first + e[:, 0]
+    from_ = np.zeros((n, t, k), np.int8)
     for i in range(1, t):
-        options = score[:, :, None] + model.step[None]
+        options = score[:, :, None] + step[None]
         from_[:, i] = options.argmax(axis=1)
         new = options.max(axis=1) + e[:, i]
         score = np.where((i < lengths)[:, None], new, score)
@@ -315,40 +265,56 @@ def viterbi(ids: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
 
 def trim(words: list[str], kind: int) -> tuple[int, int]:
     """First and last word of what a decoded span keeps, (0, -1) if nothing. A name goes from a capital to the last capital before a word that is neither
-    capitalised, a particle, a hyphen nor a dot; an address needs a number and a capital and stays whole."""
+    capitalised, a particle, a hyphen nor a dot; an address needs a number and a capital, holds no other signs than hyphens and apostrophes, and stays whole."""
     if KINDS[kind] == "address":
-        return (0, len(words) - 1) if any(w[0].isupper() for w in words) and any(w[0].isdigit() for w in words) else (0, -1)
+        whole = any(w[0].isupper() for w in words) and any(w[0].isdigit() for w in words) and all(w[0].isalnum() or w in "-'" for w in words)
+        return (0, len(words) - 1) if whole else (0, -1)
     first = next((i for i, w in enumerate(words) if w[0].isupper()), len(words))
     end = next((i for i, w in enumerate(words) if i >= first and not (w[0].isupper() or w in PARTICLES or w in "-.")), len(words))
     capitals = [i for i in range(first, end) if words[i][0].isupper()]
-    return (capitals[0], capitals[-1]) if any(len(words[i]) > 1 and words[i].lower() not in PARTICLES for i in capitals) else (0, -1)
+    return (capitals[0], capitals[-1]) if any(len(words[i].rstrip(".")) > 1 and words[i].lower() not in PARTICLES for i in capitals) else (0, -1)
 
 
 class Tagger:
-    """Finds the names and addresses of texts. Words are looked up once a worker; sentences of like length are decoded together."""
+    """Finds the names and addresses of texts. Words are looked up once a worker; sentences of like length are decoded together.
+
+    A sentence without a capital letter is not decoded: whatever was found there, trim() would leave nothing of it.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.seen: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.shapes = self.capital = np.zeros(1, np.int32)
+        self.rows = model.rows([]).astype(np.float32)
+        self.pairs, self.step, self.first = (p.astype(np.float32) for p in (model.pairs, model.step, model.first))
 
     def ids(self, words: list[str]) -> np.ndarray:
+        """The kind of each word, -1 for signs that end a sentence. There are no more kinds than words and pairs of endings that the model knows."""
         seen = self.seen
         if len(seen) > 300_000:
             seen.clear()
+        before = len(self.kinds)
         for w in set(words).difference(seen):
-            seen[w] = -1 if w in _STOP else self.model.feature(w)
+            seen[w] = -1 if ends(w) else self.kinds.setdefault((w[0].isupper(), self.model.kind(w)), len(self.kinds) + 1)
+        if len(self.kinds) > before:
+            new = list(self.kinds)[before:]
+            self.rows = np.concatenate([self.rows, self.model.rows([kind for _, kind in new])[:, 1:].astype(np.float32)], axis=1)
+            self.shapes = np.concatenate([self.shapes, np.array([kind[0] for _, kind in new], np.int32)])
+            self.capital = np.concatenate([self.capital, np.array([c for c, _ in new], np.int32)])
         return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         words = [_TOKEN.findall(t) for t in texts]
-        ends = np.cumsum([len(w) for w in words])
+        upto_word = np.cumsum([len(w) for w in words])
         flat = np.concatenate([*(np.append(self.ids(w), np.int32(-1)) for w in words), np.zeros(0, np.int32)])
         stops = np.flatnonzero(flat < 0)
         starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else np.zeros(0, np.int64)
         lengths = stops - starts
         tags = np.zeros(len(flat), np.int8)
-        order = np.argsort(lengths, kind="stable")
-        order = order[np.searchsorted(lengths[order], 1) :]
+        capitals = np.concatenate([[0], np.cumsum(self.capital[np.maximum(flat, 0)])])
+        order = np.flatnonzero(capitals[stops] > capitals[starts])
+        order = order[np.argsort(lengths[order], kind="stable")]
         at = 0
         while at < len(order):
             size = int(lengths[order[at]])
@@ -358,12 +324,13 @@ class Tagger:
             column = np.arange(wide)
             inside = column[None, :] < lengths[pick][:, None]
             where = np.minimum(starts[pick][:, None] + column[None, :], len(flat) - 1)
-            best = viterbi(np.where(inside, flat[where], 0), lengths[pick], self.model)
+            ids = np.where(inside, flat[where], 0)
+            best = viterbi(emissions(ids, self.shapes[ids], self.rows, self.pairs), lengths[pick], self.step, self.first)
             tags[where[inside]] = best[inside]
             at += len(pick)
         out: list[list[tuple[int, int, int]]] = []
         hot = np.flatnonzero(tags)
-        begin = np.concatenate([[0], ends[:-1] + np.arange(1, len(ends))]) if len(ends) else np.zeros(0, np.int64)
+        begin = np.concatenate([[0], upto_word[:-1] + np.arange(1, len(upto_word))]) if len(upto_word) else np.zeros(0, np.int64)
         owner = np.searchsorted(begin, hot, side="right") - 1
         by_text: dict[int, list[int]] = {}
         for i, o in zip(hot.tolist(), owner.tolist()):
@@ -446,7 +413,10 @@ def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """docs with the personal data of its text masked; a null text stays null; the other columns stay as they are."""
+    """docs with the personal data of its text masked.
+
+    A null text stays null and an empty one empty; texts of any length are read whole; repeated rows each stay; the other columns, whatever their names, stay as they are; an empty table gives an empty one.
+    """
     model = model or train(read_labelled())
     at = docs.columns.index(text)
 
