@@ -5,20 +5,25 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import cut, drop
+from orogen.llm.common import cut, drop, free_names
 
 BANDS, IN_BAND = 8, 4  # min-hashes by which near copies find one another before they vote: they agree on one band of 8, each of 4
 COPY = 0.8  # word pairs two texts share, of all they have, from which on they are near copies
 LEAST_Z = 4.0
 DRIFT = 0.5  # what a token without a score costs a segment
 BROADCAST_ROWS = 1_000_000  # labels up to so many rows are broadcast; more are joined by a shuffle
+LEXICON_BYTES = 64 << 20  # a lexicon up to this size in memory is sent to the workers; a larger one stays a table and meets the documents' tokens in a join, with the same result
+ENTRY_BYTES = 150  # what an entry of a dict takes beside its token's letters
+SALTS = 32  # parts that the rows of one token fall into in that join
 STEMS = range(5, 9)  # lengths of the beginnings that count as stems
 BINS, BIN = 400, 0.25
 _TOKEN = re.compile(r"[^\W_]+")
@@ -30,7 +35,9 @@ _KNOWN = 500_000
 
 @dataclass
 class Model:
-    scores: dict[str, float]
+    """scores: of the telling tokens, as a dict or, where they are too many to send, as a table (token, score)."""
+
+    scores: dict[str, float] | DataFrame
     decay: float  # lambda of the extreme-value law
     scale: float  # its K
     slope: float
@@ -86,17 +93,47 @@ def parts(token: str) -> list[str]:
 class Scorer:
     """Positions and scores of a text's telling tokens. A token has the highest score of its parts; those seen are remembered."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float] | None):
         self.scores, self.known = scores, {}
 
-    def __call__(self, text: str) -> tuple[list[tuple[int, float]], int]:
+    def __call__(self, text: str, own: list[dict] | None = None) -> tuple[list[tuple[int, float]], int]:
+        """own: token and score of the text's telling tokens where they come with it."""
         tokens, known = _TOKEN.findall(text.lower()), self.known
-        if len(known) > _KNOWN:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = max((self.scores[p] for p in parts(t) if p in self.scores), default=0.0)
-        return [(i, known[t]) for i, t in enumerate(tokens) if known[t]], len(tokens)
+        if self.scores is None:
+            known = {t["token"]: t["score"] for t in own or ()}
+        else:
+            if len(known) > _KNOWN:
+                known.clear()
+            for t in set(tokens):
+                if t not in known:
+                    known[t] = max((self.scores[p] for p in parts(t) if p in self.scores), default=0.0)
+        return [(i, known[t]) for i, t in enumerate(tokens) if known.get(t)], len(tokens)
+
+
+def with_own(docs: DataFrame, scores: DataFrame, text: str) -> DataFrame:
+    """docs with a last column _own: token and score of the different telling tokens of its text, null where it has none.
+
+    The corpus's different tokens get their scores first, each from the best of its parts; only then do the tokens of each document meet them, those of one token in
+    SALTS parts. A document's list is no longer than its text.
+    """
+    (row_id,) = free_names(docs, "_row")
+    numbered = cut(docs.withColumn(row_id, F.monotonically_increasing_id()), "numbered")
+
+    def words(batches):
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = sorted(set(_TOKEN.findall((t or "").lower())))
+                for at in range(0, len(own), _PIECE):
+                    some = own[at : at + _PIECE]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array(some, pa.string())], ["_row", "token"])
+
+    said = cut(numbered.select(row_id, text).mapInArrow(words, "_row long, token string"), "said")
+    stems = [F.when(F.length("token") > n, F.concat(F.substring("token", 1, n), F.lit("*"))) for n in STEMS]
+    split = said.select("token").distinct().select("token", F.explode(F.array_compact(F.array("token", *stems))).alias("part"))
+    best = split.join(scores.toDF("part", "score"), "part").groupBy("token").agg(F.max("score").alias("score"))
+    salted = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = said.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"]).groupBy("_row").agg(F.collect_list(F.struct("token", "score")).alias("_own"))
+    return numbered.join(own.withColumnRenamed("_row", row_id), row_id, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_own")
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,8 +227,12 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return voters.select("text", "toxic").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: DataFrame) -> tuple[dict[str, float], float]:
-    """Scores of the telling tokens (log-odds under an informative Dirichlet prior), and lambda of their law among clean tokens."""
+def lexicon(counts: DataFrame) -> tuple[dict[str, float] | DataFrame, float]:
+    """Scores of the telling tokens (log-odds under an informative Dirichlet prior), and lambda of their law among clean tokens.
+
+    The law is found from the tokens' shares by score, in thousandths, so the driver reads no more rows than there are such scores. The scores are a dict up to
+    LEXICON_BYTES and a written table beyond.
+    """
     counts = cut(counts, "counts")
     total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("n")).first()
     if not total.toxic or not total.clean:
@@ -203,12 +244,18 @@ def lexicon(counts: DataFrame) -> tuple[dict[str, float], float]:
     delta = odds("toxic", float(total.toxic)) - odds("clean", float(total.clean))
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     share = (F.col("clean") + prior) / F.lit(total.clean + size)
-    rows = counts.select("token", delta.alias("score"), z.alias("z"), share.alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("score") > DRIFT)).orderBy(F.desc("z"), "token").collect()
+    telling = cut(counts.select("token", delta.alias("score"), z.alias("z"), share.alias("share")).where((F.col("z") >= LEAST_Z) & (F.col("score") > DRIFT)).select("token", "score", "share"), "telling")
     drop(counts)
-    scores = {r.token: float(r.score) for r in rows}
-    if not scores:
-        return {}, 1.0
-    s, p = np.array([r.score for r in rows]), np.array([r.share for r in rows])
+    whole = (F.col("share") * 1e15).cast("decimal(38,0)")  # whole numbers: their sum does not depend on the order
+    law = telling.groupBy(F.round(F.col("score") * 1000).cast("long").alias("s")).agg(F.sum(whole).alias("p"), F.sum(F.octet_length("token") + F.lit(ENTRY_BYTES)).alias("bytes")).orderBy("s").collect()
+    if sum(r.bytes for r in law) > LEXICON_BYTES:
+        scores = telling.select("token", "score")
+    else:
+        scores = {r.token: float(r.score) for r in telling.select("token", "score").collect()}
+        drop(telling)
+    if not law:
+        return scores, 1.0
+    s, p = np.array([r.s / 1000 for r in law]), np.array([float(r.p) / 1e15 for r in law])
     p = p * min(1.0, 0.5 / p.sum())
     mean = (p * s).sum() - DRIFT * (1 - p.sum())
     if mean >= 0:  # the law needs a negative drift
@@ -245,22 +292,29 @@ def calibrate(hist: np.ndarray) -> tuple[float, float, float]:
     return scale, float(max(a, 0.0)), float(b)
 
 
+def _own(batch: pa.RecordBatch, at: int) -> Iterable:
+    """The column of telling tokens, if the batch has it."""
+    return batch.column(at).to_pylist() if batch.num_columns > at else repeat(None)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from all labelled rows of docs. Without toxic or without clean ones the score is the same for every text."""
     rows = _labelled(docs, labels)
     scores, decay = lexicon(token_counts(rows))
 
+    rows, sent = (rows.select("text", "toxic"), scores) if isinstance(scores, dict) else (with_own(rows.select("text", "toxic"), scores, "text"), None)
+
     def bins(batches):
-        hist, scored = np.zeros((2, BINS), np.int64), Scorer(scores)
+        hist, scored = np.zeros((2, BINS), np.int64), Scorer(sent)
         for b in batches:
-            for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                items, n = scored(t)
+            for t, toxic, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _own(b, 2)):
+                items, n = scored(t, own)
                 hist[int(bool(toxic)), min(BINS - 1, int(statistic(maximal_segments(items), n, decay) / BIN))] += 1
         kind, at = np.nonzero(hist)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(hist[kind, at])], ["kind", "bin", "n"])
 
     hist = np.zeros((2, BINS))
-    for r in rows.select("text", "toxic").mapInArrow(bins, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(bins, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
         hist[r.kind, r.bin] = r.n
     return Model(scores, decay, *calibrate(hist))
 
@@ -268,29 +322,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The columns keep of docs, with score, predicted (1 from threshold on), and passages: first-last token of every significant segment (expected by chance under 0.05 times in such a text), comma-joined.
 
-    A null or empty text has no segment and the score of one that has none.
+    A null or empty text has no segment and the score of one that has none; texts of any length are read whole; repeated rows each have a row; other columns are not looked at.
     """
 
+    asked = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    joined = not isinstance(model.scores, dict)
+    model, table = replace(model, scores=None if joined else model.scores), model.scores  # tables do not travel
+
     def run(batches):
         scored = Scorer(model.scores)
         for b in batches:
             values, passages = [], []
-            for t in b.column(len(keep)).to_pylist():
-                items, n = scored(t or "")
+            for t, own in zip(b.column(len(keep)).to_pylist(), _own(b, len(keep) + 1)):
+                items, n = scored(t or "", own)
                 segments = maximal_segments(items)
                 values.append(model.probability(statistic(segments, n, model.decay)))
                 passages.append(",".join(f"{i}-{j}" for i, j, s in segments if model.scale * (n + 1) * np.exp(-min(700.0, model.decay * s)) < 0.05))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(values, pa.float64()), pa.array([int(v >= threshold) for v in values], pa.int32()), pa.array(passages, pa.string())], [*keep, "score", "predicted", "passages"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, score double, predicted int, passages string")
+    return (with_own(asked, table, "_text") if joined else asked).mapInArrow(run, f"{schema}, score double, predicted int, passages string")
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted, passages of every row of docs, learned from labelled rows outside the held-out fold.
 
     The fold is crc32(doc_id as text) mod folds. Rows with a null doc_id are scored, not learned from, and not held out. Labels
-    without a document, with a null or with a repeated doc_id are harmless; empty tables give the scores of an unlearned model.
+    without a document, with a null or with a repeated doc_id are harmless; empty tables give the scores of an unlearned model. Of repeated rows each is scored and the
+    first votes; texts of any length are read whole; columns other than doc_id and text are ignored.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     model = train(docs.where(fold != held), labels)

@@ -122,3 +122,87 @@ def test_only_verified_copies_are_silent(spark):
 def test_lexicon_holds_every_telling_token(spark):
     counts = spark.range(50_000).selectExpr("concat('t', id) token", "if(id < 25000, 50L, 0L) toxic", "if(id < 25000, 0L, 50L) clean")
     assert set(toxicity.lexicon(counts)[0]) == {f"t{i}" for i in range(25_000)}
+
+
+def plain_toxicity(docs, labels):
+    """Score and passages of every (doc_id, text), step by step and one text at a time."""
+    words = lambda t: toxicity._TOKEN.findall(t.lower())
+    pairs = lambda t: {zlib.crc32(" ".join(p).encode()) for p in zip(t.lower().split(), t.lower().split()[1:])}
+    learned = [(labels[i], i, t) for i, t in docs if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    voters = []
+    for toxic, i, t in sorted(learned):
+        if not any(v[0] == toxic and len(pairs(v[2]) & pairs(t)) >= 0.8 * len(pairs(v[2]) | pairs(t)) for v in voters):
+            voters.append((toxic, i, t))
+    counts = [{}, {}]
+    for toxic, _, t in voters:
+        for p in {p for w in words(t) for p in [w, *(w[:n] + "*" for n in range(5, 9) if n < len(w))]}:
+            counts[toxic][p] = counts[toxic].get(p, 0) + 1
+    total = [sum(c.values()) for c in counts]
+    size = min(total)
+    scores, law = {}, {}
+    for p in counts[0].keys() | counts[1].keys():
+        c, t = counts[0].get(p, 0), counts[1].get(p, 0)
+        prior = size * (c + t) / sum(total)
+        delta = math.log((t + prior) / (total[1] + size - t - prior)) - math.log((c + prior) / (total[0] + size - c - prior))
+        if delta / math.sqrt(1 / (t + prior) + 1 / (c + prior)) >= 4 and delta > 0.5:
+            scores[p] = delta
+            law[round(delta * 1000)] = law.get(round(delta * 1000), 0) + (c + prior) / (total[0] + size)
+    most = min(1.0, 0.5 / sum(law.values()))
+    rest = 1 - most * sum(law.values())
+    low, high = 1e-6, 20.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(most * p * math.exp(mid * s / 1000) for s, p in law.items()) + rest * math.exp(-mid / 2) > 1 else (mid, high)
+
+    def evidence(t):
+        per_token = [max((scores.get(p, 0.0) for p in [w, *(w[:n] + "*" for n in range(5, 9) if n < len(w))]), default=0) or -0.5 for w in words(t)]
+        segments = brute_segments(per_token)
+        best = total = fact = 0.0
+        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True), 1):
+            total, fact = total + low * s - math.log(len(per_token) + 1), fact + math.log(r)
+            best = max(best, total - fact)
+        return best, segments, len(per_token)
+
+    x = [(min(399, int(evidence(t)[0] / 0.25)), toxic) for toxic, _, t in learned]
+    x = [((b + 0.5) * 0.25 if b else 0.0, toxic) for b, toxic in x]
+    clean = [v for v, toxic in x if not toxic]
+    scale = min(1.0, max(1e-4, math.exp(sum(clean) / len(clean) - 0.5772)))
+    a, b = 0.5, -3.0
+    for _ in range(300):
+        p = [1 / (1 + math.exp(-(a * v + b))) for v, _ in x]
+        g = [sum((q - y) * v for q, (v, y) in zip(p, x)) + 1e-2 * a, sum(q - y for q, (_, y) in zip(p, x)) + 1e-2 * b]
+        h = np.array([[sum(q * (1 - q) * v * v for q, (v, _) in zip(p, x)) + 1e-2, sum(q * (1 - q) * v for q, (v, _) in zip(p, x))], [0, sum(q * (1 - q) for q in p) + 1e-2]])
+        h[1, 0] = h[0, 1]
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 1 / max(1e-9, abs(step).max()))
+        a, b = a - step[0], b - step[1]
+    out = {}
+    for i, t in docs:
+        e, segments, n = evidence(t)
+        out[i] = 1 / (1 + math.exp(-(a * e + b))), ",".join(f"{f}-{to}" for f, to, s in segments if scale * (n + 1) * math.exp(-low * s) < 0.05)
+    return out
+
+
+@pytest.mark.parametrize("limit", [toxicity.LEXICON_BYTES, 0])
+def test_query_equals_plain_version(spark, monkeypatch, limit):
+    """The whole query, with the lexicon sent to the workers and with the lexicon joined."""
+    monkeypatch.setattr(toxicity, "LEXICON_BYTES", limit)
+    r = random.Random(9)
+    bad = ["idiotax", "idiotin", "scumx", "trashy"]
+    docs, labels = [], {}
+    for i in range(400):
+        own = text(r, "en", r.randint(5, 60)).split()
+        toxic = r.random() < 0.3
+        for _ in range(r.randint(1, 4) if toxic else 0):
+            own.insert(r.randrange(len(own)), r.choice(bad))
+        docs.append((i, " ".join(own)))
+        if r.random() < 0.8:
+            labels[i] = int(toxic)
+    docs += [(400 + i, docs[i][1]) for i in range(20)] + [(500, ""), (501, "scumx")]  # copies, an empty text and one that is all evidence
+    labels |= {400 + i: labels[i] for i in range(20) if i in labels}
+    want = plain_toxicity(docs, labels)
+    got = toxicity.held_out_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in labels.items()], "doc_id long, toxic int")).collect()
+    assert len(got) == len(docs)
+    for g in got:
+        assert g.score == pytest.approx(want[g.doc_id][0], abs=1e-6) and g.passages == want[g.doc_id][1] and g.predicted == int(g.score >= 0.3)
+    assert sum(g.predicted for g in got) > 50 and any(g.passages for g in got)
