@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm.common import in_slices
 from orogen.llm.tokens import CHUNK, Encoder, byte_symbols, in_groups, tokenizer
 
 LEAF = 512  # symbols of a leaf of the tree of a run without white space
@@ -140,7 +141,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, huge: int = HUGE) -> Dat
 
     def run(batches):
         own, spelled = encoder(), token_bytes(tokenizer_path)
-        for b in batches:
+        for b in in_slices(batches, 1):
             done = [_digests(coded, spelled) for some in in_groups([t or "" for t in b.column(1).to_pylist()]) for coded in own.batch(some)]
             n, ids, decoded = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names)

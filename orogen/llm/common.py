@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,22 @@ def drop(df: DataFrame) -> None:
         _files(df.sparkSession, at).delete(at, True)
 
 
+def in_slices(batches, at: int, size: int = 1 << 20):
+    """Arrow batches in slices of about size bytes of text in column at, so that a worker holds few of a batch's texts as Python objects at once; a longer text is a slice of its own.
+
+    After each batch Arrow's unused memory goes back to the system: the workers stay, and would hold it through all later stages.
+    """
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, size + (upto[start - 1] if start else 0), side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of every node of an edge list (u long, v long): rows (node, component), component = smallest node.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import cut, drop
+from orogen.llm.common import cut, drop, in_slices
 
 DIMENSIONS = 1 << 15  # hashed n-grams of 1 to 3 characters
 SAMPLE_ROWS = 4096  # labelled rows that the weights are learned from; document frequencies come from all labelled rows
@@ -107,7 +107,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Co
 
     def run(batches):
         seen, n = np.zeros(DIMENSIONS, np.int64), 0
-        for b in batches:
+        for b in in_slices(batches, 0):
             out: list[tuple] = []
             for t, lang, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not has_letter(t):
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     at = keep.index(text) if text in keep else len(keep)  # the text is sent once
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches, at):
             pred, score = [], []
             for t in b.column(at).to_pylist():
                 if table is None or not has_letter(t):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm import labelled_names
+from orogen.llm.common import in_slices
 
 KINDS = ("email", "ip", "card", "phone", "name", "address")
 BASE = 4
@@ -387,7 +388,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         tagger = Tagger(model)
-        for b in batches:
+        for b in in_slices(batches, 1):
             found = [spans for _, spans in _grouped([t or "" for t in b.column(1).to_pylist()], tagger)]
             count = lambda k: pa.array([sum(s[1] == k for s in every) for _, every in found], pa.int64())
             sha = pa.array([hashlib.sha256(spell(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -422,7 +423,7 @@ def mask(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
 
     def run(batches):
         tagger = Tagger(model)
-        for b in batches:
+        for b in in_slices(batches, at):
             own = b.column(at).to_pylist()
             new = [mask_text(t, every) for t, (_, every) in _grouped([t or "" for t in own], tagger)]
             columns = list(b.columns)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.common import connected_components, cut, free_names
+from orogen.llm.common import connected_components, cut, free_names, in_slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp long) of every row of docs, and its long columns keep; the text is read whole."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches, 1):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *keep])
 
