@@ -218,13 +218,25 @@ def _schema(text: str | None):
     return _load(text)
 
 
-def fine(arguments: str | None, schema: str | None) -> bool:
-    """Arguments are an object that fits the schema (any object without one). A schema that never comes to an end on them, takes more than STEPS checks, or is nested too deep, fits nothing."""
+def judge(arguments: str | None, schema: str | None) -> bool | None:
+    """Are arguments an object that fits the schema (any object without one)? None where that stays open: the schema never comes to an end on them, takes more than STEPS checks, is nested too deep, or cannot be read."""
     value = _load(arguments)
+    if not isinstance(value, dict):
+        return False
+    if schema is None:
+        return True
+    root = _schema(schema)
+    if root is None and schema != "null":
+        return None
     try:
-        return isinstance(value, dict) and (schema is None or valid(value, _schema(schema)))
+        return valid(value, root)
     except (RecursionError, NoEnd):
-        return False
+        return None
+
+
+def fine(arguments: str | None, schema: str | None) -> bool:
+    """Are arguments known to fit the schema? False where judge() leaves it open."""
+    return judge(arguments, schema) is True
 
 
 def heights(links: DataFrame) -> DataFrame:
@@ -270,14 +282,15 @@ def ranked(keys: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """A row per message: conv_id, turn, role, position, n_calls, n_answered, n_valid, answers_turn, canonical.
+    """A row per message: conv_id, turn, role, position, n_calls, n_answered, n_valid, answers_turn, canonical, n_open.
 
     Calls and results meet by conversation and identifier; the first result of an identifier answers it, and the first call of an identifier
     is the one that is answered. position is the message's place in its conversation, from 1, in a topological order of these links: by turn (null as 0), but a
     result that stands before its call, or before what that call itself waits for, comes right after it; within a circle of calls and results the earliest message
     stays. n_valid counts the calls whose arguments fit the schema that the conversation declares for their tool (the first one of
     that name; without one any object fits). answers_turn is the turn of the call that a result answers, null for others and for
-    results without a call. A schema that needs more than STEPS checks, or does not end, fits no arguments. Null texts are messages without content; null conversations, identifiers and names match nothing; repeated rows
+    results without a call. n_open counts the calls that could not be judged, since the schema
+    needs more than STEPS checks, does not end, is nested too deep or cannot be read; they are not in n_valid, and the other n_calls - n_valid - n_open do not fit. Null texts are messages without content; null conversations, identifiers and names match nothing; repeated rows
     each stay a row, extra columns are ignored, a text may be of any length or nesting; an empty table gives an empty result.
     """
 
@@ -298,10 +311,11 @@ def link(messages: DataFrame) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(fine(a, s)) for a, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.int64())], ["row", "fine"])
+            said = [judge(a, s) for a, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(x is True) for x in said], pa.int64()), pa.array([int(x is None) for x in said], pa.int64())], ["row", "fine", "open"])
 
     judged = calls.select("row", "conv_id", F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments")).join(schemas, ["conv_id", "name"], "left").select("row", "arguments", "schema")
-    sums = judged.mapInArrow(check, "row long, fine long").groupBy("row").agg(F.sum("fine").alias("n_valid"))
+    sums = judged.mapInArrow(check, "row long, fine long, open long").groupBy("row").agg(F.sum("fine").alias("n_valid"), F.sum("open").alias("n_open"))
     done = links.groupBy(F.col("call.row").alias("row")).agg(F.count("*").alias("n_answered"))
     key = lambda side: F.struct(F.coalesce(f"{side}.turn", F.lit(0).cast("long")).alias("turn"), F.col(f"{side}.row").alias("row"))
     tops = heights(links.select(F.col("result.row").alias("child"), F.col("call.row").alias("parent"), key("result").alias("own"), key("call").alias("above")))
@@ -309,5 +323,5 @@ def link(messages: DataFrame) -> DataFrame:
     out = rows.join(sums, "row", "left").join(done, "row", "left").join(placed, "row", "left")
     zero = F.lit(0).cast("long")
     own = F.struct(F.coalesce("turn", zero).alias("turn"), "row")
-    keyed = out.select("row", "conv_id", "turn", "role", F.coalesce("top", own).alias("top"), F.coalesce("depth", zero).alias("depth"), F.coalesce("at", F.lit(0)).alias("at"), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_answered", zero).alias("n_answered"), F.coalesce("n_valid", zero).alias("n_valid"), "answers_turn", "canonical")
-    return ranked(keyed, "conv_id", ["top", "depth", "at", "row"]).select("conv_id", "turn", "role", "position", "n_calls", "n_answered", "n_valid", "answers_turn", "canonical")
+    keyed = out.select("row", "conv_id", "turn", "role", F.coalesce("top", own).alias("top"), F.coalesce("depth", zero).alias("depth"), F.coalesce("at", F.lit(0)).alias("at"), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_answered", zero).alias("n_answered"), F.coalesce("n_valid", zero).alias("n_valid"), "answers_turn", "canonical", F.coalesce("n_open", zero).alias("n_open"))
+    return ranked(keyed, "conv_id", ["top", "depth", "at", "row"]).select("conv_id", "turn", "role", "position", "n_calls", "n_answered", "n_valid", "answers_turn", "canonical", "n_open")
